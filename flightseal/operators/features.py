@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import CASE_KEYS, FEATURES, GAP_S, LOCATION_FEATURES, MAX_DT_S, MEASURED, ORDER, ROLLED, ROLLING_ROWS
 from ..functions.convert import cap, holds, known
 from ..functions.kinematics import haversine_m, per_second, seconds_between, turn_deg
-from .ordering import BLOCK, LONG, add_context, block_window, drop_context, preceding_rows, with_blocks
+from .ordering import flights
 
 
 def engineer_features(
@@ -19,27 +19,24 @@ def engineer_features(
     """All columns of `df` plus the 20 derived features.
 
     Needs `timestamp` and the measured columns. Everything that looks at other
-    rows is computed in one pass over (flight, block) windows, so the plan has
-    a single exchange and sort of the rows. Select only the columns you need
+    rows is computed over one set of per-flight windows, so the plan has a
+    single exchange and sort of the rows. Select only the columns you need
     afterwards: unused features are pruned from the windows.
     """
-    clean = df.withColumns({name: known(F.col(name)) for name in MEASURED})
-    blocked = with_blocks(clean, keys, order, limit)
-    ends = blocked.where(F.col(LONG)).groupBy(*keys, BLOCK).agg(F.max(order).alias("_end"))
-    ends = ends.select(*keys, BLOCK, F.max("_end").over(Window.partitionBy(*keys)).alias("_end"))
-    rows = add_context(
-        blocked.withColumn("_end", F.col(order)),
-        preceding_rows(blocked, keys, order, ROLLING_ROWS - 1, ["timestamp", *MEASURED]),
-        ends,
-    )
+    data = flights(df.withColumns({name: known(F.col(name)) for name in MEASURED}), keys, order, limit)
+    if data.cut:
+        ends = data.long_rows.groupBy(*data.part).agg(F.max(order).alias("_end"))
+        data.add(ends.select(*data.part, F.max("_end").over(data.all_blocks()).alias("_end")))
+        data.add(data.preceding_rows(ROLLING_ROWS - 1, ["timestamp", *MEASURED]))
+    data.rows = data.rows.withColumn("_end", F.col(order))
 
-    window = block_window(keys, order)
+    window = data.window()
     recent = window.rowsBetween(1 - ROLLING_ROWS, 0)
     neighbours = {f"_prev_{name}": F.lag(name).over(window) for name in ("timestamp", *MEASURED)}
     neighbours |= {f"_mean_{name}": F.avg(name).over(recent) for name in ROLLED}
     neighbours |= {f"roll_std_{name}": F.stddev_samp(name).over(recent) for name in ROLLED}
-    neighbours["_flight_end"] = F.max("_end").over(Window.partitionBy(*keys, BLOCK))
-    rows = drop_context(rows.withColumns(neighbours), "_end")
+    neighbours["_flight_end"] = F.max("_end").over(Window.partitionBy(*data.part))
+    rows = data.real(data.with_context().withColumns(neighbours), "_end")
 
     here, prev = F.col, lambda name: F.col(f"_prev_{name}")
     rows = rows.withColumns(

@@ -1,150 +1,181 @@
 """Order-dependent work inside a flight without putting a long flight in one task.
 
 A window needs all rows of its partition in one task. Flights of ordinary
-length are one window partition. A flight with more rows than the limit is cut
-into blocks of consecutive order values, and every block receives extra
-*context* rows that carry what the block needs to know about the rows outside
-it: a running count, a fill value, or the last few rows before it. After the
-windows the context rows are dropped, so results equal the uncut window.
-
-Order values must be unique within a flight, so a block of `limit` consecutive
-order values never holds more than `limit` rows.
+length are one window partition each. If some flight has more rows than the
+limit, those flights are cut into blocks of consecutive order values, and every
+block receives extra *context* rows that carry what it needs to know about the
+rows outside it: a running count, a fill value, or the last few rows before it.
+After the windows the context rows are dropped, so results equal the uncut
+window.
+
+Whether any flight is long is looked up first, from the key columns alone, so
+the common case keeps the plain one-exchange plan. Context tables hold a few
+rows per block and are written out, so the main plan reads its input once.
+
+Order values must be unique within a flight: a block of `limit` consecutive
+order values then never holds more than `limit` rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..session import window_rows
+from ..session import materialize, window_rows
 
 BLOCK = "_block"
 LONG = "_long"
 CONTEXT = "_context"
 
 
-def with_blocks(df: DataFrame, keys: Sequence[str], order: str, limit: int | None = None) -> DataFrame:
-    """Adds `_long` (flight is cut) and `_block` (0 for flights that are not).
+@dataclass
+class Flights:
+    """Rows ready for per-flight windows, cut where a flight is long."""
 
-    A flight is listed only if it has more than `limit` rows, so the broadcast
-    list has fewer than total_rows / limit entries.
-    """
-    limit = limit or window_rows(df.sparkSession)
-    long_flights = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > limit)
-        .select(*keys, F.lit(True).alias(LONG))
-    )
-    block = F.floor(F.col(order) / F.lit(limit)).cast("long")
-    return df.join(F.broadcast(long_flights), list(keys), "left").withColumn(
-        BLOCK, F.when(F.col(LONG), block).otherwise(F.lit(0).cast("long"))
-    )
+    rows: DataFrame
+    keys: list[str]
+    order: str
+    cut: bool = False
+    contexts: list[DataFrame] = field(default_factory=list)
 
+    @property
+    def part(self) -> list[str]:
+        return [*self.keys, BLOCK] if self.cut else self.keys
 
-def block_window(keys: Sequence[str], order: str) -> WindowSpec:
-    """Window over one block; context rows without an order value come first."""
-    return Window.partitionBy(*keys, BLOCK).orderBy(F.col(order).asc_nulls_first())
+    @property
+    def long_rows(self) -> DataFrame:
+        return self.rows.where(F.col(LONG))
 
+    def window(self) -> WindowSpec:
+        """Context rows without an order value come first."""
+        return Window.partitionBy(*self.part).orderBy(F.col(self.order).asc_nulls_first())
 
-def earlier_blocks(keys: Sequence[str]) -> WindowSpec:
-    """Frame over the blocks before this one, on a one-row-per-block table."""
-    return Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    def add(self, context: DataFrame) -> None:
+        self.contexts.append(materialize(context, "context"))
 
+    def with_context(self) -> DataFrame:
+        out = self.rows
+        if self.cut:
+            out = out.withColumn(CONTEXT, F.lit(False))
+            for context in self.contexts:
+                out = out.unionByName(context.withColumn(CONTEXT, F.lit(True)), allowMissingColumns=True)
+        return out
 
-def add_context(rows: DataFrame, *contexts: DataFrame) -> DataFrame:
-    """Union context rows below the real ones."""
-    out = rows.withColumn(CONTEXT, F.lit(False))
-    for context in contexts:
-        out = out.unionByName(context.withColumn(CONTEXT, F.lit(True)), allowMissingColumns=True)
-    return out
+    def real(self, rows: DataFrame, *helpers: str) -> DataFrame:
+        if self.cut:
+            rows = rows.where(~F.col(CONTEXT)).drop(CONTEXT, BLOCK, LONG)
+        return rows.drop(*helpers)
 
+    def earlier_blocks(self) -> WindowSpec:
+        """Frame over the blocks before this one, on a one-row-per-block table."""
+        return Window.partitionBy(*self.keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
 
-def drop_context(rows: DataFrame, *helpers: str) -> DataFrame:
-    return rows.where(~F.col(CONTEXT)).drop(CONTEXT, BLOCK, LONG, *helpers)
+    def all_blocks(self) -> WindowSpec:
+        return Window.partitionBy(*self.keys).orderBy(BLOCK).rowsBetween(
+            Window.unboundedPreceding, Window.unboundedFollowing
+        )
+
+    def preceding_rows(self, depth: int, columns: Sequence[str]) -> DataFrame:
+        """The last `depth` rows before every block, tagged with that block.
+
+        Only the last `depth` rows of a block can matter to a later one; the
+        row_number filter becomes a group limit ahead of the shuffle.
+        """
+        from_end = Window.partitionBy(*self.keys, BLOCK).orderBy(F.col(self.order).desc())
+        tails = (
+            self.long_rows.select(*self.keys, self.order, *columns, BLOCK)
+            .withColumn("_from_end", F.row_number().over(from_end))
+            .where(F.col("_from_end") <= depth)
+            .drop("_from_end")
+        )
+        along = Window.partitionBy(*self.keys).orderBy(self.order)
+        ahead = {f"_next_{step}": F.lead(BLOCK, step).over(along) for step in range(1, depth + 1)}
+        return (
+            tails.withColumns(ahead)
+            .withColumn("_target", F.explode(F.array_distinct(F.array(*ahead))))
+            .where(F.col("_target") > F.col(BLOCK))
+            .withColumn(BLOCK, F.col("_target"))
+            .drop("_target", *ahead)
+        )
 
 
-def preceding_rows(blocked: DataFrame, keys: Sequence[str], order: str, depth: int, columns: Sequence[str]) -> DataFrame:
-    """The last `depth` rows before every block of a cut flight, tagged with that block.
+def flights(df: DataFrame, keys: Sequence[str], order: str, limit: int | None = None) -> Flights:
+    """Look up long flights and cut them.
 
-    Only the last `depth` rows of each block can matter to a later one; the
-    row_number filter is applied before the shuffle as a group limit.
+    A flight is listed only if it has more than `limit` rows, so the list has
+    fewer than total_rows / limit entries; it is written out, and the planner
+    broadcasts it only if its file size allows.
     """
-    from_end = Window.partitionBy(*keys, BLOCK).orderBy(F.col(order).desc())
-    tails = (
-        blocked.where(F.col(LONG))
-        .select(*keys, order, *columns, BLOCK)
-        .withColumn("_from_end", F.row_number().over(from_end))
-        .where(F.col("_from_end") <= depth)
-        .drop("_from_end")
+    keys = list(keys)
+    limit = limit or window_rows(df.sparkSession)
+    long_flights = (
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .where(F.col("_rows") > limit)
+        .select(*keys, F.lit(True).alias(LONG))
     )
-    along = Window.partitionBy(*keys).orderBy(order)
-    ahead = {f"_next_{step}": F.lead(BLOCK, step).over(along) for step in range(1, depth + 1)}
-    return (
-        tails.withColumns(ahead)
-        .withColumn("_target", F.explode(F.array_distinct(F.array(*ahead))))
-        .where(F.col("_target") > F.col(BLOCK))
-        .withColumn(BLOCK, F.col("_target"))
-        .drop("_target", *ahead)
+    if long_flights.isEmpty():
+        return Flights(df, keys, order)
+    block = F.floor(F.col(order) / F.lit(limit)).cast("long")
+    rows = df.join(materialize(long_flights, "long"), keys, "left").withColumn(
+        BLOCK, F.when(F.col(LONG), block).otherwise(F.lit(0).cast("long"))
     )
+    return Flights(rows, keys, order, cut=True)
 
 
 def with_position(
     df: DataFrame, keys: Sequence[str], order: str, name: str, limit: int | None = None
 ) -> DataFrame:
     """Adds the 0-based position of every row within its flight."""
-    blocked = with_blocks(df, keys, order, limit)
-    counts = blocked.where(F.col(LONG)).groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_here"))
-    offsets = counts.select(
-        *keys, BLOCK, F.coalesce(F.sum("_here").over(earlier_blocks(keys)), F.lit(0)).alias("_step")
-    )
-    rows = add_context(blocked.withColumn("_step", F.lit(1).cast("long")), offsets)
-    running = F.sum("_step").over(block_window(keys, order).rowsBetween(Window.unboundedPreceding, 0))
-    return drop_context(rows.withColumn(name, running - 1), "_step")
+    data = flights(df, keys, order, limit)
+    if data.cut:
+        counts = data.long_rows.groupBy(*data.part).agg(F.count(F.lit(1)).alias("_here"))
+        before = F.coalesce(F.sum("_here").over(data.earlier_blocks()), F.lit(0))
+        data.add(counts.select(*data.part, before.alias("_step")))
+    data.rows = data.rows.withColumn("_step", F.lit(1).cast("long"))
+    so_far = data.window().rowsBetween(Window.unboundedPreceding, 0)
+    rows = data.with_context().withColumn(name, F.sum("_step").over(so_far) - 1)
+    return data.real(rows, "_step")
 
 
 def with_previous(
     df: DataFrame, keys: Sequence[str], order: str, columns: dict[str, str], limit: int | None = None
 ) -> DataFrame:
     """Adds the previous row's value of `columns` under the given names."""
-    blocked = with_blocks(df, keys, order, limit)
-    rows = add_context(blocked, preceding_rows(blocked, keys, order, 1, list(columns)))
-    window = block_window(keys, order)
-    lagged = rows.withColumns({new: F.lag(old).over(window) for old, new in columns.items()})
-    return drop_context(lagged)
+    data = flights(df, keys, order, limit)
+    if data.cut:
+        data.add(data.preceding_rows(1, list(columns)))
+    lagged = {new: F.lag(old).over(data.window()) for old, new in columns.items()}
+    return data.real(data.with_context().withColumns(lagged))
 
 
 def filled(
     df: DataFrame, keys: Sequence[str], order: str, column: str, limit: int | None = None
 ) -> DataFrame:
     """Fill missing values forward, then leading ones backward, within a flight."""
-    blocked = with_blocks(df, keys, order, limit)
-    present = F.col(column).isNotNull()
-    edges = (
-        blocked.where(F.col(LONG))
-        .groupBy(*keys, BLOCK)
-        .agg(
-            F.max_by(column, F.when(present, F.col(order))).alias("_last"),
-            F.min_by(column, F.when(present, F.col(order))).alias("_first"),
+    data = flights(df, keys, order, limit)
+    if data.cut:
+        at = F.when(F.col(column).isNotNull(), F.col(order))
+        edges = data.long_rows.groupBy(*data.part).agg(
+            F.max_by(column, at).alias("_last"), F.min_by(column, at).alias("_first")
         )
-    )
-    whole = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
-    seeds = edges.select(
-        *keys,
-        BLOCK,
-        F.last("_last", ignorenulls=True).over(earlier_blocks(keys)).alias(column),
-        F.first("_first", ignorenulls=True).over(whole).alias("_opening"),
-    )
-    rows = add_context(blocked.withColumn("_opening", F.lit(None).cast(df.schema[column].dataType)), seeds)
-    window = block_window(keys, order)
-    block_all = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    value: Column = F.coalesce(
+        data.add(
+            edges.select(
+                *data.part,
+                F.last("_last", ignorenulls=True).over(data.earlier_blocks()).alias(column),
+                F.first("_first", ignorenulls=True).over(data.all_blocks()).alias("_opening"),
+            )
+        )
+    data.rows = data.rows.withColumn("_opening", F.lit(None).cast(df.schema[column].dataType))
+    window = data.window()
+    whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    value = F.coalesce(
         F.last(column, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0)),
-        F.first(column, ignorenulls=True).over(block_all),
-        F.first("_opening", ignorenulls=True).over(block_all),
+        F.first(column, ignorenulls=True).over(whole),
+        F.first("_opening", ignorenulls=True).over(whole),
     )
-    return drop_context(rows.withColumn("_filled", value), column, "_opening").withColumnRenamed("_filled", column)
+    rows = data.with_context().withColumn("_value", value)
+    return data.real(rows, column, "_opening").withColumnRenamed("_value", column)
