@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import feature_queries
+from . import feature_queries, ingest_queries
 
-_MODULES = (feature_queries,)
+_MODULES = (ingest_queries, feature_queries)
 
 
 def queries() -> dict:
