@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
 from .running import running_sums
 
 # Added to precision + recall so that an all-wrong point has F1 0.
@@ -110,10 +109,10 @@ def threshold_metrics(
 def metrics_table(ranked: DataFrame, keys: Sequence[str], thresholds: DataFrame, on: Sequence[str]) -> DataFrame:
     """The full metric record of every group in one job.
 
-    `thresholds` has one row per `on` group. It is written out first, so the
+    `thresholds` has one row per `on` group. Pass it written out, so that the
     planner knows its size when it picks the join.
     """
-    at = ranked.join(materialize(thresholds.select(*on, "threshold"), "thresholds"), list(on))
+    at = ranked.join(thresholds.select(*on, "threshold"), list(on))
     flagged = F.col("score") >= F.col("threshold")
     counted = at.groupBy(*keys).agg(
         *_ranking_aggregates(),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bucket_depth
+from ..session import bucket_depth, materialize, window_rows
 
 _RANGE = "_range"
 _TOP = "_top"
@@ -33,15 +33,20 @@ def running_sums(
     """Adds `cum_<c>` and `total_<c>` for every column in `sums`, along `order` within `keys`.
 
     `counts` holds one row per (keys, order), so however many input rows share a
-    value they are already one row here. A window over `keys` alone would put
-    each group in one task. Instead the values are cut at quantiles of all
-    distinct values into 2**depth ranges of about equal row count, sums of
-    whole ranges are carried in by one extra row per (keys, range), and the
-    window runs per (keys, range). Quantiles only balance the work; the result
-    does not depend on where the cuts fall. depth=0 gives the plain window.
+    value they are already one row here. It is written out, because it is read
+    more than once, and its row count picks the plan. Up to the window limit the
+    window runs per `keys`. Beyond it, that would put each group in one task, so
+    values are cut at quantiles of all rows into 2**depth ranges of about equal
+    row count, sums of whole ranges are carried in by one extra row per
+    (keys, range), and the window runs per (keys, range). Quantiles only balance
+    the work; the result does not depend on where the cuts fall. `depth` forces
+    a plan, 0 being the plain window.
     """
     keys, sums = list(keys), list(sums)
-    depth = bucket_depth(counts.sparkSession) if depth is None else depth
+    spark = counts.sparkSession
+    counts = materialize(counts, "counts")
+    if depth is None:
+        depth = 0 if counts.count() <= window_rows(spark) else bucket_depth(spark)
     along = F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_first()
     if depth == 0:
         window = Window.partitionBy(*keys).orderBy(along)
@@ -53,15 +58,8 @@ def running_sums(
 
     size = 1 << depth
     shares = F.array(*[F.lit(i / size) for i in range(1, size)])
-    # The sums are part of the subquery so that it shares its shuffle with the main branch.
-    cuts = counts.agg(
-        F.struct(
-            F.percentile_approx(F.col(order).cast("double"), shares, max(10_000, 20 * size)).alias("at"),
-            *[F.sum(c).alias(f"all_{c}") for c in sums],
-            *[F.max(k).alias(f"max_{k}") for k in keys],
-        ).alias("cuts")
-    )
-    ranged = _value_range(counts, order, cuts.scalar().getField("at"), depth)
+    cuts = counts.agg(F.percentile_approx(F.col(order).cast("double"), shares, max(10_000, 20 * size)))
+    ranged = _value_range(counts, order, cuts.scalar(), depth)
 
     by_range = F.col(_RANGE).desc() if descending else F.col(_RANGE).asc()
     before = Window.partitionBy(*keys).orderBy(by_range).rowsBetween(Window.unboundedPreceding, -1)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CASE_KEYS, ORDER, SEED
-from ..session import materialize
+from ..session import materialize, window_rows
 
 _SLICE_BITS = 16
 
@@ -52,7 +52,12 @@ def proportional_quotas(sizes: DataFrame, within: Sequence[str], stratum: str, d
 
 
 def take_quota(
-    df: DataFrame, strata: Sequence[str], quotas: DataFrame, rank_by: Column, ties: Sequence[str]
+    df: DataFrame,
+    strata: Sequence[str],
+    quotas: DataFrame,
+    rank_by: Column,
+    ties: Sequence[str],
+    rows: int | None = None,
 ) -> DataFrame:
     """The `quota` rows with the smallest `rank_by` in every stratum, exactly.
 
@@ -60,9 +65,14 @@ def take_quota(
     by its leading bits; slices of the hash below the one holding the last
     wanted row are taken whole, and only rows of the wanted slices are moved and
     numbered, one window per slice. `quotas` has one row per stratum, and strata
-    are label values, so joins against it stay small.
+    are label values, so joins against it stay small. If `rows`, the size of
+    `df`, is known to be within the window limit, strata are numbered directly.
     """
     strata = list(strata)
+    if rows is not None and rows <= window_rows(df.sparkSession):
+        turn = F.row_number().over(Window.partitionBy(*strata).orderBy(rank_by, *ties))
+        numbered = df.withColumn("_turn", turn).join(quotas.select(*strata, "quota"), strata)
+        return numbered.where(F.col("_turn") <= F.col("quota")).drop("_turn", "quota")
     sliced = df.withColumn("_rank", rank_by.cast("long"))
     sliced = sliced.withColumn("_slice", F.shiftrightunsigned("_rank", 63 - _SLICE_BITS))
     counts = sliced.groupBy(*strata, "_slice").agg(F.count(F.lit(1)).alias("_here"))
@@ -106,9 +116,10 @@ def case_split(
     keep = F.col("_total") - F.ceil(F.col("_total") * F.lit(test_size))
     quotas = proportional_quotas(sizes, within, "case_label", keep)
     ranked = spread_hash(keys, seed) if rank_by is None else rank_by
-    train = take_quota(cases, [*within, "case_label"], quotas, ranked, keys)
+    train = take_quota(cases, [*within, "case_label"], quotas, ranked, keys, cases.count())
     marked = train.select(*keys, F.lit(False).alias("is_holdout"))
-    return cases.join(marked, keys, "left").withColumn("is_holdout", F.coalesce("is_holdout", F.lit(True)))
+    split = cases.join(marked, keys, "left").withColumn("is_holdout", F.coalesce("is_holdout", F.lit(True)))
+    return materialize(split, "split")
 
 
 def rows_of(df: DataFrame, cases: DataFrame, keys: Sequence[str] = CASE_KEYS) -> DataFrame:

@@ -38,30 +38,28 @@ def with_dataset(df: DataFrame, split: DataFrame, keys: Sequence[str]) -> DataFr
     return marked.withColumn("dataset", name).where(F.col("dataset").isNotNull()).drop("_held")
 
 
-def row_thresholds(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """F1 threshold of every model, tuned on the holdout."""
-    keys = [*by, "model"]
-    ranked = ranked_scores(scored.where(F.col("dataset") == HOLDOUT), keys)
-    return materialize(best_thresholds(ranked, keys), "row_thresholds")
+def rank(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Cumulative counts of every (repetition, dataset, model), the base of all metrics."""
+    return ranked_scores(scored, [*by, "dataset", "model"])
 
 
-def row_metrics(scored: DataFrame, thresholds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    keys = [*by, "dataset", "model"]
-    return metrics_table(ranked_scores(scored, keys), keys, thresholds, [*by, "model"])
+def tune(ranked: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """F1 threshold of every model, tuned on the holdout."""
+    held = ranked.where(F.col("dataset") == HOLDOUT)
+    return materialize(best_thresholds(held, [*by, "model"]), "thresholds")
 
 
-def flights_of(scored: DataFrame, by: Sequence[str] = (), case: str = "case_id") -> DataFrame:
-    """One row per flight and model with its highest label and score."""
-    return case_scores(scored, [*by, "dataset", "model", case])
+def metrics(ranked: DataFrame, thresholds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The metric record of every (repetition, dataset, model)."""
+    return metrics_table(ranked, [*by, "dataset", "model"], thresholds, [*by, "model"])
 
 
-def case_thresholds(cases: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """F1 threshold of every model over holdout flights."""
-    return row_thresholds(cases, by)
-
+def flights_of(scored: DataFrame, by: Sequence[str] = (), case: str = "case_id") -> DataFrame:
+    """One row per flight and model with its highest label and score.
 
-def case_metrics(cases: DataFrame, thresholds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return row_metrics(cases, thresholds, by)
+    Ranked, tuned and measured like rows, this gives the flight-level table.
+    """
+    return case_scores(scored, [*by, "dataset", "model", case])
 
 
 def type_rows(scored: DataFrame, thresholds: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -63,9 +63,8 @@ def scored(spark, sf_dir):
     rows = all_profiles(spark, sf_dir)
     held = split(spark, sf_dir)
     tagged = evaluation.with_dataset(rows, held, ["replicate", "case_id"])
-    return evaluation.long_scores(
-        tagged.select("dataset", "replicate", "case_id", "label", "tamper_type", "case_name", *MODELS), MODELS
-    )
+    slim = tagged.select("dataset", "replicate", "case_id", "label", "tamper_type", "case_name", *MODELS)
+    return evaluation.long_scores(slim, MODELS)
 
 
 def _metric_columns(table, *keys):
@@ -73,9 +72,8 @@ def _metric_columns(table, *keys):
 
 
 def metrics_table(spark, sf_dir):
-    rows = scored(spark, sf_dir)
-    table = evaluation.row_metrics(rows, evaluation.row_thresholds(rows))
-    return _metric_columns(table, "dataset", "model")
+    ranked = evaluation.rank(scored(spark, sf_dir))
+    return _metric_columns(evaluation.metrics(ranked, evaluation.tune(ranked)), "dataset", "model")
 
 
 def case_scores(spark, sf_dir):
@@ -84,14 +82,14 @@ def case_scores(spark, sf_dir):
 
 
 def case_metrics(spark, sf_dir):
-    cases = evaluation.flights_of(scored(spark, sf_dir))
-    table = evaluation.case_metrics(cases, evaluation.case_thresholds(cases))
-    return _metric_columns(table, "dataset", "model")
+    ranked = evaluation.rank(evaluation.flights_of(scored(spark, sf_dir)))
+    return _metric_columns(evaluation.metrics(ranked, evaluation.tune(ranked)), "dataset", "model")
 
 
 def _type_rows(spark, sf_dir):
     rows = scored(spark, sf_dir)
-    long = evaluation.type_rows(rows, evaluation.row_thresholds(rows))
+    held = rows.where(F.col("dataset") == evaluation.HOLDOUT)
+    long = evaluation.type_rows(rows, evaluation.tune(evaluation.rank(held)))
     return casewise.side_by_side(long, ["dataset", "tamper_type", "n_rows"], PREFIX, ["flag_rate", "pr_auc", "f1"])
 
 
@@ -108,7 +106,8 @@ def case_types(spark, sf_dir):
 
 def per_type_case(spark, sf_dir):
     rows = scored(spark, sf_dir)
-    thresholds = evaluation.case_thresholds(evaluation.flights_of(rows))
+    held = rows.where(F.col("dataset") == evaluation.HOLDOUT)
+    thresholds = evaluation.tune(evaluation.rank(evaluation.flights_of(held)))
     table = casewise.side_by_side(
         evaluation.type_cases(rows, thresholds), ["dataset", "tamper_type", "n_cases"], PREFIX, ["flag_rate"]
     )
@@ -117,8 +116,9 @@ def per_type_case(spark, sf_dir):
 
 def replicate_metrics(spark, sf_dir):
     """The row protocol of every replicate, thresholds tuned per replicate."""
-    rows = scored(spark, sf_dir)
-    return evaluation.row_metrics(rows, evaluation.row_thresholds(rows, ["replicate"]), ["replicate"])
+    by = ["replicate"]
+    ranked = evaluation.rank(scored(spark, sf_dir), by)
+    return evaluation.metrics(ranked, evaluation.tune(ranked, by), by)
 
 
 def robustness_rows(spark, sf_dir):
@@ -162,8 +162,8 @@ def pivot_metrics(spark, sf_dir):
 
 
 def report_metrics(spark, sf_dir):
-    rows = scored(spark, sf_dir)
-    table = report.row_report(evaluation.row_metrics(rows, evaluation.row_thresholds(rows)))
+    ranked = evaluation.rank(scored(spark, sf_dir))
+    table = report.row_report(evaluation.metrics(ranked, evaluation.tune(ranked)))
     shown = {"PR-AUC": "pr_auc", "ROC-AUC": "roc_auc", "F1": "f1", "MCC": "mcc"}
     return table.select("Dataset", "Model", *[q(F.col(f"`{a}`"), _M).alias(b) for a, b in shown.items()])
 

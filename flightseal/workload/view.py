@@ -14,6 +14,7 @@ from ..operators.ordering import with_position
 
 # Profile -> factor on the manipulation strength.
 STRENGTH = {"balanced": "1.0E0", "strong": "1.35E0", "subtle": "0.65E0"}
+_STRENGTHS = ", ".join(f"struct('{name}' as profile, {factor} as strength)" for name, factor in STRENGTH.items())
 
 _KINDS = """case cast(user_id % 9 as int) when 0 then 'altitude_spike' when 1 then 'combined'
  when 2 then 'coordinate_jump' when 3 then 'deletion_gap' when 4 then 'heading_inconsistency'
@@ -57,8 +58,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def telemetry(spark: SparkSession, sf_dir: str, profile: str = "balanced") -> DataFrame:
-    """One flight per user, ten rows a second, with a timestamp column."""
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = events(spark, sf_dir).select(
         "user_id",
         "event_id",
@@ -67,19 +67,20 @@ def telemetry(spark: SparkSession, sf_dir: str, profile: str = "balanced") -> Da
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     )
     rows = with_position(raw, ["user_id"], "event_id", "row_idx")
-    rows = rows.withColumn("row_idx", F.col("row_idx").cast("int"))
-    marked = rows.selectExpr("*", *_select(_MARKED))
-    out = marked.selectExpr(*_select(_COLUMNS, STRENGTH[profile]))
+    return rows.withColumn("row_idx", F.col("row_idx").cast("int")).selectExpr("*", *_select(_MARKED))
+
+
+def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One flight per user, ten rows a second, with a timestamp column."""
+    out = _marked(spark, sf_dir).selectExpr(*_select(_COLUMNS))
     return out.withColumn("timestamp", F.timestamp_millis("t_ms"))
 
 
 def all_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three profiles stacked, tagged by `profile`."""
-    parts = [telemetry(spark, sf_dir, p).withColumn("profile", F.lit(p)) for p in STRENGTH]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    rows = _marked(spark, sf_dir).selectExpr("*", f"inline(array({_STRENGTHS}))")
+    out = rows.selectExpr("profile", *_select(_COLUMNS, "strength"))
+    return out.withColumn("timestamp", F.timestamp_millis("t_ms"))
 
 
 def telemetry_sql(profile: str = "balanced") -> str:
