@@ -33,7 +33,7 @@ def summarise(
     spread = [F.avg(m).alias(f"{m}_mean") for m in metrics] + [F.stddev_pop(m).alias(f"{m}_std") for m in metrics]
     table = results.groupBy(*by).agg(*spread, *[F.avg(m).alias(m) for m in means])
     return table.withColumns(
-        {m: F.format_string("%.4f ± %.4f", F.col(f"{m}_mean"), F.col(f"{m}_std")) for m in metrics}
+        {m: F.concat(fixed(F.col(f"{m}_mean"), 4), F.lit(" ± "), fixed(F.col(f"{m}_std"), 4)) for m in metrics}
     )
 
 
@@ -102,15 +102,20 @@ def case_report(table: DataFrame) -> DataFrame:
     )
 
 
+def fixed(value: Column, digits: int, suffix: str = "") -> Column:
+    """Text with a fixed number of decimals, ties to even."""
+    return F.format_string(f"%.{digits}f{suffix}", F.bround(value, digits))
+
+
 def percent(value: Column) -> Column:
-    return F.format_string("%.1f%%", value * 100.0)
+    return fixed(value * 100.0, 1, "%%")
 
 
 def type_report(table: DataFrame, profile: str) -> DataFrame:
     """Types of one profile, best detected first, missing last."""
 
     def ap(name: str) -> Column:
-        return F.when(F.col(name).isNull(), "-").otherwise(F.format_string("%.3f", F.col(name)))
+        return F.when(F.col(name).isNull(), "-").otherwise(fixed(F.col(name), 3))
 
     ordered = table.where(F.col("dataset") == profile).orderBy(F.col("gb_pr_auc").desc_nulls_last(), "tamper_type")
     return ordered.select(
