@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import (
@@ -26,9 +26,20 @@ def phase_counts(df: DataFrame, pool: Sequence[str] = (), phase: str = "phase")
     return df.where(F.col(phase).isNotNull()).groupBy(*pool, phase).agg(F.count(F.lit(1)).alias("rows"))
 
 
+def pool_sizes(df: DataFrame, pool: Sequence[str], phase: str = "phase") -> DataFrame:
+    """Rows per (pool, phase) with the pool's rows and its smallest phase; a few rows per pool."""
+    sizes = df.groupBy(*pool, phase).agg(F.count(F.lit(1)).alias("rows"))
+    whole = Window.partitionBy(*pool)
+    smallest = F.min(F.when(F.col(phase).isNotNull(), F.col("rows"))).over(whole)
+    return materialize(
+        sizes.withColumns({"pool_rows": F.sum("rows").over(whole), "smallest": smallest}), "phases"
+    )
+
+
 def phase_stats(
     df: DataFrame,
     pool: Sequence[str],
+    sizes: DataFrame,
     columns: Sequence[str] = CONSISTENCY_FEATURES,
     phase: str = "phase",
     builtin_rows: int = BUILTIN_ROWS,
@@ -36,36 +47,37 @@ def phase_stats(
     """Median and scale of every column per (pool, phase).
 
     Phases with fewer than MIN_PHASE_ROWS rows use the statistics of their whole
-    pool; those are computed only for pools that have such a phase.
+    pool. Rows of pools that have such a phase are counted a second time under
+    the pool itself, so both levels come out of the same passes.
     """
-    pool = list(pool)
-    sizes = materialize(df.groupBy(*pool, phase).agg(F.count(F.lit(1)).alias("rows")), "phases")
-    per_pool = sizes.groupBy(*pool).agg(
-        F.sum("rows").alias("all_rows"),
-        F.coalesce(F.min(F.when(F.col(phase).isNotNull(), F.col("rows"))), F.lit(0)).alias("smallest"),
-    )
-    known = sizes.where(F.col(phase).isNotNull())
-    largest = known.agg(F.max("rows")).first()[0] or 0
-    own = robust_stats(df.where(F.col(phase).isNotNull()), [*pool, phase], columns, largest, builtin_rows)
-    stats = [f"{c}_{part}" for c in columns for part in ("median", "scale")]
-
-    thin_pools = per_pool.where((F.col("smallest") > 0) & (F.col("smallest") < MIN_PHASE_ROWS))
-    widest = thin_pools.agg(F.max("all_rows")).first()[0]
-    joined = known.join(own, [*pool, phase])
-    if widest is None:
-        return materialize(joined.select(*pool, phase, *stats), "phase_stats")
-    listed = materialize(thin_pools.select(*pool), "thin_pools")
-    whole = robust_stats(df.join(listed, pool, "left_semi"), pool, columns, widest, builtin_rows)
-    joined = joined.join(whole.select(*pool, *[F.col(s).alias(f"_pool_{s}") for s in stats]), pool, "left")
-    enough = F.col("rows") >= MIN_PHASE_ROWS
-    chosen = [F.when(enough, F.col(s)).otherwise(F.col(f"_pool_{s}")).alias(s) for s in stats]
-    return materialize(joined.select(*pool, phase, *chosen), "phase_stats")
-
-
-def altitude_bounds(df: DataFrame, pool: Sequence[str], builtin_rows: int = BUILTIN_ROWS) -> DataFrame:
+    pool, group = list(pool), [*pool, "_whole", "_phase"]
+    known = F.col(phase).isNotNull()
+    small = F.col("smallest") < MIN_PHASE_ROWS
+    largest, widest = sizes.agg(
+        F.max(F.when(known, F.col("rows"))), F.max(F.when(small, F.col("pool_rows")))
+    ).first()
+    slim = df.select(*pool, phase, *columns)
+    levels = slim.where(known).withColumns({"_whole": F.lit(False), "_phase": F.col(phase)})
+    if widest is not None:
+        listed = materialize(sizes.where(small).select(*pool).distinct(), "small_pools")
+        again = slim.join(listed, pool, "left_semi").withColumns({"_whole": F.lit(True), "_phase": F.lit("")})
+        levels = levels.unionByName(again)
+    stats = robust_stats(levels, group, columns, max(largest or 0, widest or 0), builtin_rows)
+
+    names = [f"{c}_{part}" for c in columns for part in ("median", "scale")]
+    lookup = {"_whole": F.col("rows") < MIN_PHASE_ROWS}
+    lookup["_phase"] = F.when(lookup["_whole"], F.lit("")).otherwise(F.col(phase))
+    wanted = sizes.where(known).select(*pool, phase, "rows").withColumns(lookup)
+    return materialize(wanted.join(stats, group).select(*pool, phase, *names), "phase_stats")
+
+
+def altitude_bounds(
+    df: DataFrame, pool: Sequence[str], sizes: DataFrame | None = None, builtin_rows: int = BUILTIN_ROWS
+) -> DataFrame:
     """The largest plausible climb or descent rate of every pool."""
+    largest = sizes.agg(F.max("pool_rows")).first()[0] if sizes is not None else None
     rate = F.abs(F.col(ALTITUDE_RATE))
-    top = percentiles(df, pool, {"_top": (rate, ALTITUDE_QUANTILE)}, builtin_rows=builtin_rows)
+    top = percentiles(df, pool, {"_top": (rate, ALTITUDE_QUANTILE)}, largest=largest, builtin_rows=builtin_rows)
     bound = F.greatest(F.lit(ALTITUDE_FLOOR_MPS), F.col("_top") * ALTITUDE_HEADROOM)
     return materialize(top.select(*pool, bound.alias("alt_bound")), "altitude")
 
@@ -78,6 +90,7 @@ def narrowed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def robust_z(
     df: DataFrame,
     pool: Sequence[str],
+    sizes: DataFrame,
     columns: Sequence[str] = CONSISTENCY_FEATURES,
     phase: str = "phase",
     builtin_rows: int = BUILTIN_ROWS,
@@ -87,7 +100,7 @@ def robust_z(
     0 where the column does not vary or the row has no phase.
     """
     pool = list(pool)
-    stats = phase_stats(df, pool, columns, phase, builtin_rows)
+    stats = phase_stats(df, pool, sizes, columns, phase, builtin_rows)
     rows = df.join(stats, [*pool, phase], "left")
     z = {
         f"z_{c}": F.when(F.col(f"{c}_scale").isNull(), 0.0).otherwise(
@@ -101,13 +114,17 @@ def robust_z(
 def altitude_plausibility(
     df: DataFrame,
     pool: Sequence[str],
+    sizes: DataFrame | None = None,
     threshold: float = Z_THRESHOLD,
     builtin_rows: int = BUILTIN_ROWS,
 ) -> DataFrame:
     """Adds `z_alt_rate_mps`: `threshold` exactly at the plausibility bound, linear beyond."""
-    bounds = altitude_bounds(df, pool, builtin_rows)
-    score = F.lit(threshold) * F.abs(F.col(ALTITUDE_RATE)) / F.col("alt_bound")
-    return df.join(bounds, list(pool), "left").withColumn(f"z_{ALTITUDE_RATE}", score).drop("alt_bound")
+    bounds = altitude_bounds(df, pool, sizes, builtin_rows)
+    return df.join(bounds, list(pool), "left").withColumn(f"z_{ALTITUDE_RATE}", _over_bound(threshold)).drop("alt_bound")
+
+
+def _over_bound(threshold: float) -> Column:
+    return F.lit(threshold) * F.abs(F.col(ALTITUDE_RATE)) / F.col("alt_bound")
 
 
 def score_baseline(
@@ -130,9 +147,10 @@ def score_baseline(
     if pool == ["_pool"]:
         judged = judged.withColumn("_pool", F.lit(0))
     rows = materialize(judged, "judged")
-    scored = altitude_plausibility(
-        robust_z(rows, pool, columns, phase, builtin_rows), pool, threshold, builtin_rows
-    )
+    sizes = pool_sizes(rows, pool, phase)
+    scored = robust_z(rows, pool, sizes, columns, phase, builtin_rows)
+    bounds = altitude_bounds(rows, pool, sizes, builtin_rows)
+    scored = scored.join(bounds, pool, "left").withColumn(f"z_{ALTITUDE_RATE}", _over_bound(threshold))
     ordered = [*columns, ALTITUDE_RATE]
     size = {c: F.coalesce(F.abs(F.col(f"z_{c}")), F.lit(0.0)) for c in ordered}
     scored = scored.withColumn("anomaly_score", F.greatest(*size.values()))
@@ -140,4 +158,4 @@ def score_baseline(
     for c in reversed(ordered[:-1]):
         worst = F.when(size[c] == F.col("anomaly_score"), F.lit(c)).otherwise(worst)
     scored = scored.withColumns({"worst_feature": worst, "flagged": F.col("anomaly_score") > threshold})
-    return scored.drop("_pool", *[f"z_{c}" for c in ordered])
+    return scored.drop("_pool", "alt_bound", *[f"z_{c}" for c in ordered])

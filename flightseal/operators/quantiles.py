@@ -137,7 +137,7 @@ def robust_stats(
         largest=largest,
         builtin_rows=builtin_rows,
     )
-    both = centres.join(materialize(spreads, "spreads"), keys)
+    both = centres.join(spreads, keys)
     out = []
     for c in columns:
         scale = F.col(f"{c}_mad") * MAD_TO_STD

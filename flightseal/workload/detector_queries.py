@@ -35,12 +35,14 @@ def phase_counts(spark, sf_dir):
 
 
 def robust_stats(spark, sf_dir):
-    stats = detector.phase_stats(_judged(spark, sf_dir, "case_id"), ["pool"])
+    rows = _judged(spark, sf_dir, "case_id")
+    stats = detector.phase_stats(rows, ["pool"], detector.pool_sizes(rows, ["pool"]))
     return stats.select("phase", *[q(c, 1_000_000).alias(c) for c in stats.columns if c not in ("pool", "phase")])
 
 
 def robust_z(spark, sf_dir):
-    z = detector.robust_z(_judged(spark, sf_dir, "case_id"), ["pool"])
+    rows = _judged(spark, sf_dir, "case_id")
+    z = detector.robust_z(rows, ["pool"], detector.pool_sizes(rows, ["pool"]))
     return z.select("case_id", "row_idx", *[q(f"z_{c}").alias(f"z_{c}") for c in _COLUMNS])
 
 
