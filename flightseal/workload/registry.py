@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audit_queries, detector_queries, feature_queries, ingest_queries, sampling_queries, scoring_queries
+from . import audit_queries, detector_queries, feature_queries, ingest_queries, model_queries, sampling_queries, scoring_queries
 
-_MODULES = (ingest_queries, audit_queries, feature_queries, sampling_queries, scoring_queries, detector_queries)
+_MODULES = (ingest_queries, audit_queries, feature_queries, sampling_queries, scoring_queries, detector_queries, model_queries)
 
 
 def queries() -> dict:
