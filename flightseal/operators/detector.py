@@ -16,7 +16,7 @@ from ..constants import (
     Z_THRESHOLD,
 )
 from ..session import materialize
-from .quantiles import BUILTIN_ROWS, percentiles, robust_stats
+from .quantiles import GROUP_ROWS, TOTAL_ROWS, percentiles, robust_stats
 
 ALTITUDE_RATE = "alt_rate_mps"
 
@@ -42,7 +42,8 @@ def phase_stats(
     sizes: DataFrame,
     columns: Sequence[str] = CONSISTENCY_FEATURES,
     phase: str = "phase",
-    builtin_rows: int = BUILTIN_ROWS,
+    group_rows: int = GROUP_ROWS,
+    total_rows: int = TOTAL_ROWS,
 ) -> DataFrame:
     """Median and scale of every column per (pool, phase).
 
@@ -51,18 +52,18 @@ def phase_stats(
     the pool itself, so both levels come out of the same passes.
     """
     pool, group = list(pool), [*pool, "_whole", "_phase"]
-    known = F.col(phase).isNotNull()
-    small = F.col("smallest") < MIN_PHASE_ROWS
-    largest, widest = sizes.agg(
-        F.max(F.when(known, F.col("rows"))), F.max(F.when(small, F.col("pool_rows")))
-    ).first()
+    known, small = F.col(phase).isNotNull(), F.col("smallest") < MIN_PHASE_ROWS
+    own = {"_whole": F.lit(False), "_phase": F.col(phase)}
+    whole = {"_whole": F.lit(True), "_phase": F.lit("")}
     slim = df.select(*pool, phase, *columns)
-    levels = slim.where(known).withColumns({"_whole": F.lit(False), "_phase": F.col(phase)})
-    if widest is not None:
-        listed = materialize(sizes.where(small).select(*pool).distinct(), "small_pools")
-        again = slim.join(listed, pool, "left_semi").withColumns({"_whole": F.lit(True), "_phase": F.lit("")})
+    levels = slim.where(known).withColumns(own)
+    level_sizes = sizes.where(known).withColumns(own).select(*group, "rows")
+    if not sizes.where(small).isEmpty():
+        pools = materialize(sizes.where(small).select(*pool, F.col("pool_rows").alias("rows")).distinct(), "pools")
+        again = slim.join(pools.select(*pool), pool, "left_semi").withColumns(whole)
         levels = levels.unionByName(again)
-    stats = robust_stats(levels, group, columns, max(largest or 0, widest or 0), builtin_rows)
+        level_sizes = level_sizes.unionByName(pools.withColumns(whole))
+    stats = robust_stats(levels, group, columns, level_sizes, group_rows, total_rows)
 
     names = [f"{c}_{part}" for c in columns for part in ("median", "scale")]
     lookup = {"_whole": F.col("rows") < MIN_PHASE_ROWS}
@@ -72,12 +73,17 @@ def phase_stats(
 
 
 def altitude_bounds(
-    df: DataFrame, pool: Sequence[str], sizes: DataFrame | None = None, builtin_rows: int = BUILTIN_ROWS
+    df: DataFrame,
+    pool: Sequence[str],
+    sizes: DataFrame | None = None,
+    group_rows: int = GROUP_ROWS,
+    total_rows: int = TOTAL_ROWS,
 ) -> DataFrame:
     """The largest plausible climb or descent rate of every pool."""
-    largest = sizes.agg(F.max("pool_rows")).first()[0] if sizes is not None else None
-    rate = F.abs(F.col(ALTITUDE_RATE))
-    top = percentiles(df, pool, {"_top": (rate, ALTITUDE_QUANTILE)}, largest=largest, builtin_rows=builtin_rows)
+    if sizes is not None:
+        sizes = sizes.groupBy(*pool).agg(F.max("pool_rows").alias("rows"))
+    wanted = {"_top": (F.abs(F.col(ALTITUDE_RATE)), ALTITUDE_QUANTILE)}
+    top = percentiles(df, pool, wanted, (), sizes, group_rows, total_rows)
     bound = F.greatest(F.lit(ALTITUDE_FLOOR_MPS), F.col("_top") * ALTITUDE_HEADROOM)
     return materialize(top.select(*pool, bound.alias("alt_bound")), "altitude")
 
@@ -93,14 +99,15 @@ def robust_z(
     sizes: DataFrame,
     columns: Sequence[str] = CONSISTENCY_FEATURES,
     phase: str = "phase",
-    builtin_rows: int = BUILTIN_ROWS,
+    group_rows: int = GROUP_ROWS,
+    total_rows: int = TOTAL_ROWS,
 ) -> DataFrame:
     """Adds `z_<c>`: distance from the row's own phase in robust units.
 
     0 where the column does not vary or the row has no phase.
     """
     pool = list(pool)
-    stats = phase_stats(df, pool, sizes, columns, phase, builtin_rows)
+    stats = phase_stats(df, pool, sizes, columns, phase, group_rows, total_rows)
     rows = df.join(stats, [*pool, phase], "left")
     z = {
         f"z_{c}": F.when(F.col(f"{c}_scale").isNull(), 0.0).otherwise(
@@ -116,10 +123,11 @@ def altitude_plausibility(
     pool: Sequence[str],
     sizes: DataFrame | None = None,
     threshold: float = Z_THRESHOLD,
-    builtin_rows: int = BUILTIN_ROWS,
+    group_rows: int = GROUP_ROWS,
+    total_rows: int = TOTAL_ROWS,
 ) -> DataFrame:
     """Adds `z_alt_rate_mps`: `threshold` exactly at the plausibility bound, linear beyond."""
-    bounds = altitude_bounds(df, pool, sizes, builtin_rows)
+    bounds = altitude_bounds(df, pool, sizes, group_rows, total_rows)
     return df.join(bounds, list(pool), "left").withColumn(f"z_{ALTITUDE_RATE}", _over_bound(threshold)).drop("alt_bound")
 
 
@@ -133,7 +141,8 @@ def score_baseline(
     threshold: float = Z_THRESHOLD,
     columns: Sequence[str] = CONSISTENCY_FEATURES,
     phase: str = "phase",
-    builtin_rows: int = BUILTIN_ROWS,
+    group_rows: int = GROUP_ROWS,
+    total_rows: int = TOTAL_ROWS,
 ) -> DataFrame:
     """Adds `anomaly_score`, `worst_feature` and `flagged`.
 
@@ -148,8 +157,8 @@ def score_baseline(
         judged = judged.withColumn("_pool", F.lit(0))
     rows = materialize(judged, "judged")
     sizes = pool_sizes(rows, pool, phase)
-    scored = robust_z(rows, pool, sizes, columns, phase, builtin_rows)
-    bounds = altitude_bounds(rows, pool, sizes, builtin_rows)
+    scored = robust_z(rows, pool, sizes, columns, phase, group_rows, total_rows)
+    bounds = altitude_bounds(rows, pool, sizes, group_rows, total_rows)
     scored = scored.join(bounds, pool, "left").withColumn(f"z_{ALTITUDE_RATE}", _over_bound(threshold))
     ordered = [*columns, ALTITUDE_RATE]
     size = {c: F.coalesce(F.abs(F.col(f"z_{c}")), F.lit(0.0)) for c in ordered}

@@ -11,45 +11,67 @@ from ..constants import MAD_TO_STD, MIN_SCALE
 from ..session import materialize
 from .running import running_sums
 
-# Groups up to this many rows use the built-in exact percentile, whose buffer
-# holds the group's distinct values.
-BUILTIN_ROWS = 1 << 20
+# The built-in exact percentile buffers the distinct values of every group a task
+# works on. It is used where groups are small, or where all rows together are few.
+GROUP_ROWS = 1 << 14
+TOTAL_ROWS = 1 << 18
 _ACCURACY = 10_000
 _MARGIN = 4 / _ACCURACY
 # Below this many values the margin is less than two ranks wide: keep them all.
 _KEEP_ALL = 2 * _ACCURACY
 
+Wanted = dict[str, tuple[Column, float]]
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the largest group."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    return sizes.agg(F.max("rows")).first()[0] or 0
+
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def percentiles(
     df: DataFrame,
     keys: Sequence[str],
-    wanted: dict[str, tuple[Column, float]],
+    wanted: Wanted,
     also: Sequence[Column] = (),
-    largest: int | None = None,
-    builtin_rows: int = BUILTIN_ROWS,
+    sizes: DataFrame | None = None,
+    group_rows: int = GROUP_ROWS,
+    total_rows: int = TOTAL_ROWS,
 ) -> DataFrame:
     """One row per group: every wanted quantile (linear interpolation, NULL skipped).
 
-    `also` are plain aggregates to compute on the way. Small groups use the
-    built-in percentile. Where a group is larger, approximate quantiles with a
-    guaranteed rank error first bound each wanted value from both sides; then
-    only values inside the bounds are counted one by one, and everything below
-    is a single count. No task ever holds a group.
+    `also` are plain aggregates to compute on the way; `sizes` are the rows per
+    group where they are known already. Groups above `group_rows` go through
+    bounded counting, the others through the built-in percentile. Fewer than
+    total / group_rows groups can be large, so the list that separates them is
+    short.
     """
     keys = list(keys)
-    if largest is None:
-        largest = largest_group(df, keys)
-    if largest <= builtin_rows:
-        exact = [F.percentile(value, share).alias(name) for name, (value, share) in wanted.items()]
-        return df.groupBy(*keys).agg(*exact, *also)
-
-    keyed, group = (df, keys) if keys else (df.withColumn("_all", F.lit(0)), ["_all"])
+    sizes = group_sizes(df, keys) if sizes is None else sizes
+    total, largest, groups = sizes.agg(F.sum("rows"), F.max("rows"), F.count(F.lit(1))).first()
+    if (total or 0) <= total_rows or largest <= group_rows:
+        return _builtin(df, keys, wanted, also)
+    if not keys:
+        return _counted(df, keys, wanted, also)
+    large = materialize(sizes.where(F.col("rows") > group_rows).select(*keys), "large")
+    out = _counted(df.join(large, keys, "left_semi"), keys, wanted, also)
+    if large.count() < groups:
+        out = out.unionByName(_builtin(df.join(large, keys, "left_anti"), keys, wanted, also))
+    return out
+
+
+def _builtin(df: DataFrame, keys: list[str], wanted: Wanted, also: Sequence[Column]) -> DataFrame:
+    exact = [F.percentile(value, share).alias(name) for name, (value, share) in wanted.items()]
+    return df.groupBy(*keys).agg(*exact, *also)
+
+
+def _counted(df: DataFrame, keys: list[str], wanted: Wanted, also: Sequence[Column]) -> DataFrame:
+    """Exact quantiles without holding a group in a task.
+
+    Approximate quantiles with a guaranteed rank error bound each wanted value
+    from both sides. Only values inside the bounds are then counted one by one,
+    and everything below is a single count.
+    """
+    group = keys or ["_all"]
+    keyed = df if keys else df.withColumn("_all", F.lit(0))
     slim = keyed.withColumns({f"_v_{name}": value.cast("double") for name, (value, _) in wanted.items()})
     edges = []
     for name, (_, share) in wanted.items():
@@ -107,8 +129,9 @@ def robust_stats(
     df: DataFrame,
     keys: Sequence[str],
     columns: Sequence[str],
-    largest: int | None = None,
-    builtin_rows: int = BUILTIN_ROWS,
+    sizes: DataFrame | None = None,
+    group_rows: int = GROUP_ROWS,
+    total_rows: int = TOTAL_ROWS,
 ) -> DataFrame:
     """`<c>_median` and `<c>_scale` per group.
 
@@ -116,27 +139,12 @@ def robust_stats(
     collapses, or NULL where the column does not vary.
     """
     keys = list(keys)
-    if largest is None:
-        largest = largest_group(df, keys)
-    centres = materialize(
-        percentiles(
-            df,
-            keys,
-            {f"{c}_median": (F.col(c), 0.5) for c in columns},
-            [F.stddev_samp(c).alias(f"{c}_std") for c in columns],
-            largest,
-            builtin_rows,
-        ),
-        "centres",
-    )
+    medians: Wanted = {f"{c}_median": (F.col(c), 0.5) for c in columns}
+    stds = [F.stddev_samp(c).alias(f"{c}_std") for c in columns]
+    centres = materialize(percentiles(df, keys, medians, stds, sizes, group_rows, total_rows), "centres")
     away = df.select(*keys, *columns).join(centres, keys)
-    spreads = percentiles(
-        away,
-        keys,
-        {f"{c}_mad": (F.abs(F.col(c) - F.col(f"{c}_median")), 0.5) for c in columns},
-        largest=largest,
-        builtin_rows=builtin_rows,
-    )
+    mads: Wanted = {f"{c}_mad": (F.abs(F.col(c) - F.col(f"{c}_median")), 0.5) for c in columns}
+    spreads = percentiles(away, keys, mads, (), sizes, group_rows, total_rows)
     both = centres.join(spreads, keys)
     out = []
     for c in columns:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import CASE_KEYS, ORDER, TARGET_DT_S
 from ..functions.kinematics import seconds_between
 from .ordering import with_position, with_previous
-from .quantiles import BUILTIN_ROWS, percentiles
+from .quantiles import TOTAL_ROWS, percentiles
 
 
 def sampling_interval(
@@ -19,13 +19,13 @@ def sampling_interval(
     order: str = ORDER,
     target_dt_s: float = TARGET_DT_S,
     limit: int | None = None,
-    builtin_rows: int = BUILTIN_ROWS,
+    total_rows: int = TOTAL_ROWS,
 ) -> DataFrame:
     """One row: median seconds between rows of a flight, and the step that reaches the target."""
     slim = df.select(*keys, order, "timestamp")
     timed = with_previous(slim, keys, order, {"timestamp": "_before"}, limit)
     delta = seconds_between(F.col("timestamp"), F.col("_before"))
-    median = percentiles(timed, [], {"median_dt_s": (delta, 0.5)}, builtin_rows=builtin_rows)
+    median = percentiles(timed, [], {"median_dt_s": (delta, 0.5)}, total_rows=total_rows)
     ratio = F.try_divide(F.lit(target_dt_s), F.col("median_dt_s"))
     return median.withColumn("step", F.greatest(F.lit(1), F.bround(ratio).cast("int")))
 

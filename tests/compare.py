@@ -63,6 +63,8 @@ def main():
     sf_dir = f"/root/testdata/{sys.argv[1]}"
     wanted = sys.argv[2:]
     spark = build_session()
+    if "FLIGHTSEAL_WINDOW_ROWS" in os.environ:  # cut flights even where they are short
+        spark.conf.set("spark.flightseal.windowRows", os.environ["FLIGHTSEAL_WINDOW_ROWS"])
     con = connect(sf_dir)
     oracles = contract.oracle_sql()
     failures = 0
