@@ -1,0 +1,152 @@
+"""Readers, adaptation and sinks."""
+
+import os
+import uuid
+
+import pytest
+from pyspark.sql import functions as F
+
+from flightseal.operators.adapt import adapt_log, find_column
+from flightseal.sources import logs, results, telemetry
+
+
+@pytest.fixture
+def folder(spark):
+    path = os.path.join(spark.conf.get("spark.checkpoint.dir"), uuid.uuid4().hex)
+    os.makedirs(path)
+    return path
+
+
+HEADER = "Timestamp,Latitude,Longitude,Altitude(meters),Speed(m/s),Yaw,ModeCode"
+
+
+def write(path, header, lines):
+    with open(path, "w") as f:
+        f.write(header + "\n" + "\n".join(lines) + "\n")
+
+
+def test_candidates_are_tried_in_order():
+    assert find_column(["lat", "Latitude"], ["Latitude", "latitude", "lat"], "latitude") == "Latitude"
+    with pytest.raises(ValueError, match="latitude.*tried.*LATITUDE"):
+        find_column(["LATITUDE"], ["Latitude", "latitude", "lat"], "latitude")
+
+
+def test_logs_with_two_headers(spark, folder):
+    write(f"{folder}/b flight.v2.csv", HEADER, ["1000,8.5,98.5,10,n/a,90,", "1500.5,8.6,98.5,,1e1,91,WAYLINE", "x,1.0d,98.5,3,2,,"])
+    write(f"{folder}/a.csv", "lng,lat,alt,speed,heading,Time(millis)", ["98.1,8.1,5,2.5,10,0", "98.2,8.2,6,2.6,11,2000"])
+    got = logs.read_logs(spark, [f"{folder}/b flight.v2.csv", f"{folder}/a.csv"])
+    rows = got.orderBy("case_id", "row_idx").withColumn("us", F.unix_micros("timestamp")).collect()
+    assert [(r["case_id"], r["source"], r["row_idx"], r["phase"]) for r in rows] == [
+        (0, "b flight.v2", 0, "WAYLINE"), (0, "b flight.v2", 1, "WAYLINE"), (0, "b flight.v2", 2, "WAYLINE"),
+        (1, "a", 0, "flight"), (1, "a", 1, "flight"),
+    ]
+    assert [r["us"] for r in rows] == [1_000_000, 1_500_500, None, 0, 2_000_000]
+    assert [r["speed"] for r in rows] == [None, 10.0, 2.0, 2.5, 2.6]
+    assert [r["latitude"] for r in rows] == [8.5, 8.6, None, 8.1, 8.2]
+    assert [r["altitude"] for r in rows] == [10.0, None, 3.0, 5.0, 6.0]
+    assert [r["heading"] for r in rows] == [90.0, 91.0, None, 10.0, 11.0]
+
+
+def test_positions_across_file_splits(spark, folder):
+    """A log that is read by many tasks keeps its row order."""
+    n = 4000
+    write(f"{folder}/long.csv", HEADER, [f"{i * 100},8.{i},98,1,1,1,{'A' if i == n - 1 else ''}" for i in range(n)])
+    write(f"{folder}/short.csv", HEADER, ["7,8.0,98,1,1,1,B"])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    spark.conf.set("spark.flightseal.windowRows", "500")
+    try:
+        headers = logs.file_headers(spark, [folder])
+        assert len(headers) == 2 and set(headers.values()) == {HEADER}
+        rows = logs.read_logs(spark, [folder]).withColumn("ms", F.unix_millis("timestamp")).collect()
+    finally:
+        for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.flightseal.windowRows"):
+            spark.conf.unset(name)
+    long = [r for r in rows if r["source"] == "long"]
+    assert len(long) == n and all(r["ms"] == r["row_idx"] * 100 for r in long)
+    assert {r["phase"] for r in long} == {"A"} and [r["phase"] for r in rows if r["source"] == "short"] == ["B"]
+
+
+def test_line_breaks_in_quotes(spark, folder):
+    write(f"{folder}/q.csv", HEADER, ['0,8,98,1,1,1,"A\nB"', "100,8,98,1,1,1,C"])
+    rows = logs.read_logs(spark, [f"{folder}/q.csv"], multi_line=True).orderBy("row_idx").collect()
+    assert [r["phase"] for r in rows] == ["A\nB", "C"]
+
+
+def test_log_without_a_needed_column(spark, folder):
+    write(f"{folder}/bad.csv", "Timestamp,Latitude", ["0,8"])
+    with pytest.raises(ValueError, match="longitude"):
+        logs.read_logs(spark, [f"{folder}/bad.csv"])
+    write(f"{folder}/untimed.csv", "lat,lng,alt,speed,yaw", ["8,98,1,1,1"])
+    with pytest.raises(ValueError, match="timestamp"):
+        logs.read_logs(spark, [f"{folder}/untimed.csv"])
+
+
+def test_phase_fill_and_default(spark):
+    columns = "case_id int, row_idx int, Timestamp long, lat double, lon double, alt double, speed double, yaw double, Mode string"
+    rows = [(0, i, i, 1.0, 1.0, 1.0, 1.0, 1.0, m) for i, m in enumerate([None, "A", None, "B", None])]
+    rows += [(1, 0, 0, 1.0, 1.0, 1.0, 1.0, 1.0, None)]
+    out = adapt_log(spark.createDataFrame(rows, columns)).orderBy("case_id", "row_idx").collect()
+    assert [r["phase"] for r in out] == ["A", "A", "A", "B", "B", None]
+    bare = adapt_log(spark.createDataFrame(rows, columns).drop("Mode"))
+    assert {r["phase"] for r in bare.collect()} == {"flight"}
+
+
+def test_telemetry_layout_and_types(spark, folder):
+    header = "row_idx,case_id,label,tamper_type,timestamp,latitude,longitude,altitude,speed,heading,source,original_row_idx,case_name"
+    for rep, profile in ((0, "balanced"), (1, "strong")):
+        os.makedirs(f"{folder}/rep_{rep:02d}")
+        write(
+            f"{folder}/rep_{rep:02d}/{profile}.csv",
+            header,
+            [
+                "0,3,0,normal,1970-01-01T00:00:00.000000+00:00,8.1,98.123456789,1,2,3,s,0,case_0003_injection",
+                "1,3,1,injection,2024-09-15T20:25:13.233001+00:00,NaN,98,1,2,3,s,1,case_0003_injection",
+                "2,3,0,normal,not a time,8,98,,2,3,s,2,case_0003_injection",
+            ],
+        )
+    df = telemetry.read_telemetry(spark, [f"{folder}/rep_00/balanced.csv", f"{folder}/rep_01/strong.csv"])
+    assert {tuple(r) for r in df.select("profile", "replicate").distinct().collect()} == {("balanced", 0), ("strong", 1)}
+    types = dict(df.dtypes)
+    assert (types["case_id"], types["row_idx"], types["label"], types["latitude"], types["timestamp"]) == (
+        "smallint", "int", "tinyint", "float", "timestamp"
+    )
+    rows = df.where("profile = 'strong'").withColumn("us", F.unix_micros("timestamp")).orderBy("row_idx").collect()
+    assert [r["us"] for r in rows] == [0, 1726431913233001, None]
+    assert [r["latitude"] is None for r in rows] == [False, True, False]
+    assert rows[2]["altitude"] is None and rows[0]["longitude"] == pytest.approx(98.12345886)
+
+    path = f"{folder}/table"
+    telemetry.write_telemetry(df, path)
+    again = spark.read.parquet(path)
+    assert again.count() == 6
+    plan = again.where("profile = 'strong'").select("speed")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(profile" in plan and "ReadSchema: struct<speed:float>" in plan
+
+
+def test_telemetry_headers_must_agree(spark, folder):
+    write(f"{folder}/one.csv", "case_id,row_idx", ["1,2"])
+    write(f"{folder}/two.csv", "row_idx,case_id", ["1,2"])
+    with pytest.raises(Exception, match="(?i)header"):
+        telemetry.read_telemetry(spark, [f"{folder}/one.csv", f"{folder}/two.csv"]).collect()
+
+
+def test_bad_number_is_an_error(spark, folder):
+    write(f"{folder}/bad.csv", "case_id,row_idx", ["1,x"])
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        telemetry.read_telemetry(spark, f"{folder}/bad.csv").collect()
+
+
+def test_sinks(spark, folder):
+    scored = spark.createDataFrame([("d1", "a", 0, 1.0), ("d1", "b", 0, 2.0)], "detector string, source string, row_idx int, anomaly_score double")
+    results.write_scored(scored, f"{folder}/scored")
+    results.write_scored(scored.where("source = 'a'").withColumn("anomaly_score", F.lit(9.0)), f"{folder}/scored")
+    results.write_scored(scored.withColumn("detector", F.lit("d2")), f"{folder}/scored")
+    back = results.read_required(spark, f"{folder}/scored", "scoring")
+    assert {(r["detector"], r["source"], r["anomaly_score"]) for r in back.collect()} == {
+        ("d1", "a", 9.0), ("d1", "b", 2.0), ("d2", "a", 1.0), ("d2", "b", 2.0)
+    }
+    results.write_table(scored, f"{folder}/table", "csv")
+    assert results.read_required(spark, f"{folder}/table", "x", "csv").columns == scored.columns
+    with pytest.raises(FileNotFoundError, match="run the robustness stage first"):
+        results.read_required(spark, f"{folder}/none", "the robustness stage")
