@@ -1,0 +1,132 @@
+"""Model pipelines, the protocol, saved models and log scoring."""
+
+import os
+import uuid
+
+import numpy as np
+import pytest
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
+
+from flightseal.constants import FEATURES
+from flightseal.operators import models
+from flightseal.operators.adapt import adapt_log
+from flightseal.operators.features import without_location
+from flightseal.plans import experiment, log_scoring
+from flightseal.sources.model_store import load_model, save_model
+from flightseal.workload.view import all_profiles, raw_log
+from tests.conftest import SF
+
+QUICK = {
+    models.GRADIENT_BOOSTING: lambda rows: models.gradient_boosting(iterations=4, depth=3),
+    models.LINEAR_SVM: lambda rows: models.linear_svm(rows, iterations=5),
+}
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    return all_profiles(spark, SF).withColumn("replicate", F.lit(0))
+
+
+@pytest.fixture(scope="module")
+def protocol(spark, rows):
+    return experiment.run_protocol(rows, [0], QUICK)
+
+
+def test_protocol_tables(protocol):
+    metrics = {(r["dataset"], r["model"]): r for r in protocol.row_metrics.collect()}
+    assert set(metrics) == {(d, m) for d in ("balanced_holdout", "strong", "subtle") for m in QUICK}
+    assert metrics[("strong", models.LINEAR_SVM)]["n"] == 1000
+    assert metrics[("balanced_holdout", models.LINEAR_SVM)]["n"] < 400
+    assert all(0.5 < r["roc_auc"] <= 1 and 0 <= r["f1"] <= 1 for r in metrics.values())
+    cases = {(r["dataset"], r["model"]): r for r in protocol.case_metrics.collect()}
+    assert cases[("balanced_holdout", models.GRADIENT_BOOSTING)]["n"] == 3
+    assert cases[("subtle", models.GRADIENT_BOOSTING)]["n"] == 15
+    assert protocol.type_rows.count() == protocol.type_cases.count() == 2 * 2 * 10
+    assert protocol.type_rows.where("n_rows > 0 and tamper_type <> 'normal' and pr_auc <= 0").count() == 0
+
+
+def test_training_flights_are_not_evaluated(protocol, rows):
+    features = experiment.feature_table(rows)
+    split = experiment.split_flights(features)
+    train = experiment.training_rows(features, split, 0)
+    trained = {r[0] for r in train.select("case_id").distinct().collect()}
+    held = {r[0] for r in protocol.scored.where("dataset = 'balanced_holdout'").select("case_id").distinct().collect()}
+    assert not trained & held and len(trained | held) == 15
+    assert {r[0] for r in train.select("profile").distinct().collect()} == {"balanced"}
+    stopped = {r[0] for r in train.where("is_validation").select("case_id").distinct().collect()}
+    assert stopped and not stopped & {r[0] for r in train.where("not is_validation").select("case_id").distinct().collect()}
+
+
+def test_saved_model_scores_alike(spark, protocol, rows):
+    bundle = experiment.scoring_model(protocol, 0, models.GRADIENT_BOOSTING)
+    path = os.path.join(spark.conf.get("spark.checkpoint.dir"), uuid.uuid4().hex)
+    save_model(spark, bundle, path)
+    again = load_model(spark, path)
+    assert (again.threshold, again.features, again.kind, again.notes) == (
+        bundle.threshold, list(FEATURES), models.GRADIENT_BOOSTING, {"replicate": 0}
+    )
+    features = experiment.feature_table(rows.where("profile = 'strong'"))
+    a = models.with_score(bundle.model, bundle.kind, features).orderBy("case_id", "row_idx").select("score").collect()
+    b = models.with_score(again.model, again.kind, features).orderBy("case_id", "row_idx").select("score").collect()
+    assert a == b
+    with pytest.raises(FileNotFoundError, match="training stage"):
+        load_model(spark, path + "-none")
+
+    logs = adapt_log(raw_log(spark, SF)).withColumn("source", F.format_string("log_%d", F.col("case_id")))
+    scored = log_scoring.score_with_model(logs, again, "main")
+    assert scored.columns == ["detector", *log_scoring.SCORED_COLUMNS]
+    at = bundle.threshold
+    assert scored.count() == 1000
+    assert scored.where((F.col("anomaly_score") >= at) != F.col("flagged")).count() == 0
+    assert scored.where("flagged").count() > 0
+    assert scored.where("latitude between 8 and 9").count() == 1000
+
+
+def test_logs_without_model(spark):
+    logs = adapt_log(raw_log(spark, SF)).withColumn("source", F.format_string("log_%d", F.col("case_id")))
+    for pooled, name in ((True, log_scoring.POOLED), (False, log_scoring.SAME_FLIGHT)):
+        scored = log_scoring.score_without_model(logs, pooled, threshold=3.0)
+        assert {r[0] for r in scored.select("detector").distinct().collect()} == {name}
+        assert scored.where((F.col("anomaly_score") > 3.0) != F.col("flagged")).count() == 0
+
+
+def test_fourier_features_approximate_the_kernel(spark):
+    points = np.random.default_rng(0).normal(size=(12, 4))
+    df = spark.createDataFrame([(i, Vectors.dense(p)) for i, p in enumerate(points)], ["id", "scaled"])
+    lift = models.RandomFourierFeatures(width=4000, gamma=0.3, seed=5)
+    out = np.array([r["features"].toArray() for r in lift.transform(df.repartition(3)).orderBy("id").collect()])
+    distances = ((points[:, None] - points[None]) ** 2).sum(-1)
+    assert np.abs(out @ out.T - np.exp(-0.3 * distances)).max() < 0.08
+    assert np.allclose(out, np.array([r["features"].toArray() for r in lift.transform(df).orderBy("id").collect()]))
+
+
+def test_rbf_pipeline_survives_saving(spark, rows):
+    from pyspark.ml import PipelineModel
+
+    features = experiment.feature_table(rows.where("profile = 'balanced'"))
+    train = experiment.training_rows(features, experiment.split_flights(features), 0)
+    fitted = models.rbf_svm(train.count(), iterations=3, width=16).fit(train)
+    path = os.path.join(spark.conf.get("spark.checkpoint.dir"), uuid.uuid4().hex)
+    fitted.write().save(path)
+    a = models.with_score(fitted, models.RBF_SVM, features).orderBy("case_id", "row_idx").select("score").collect()
+    b = models.with_score(PipelineModel.load(path), models.RBF_SVM, features).orderBy("case_id", "row_idx")
+    assert a == b.select("score").collect()
+
+
+def test_transfer_drops_location_and_thins(rows):
+    results, step = experiment.run_transfer(rows, build=lambda names: models.gradient_boosting(names, 2, 2, validation=None))
+    assert step == 20
+    assert {r["model"] for r in results.row_metrics.collect()} == {models.TRANSFER}
+    assert results.scored.where("dataset = 'strong'").count() == 58
+    bundle = experiment.scoring_model(results, 0, models.TRANSFER, without_location(), thin_step=step)
+    assert bundle.notes == {"replicate": 0, "thin_step": 20} and "latitude" not in bundle.features
+
+
+def test_learning_curve(rows):
+    curve = experiment.run_learning_curve(
+        rows, (100, 200), 500, build=lambda n: models.rbf_svm(n, iterations=2, width=8)
+    )
+    got = {(r["sample_size"], r["dataset"]): r["n"] for r in curve.collect()}
+    assert set(got) == {(s, d) for s in (100, 200) for d in ("balanced_holdout", "subtle_500")}
+    assert got[(100, "subtle_500")] == got[(200, "subtle_500")] == 500
