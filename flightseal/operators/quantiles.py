@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,44 +69,58 @@ def _counted(df: DataFrame, keys: list[str], wanted: Wanted, also: Sequence[Colu
     """Exact quantiles without holding a group in a task.
 
     Approximate quantiles with a guaranteed rank error bound each wanted value
-    from both sides. Only values inside the bounds are then counted one by one,
-    and everything below is a single count.
+    from both sides. Only values strictly inside the bounds are then counted one
+    by one; everything below, and ties on a bound, are single counts.
     """
     group = keys or ["_all"]
     keyed = df if keys else df.withColumn("_all", F.lit(0))
     slim = keyed.withColumns({f"_v_{name}": value.cast("double") for name, (value, _) in wanted.items()})
-    edges = []
+    limits = []
     for name, (_, share) in wanted.items():
         value = F.col(f"_v_{name}")
         around = F.array(F.lit(max(0.0, share - _MARGIN)), F.lit(min(1.0, share + _MARGIN)))
         near = F.percentile_approx(value, around, _ACCURACY)
         few = F.count(value) < _KEEP_ALL
-        edges += [
+        limits += [
             F.count(value).alias(f"_n_{name}"),
             F.when(few, F.min(value)).otherwise(near[0]).alias(f"_lo_{name}"),
             F.when(few, F.max(value)).otherwise(near[1]).alias(f"_hi_{name}"),
         ]
-    bounds = materialize(slim.groupBy(*group).agg(*edges, *also), "bounds")
+    bounds = materialize(slim.groupBy(*group).agg(*limits, *also), "bounds")
 
-    points = []
-    for name, (_, share) in wanted.items():
-        value, low, high = (F.col(f"{p}{name}") for p in ("_v_", "_lo_", "_hi_"))
-        points.append(
-            F.struct(
-                F.lit(name).alias("name"),
-                ((F.col(f"_n_{name}") - 1) * F.lit(share)).alias("at"),
-                F.when(value >= low, value).alias("value"),
-                (value <= high).alias("inside"),
-            )
-        )
-    counted = (
-        slim.select(*group, *[f"_v_{name}" for name in wanted])
-        .join(bounds, group)
-        .select(*group, F.explode(F.array(*points)).alias("p"))
-        .where(F.col("p.inside"))
-        .groupBy(*group, F.col("p.name").alias("_name"), F.col("p.at").alias("_at"), F.col("p.value").alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
+    def column(prefix: str, name: str) -> Column:
+        return F.col(f"_{prefix}_{name}")
+
+    def entry(name: str, value: Column, rows: Column) -> Column:
+        at = (column("n", name) - 1) * F.lit(wanted[name][1])
+        parts = {"_name": F.lit(name), "_at": at, "_value": value.cast("double"), "_rows": rows.cast("long")}
+        return F.struct(*[part.alias(label) for label, part in parts.items()])
+
+    # Values strictly inside the bounds are few; ties on a bound are only counted.
+    bounded = slim.select(*group, *[f"_v_{name}" for name in wanted]).join(bounds, group)
+    inside = {n: (column("v", n) > column("lo", n)) & (column("v", n) < column("hi", n)) for n in wanted}
+    near = bounded.where(reduce(or_, inside.values())).select(
+        *group, F.inline(F.array(*[entry(n, F.when(inside[n], column("v", n)), F.lit(1)) for n in wanted]))
     )
+    near = near.where(F.col("_value").isNotNull()).groupBy(*group, "_name", "_at", "_value").agg(F.sum("_rows").alias("_rows"))
+    edge_counts = []
+    for n in wanted:
+        value, low, high = column("v", n), column("lo", n), column("hi", n)
+        edge_counts += [
+            F.count_if(value < low).alias(f"_below_{n}"),
+            F.count_if(value == low).alias(f"_low_{n}"),
+            F.count_if((value == high) & (high > low)).alias(f"_high_{n}"),
+        ]
+    edges = bounded.groupBy(*group).agg(*edge_counts).join(bounds, group)
+    entries = []
+    for n in wanted:
+        entries += [
+            entry(n, F.lit(None), column("below", n)),
+            entry(n, column("lo", n), column("low", n)),
+            entry(n, column("hi", n), column("high", n)),
+        ]
+    edges = edges.select(*group, F.inline(F.array(*entries))).where(F.col("_rows") > 0)
+    counted = near.unionByName(edges)
     ranked = running_sums(counted, [*group, "_name", "_at"], "_value", ["_rows"], descending=False)
 
     def value_at(rank: Column) -> Column:

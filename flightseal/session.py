@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 WINDOW_ROWS_CONF = "spark.flightseal.windowRows"
-DEFAULT_WINDOW_ROWS = 1 << 20
+DEFAULT_WINDOW_ROWS = 1 << 18
 
 
 def window_rows(spark: SparkSession) -> int:
