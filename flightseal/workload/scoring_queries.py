@@ -17,7 +17,7 @@ _M = 1_000_000
 _VALUES = list(ranking.METRICS)
 
 
-def balanced_long(spark, sf_dir):
+def profile_scores(spark, sf_dir):
     """Label and score of every row, model and profile."""
     rows = all_profiles(spark, sf_dir).select("profile", "label", *MODELS)
     return evaluation.long_scores(rows, MODELS)
@@ -27,7 +27,7 @@ _GROUP = ["profile", "model"]
 
 
 def _ranked(spark, sf_dir):
-    return ranking.ranked_scores(balanced_long(spark, sf_dir), _GROUP)
+    return ranking.ranked_scores(profile_scores(spark, sf_dir), _GROUP)
 
 
 def pr_curve(spark, sf_dir):
@@ -53,7 +53,7 @@ def average_precision(spark, sf_dir):
 
 
 def threshold_metrics(spark, sf_dir):
-    table = ranking.threshold_metrics(balanced_long(spark, sf_dir), _GROUP, F.lit(0.4))
+    table = ranking.threshold_metrics(profile_scores(spark, sf_dir), _GROUP, F.lit(0.4))
     names = ["f1", "prec", "rec", "bal_acc", "mcc"]
     return table.select(*_GROUP, "n", "pos", "tp", "fp", *[q(c, _M).alias(c) for c in names])
 
@@ -300,7 +300,7 @@ def _ap_sql(column: str) -> str:
     return f"case when {column} is null then '-' else printf('%.3f', {column}) end"
 
 
-_ALL_TYPES = ", ".join(f"('{t}')" for t in casewise.ALL_TYPES)
+_TYPE_VALUES = ", ".join(f"('{t}')" for t in casewise.ALL_TYPES)
 
 QUERIES = {
     "pr_curve": pr_curve,
@@ -331,9 +331,7 @@ ORACLE = {
     "roc_auc": f"""select profile, model, count(*) as n, cast(sum(label) as bigint) as pos, {q_sql(
         "sum(case when label = 1 then below + 0.5E0 * tied end) / (sum(label) * cast(count(*) - sum(label) as double))", _M
     )} as roc_auc from (
- select *, sum(1 - label) over (partition by profile, model order by score
-   range between unbounded preceding and current row exclude ties) - (1 - label) as below_and_self,
-  sum(1 - label) over (partition by profile, model, score) as tied,
+ select *, sum(1 - label) over (partition by profile, model, score) as tied,
   sum(1 - label) over (partition by profile, model order by score) - tied as below
  from ({_LONG})) group by profile, model""",
     "average_precision": f"{_LONG_CTE} select profile, model, {q_sql(_AP, _M)} as pr_auc from ranked group by profile, model",
@@ -352,7 +350,7 @@ ORACLE = {
  from ({telemetry_sql()}) group by case_id""",
     "per_type_case": f"""{_CASE_CTES}, names as (select dataset, model, case_id, substr(min(case_name), 11) as type,
  max(score) as score from s where dataset <> 'balanced_holdout' group by all),
- listed as (select * from (select distinct dataset, model from names), (values {_ALL_TYPES}) v(tamper_type)),
+ listed as (select * from (select distinct dataset, model from names), (values {_TYPE_VALUES}) v(tamper_type)),
  long as (select l.dataset, l.model, l.tamper_type, count(n.case_id) as n_cases,
   avg(case when n.case_id is not null then case when n.score >= b.threshold then 1E0 else 0E0 end end) as flag_rate
   from listed l left join names n on l.dataset = n.dataset and l.model = n.model and l.tamper_type = n.type
