@@ -1,0 +1,77 @@
+"""Fingerprints and groups against a plain version."""
+
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+from flightseal.llm import simhash
+from flightseal.llm.queries import op2_simhash
+from tests.conftest import SF
+
+
+def plain_print(text):
+    words = [w for w in "".join(c if not "A" <= c <= "Z" else c.lower() for c in text or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\v", " ").replace("\f", " ").split(" ") if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)]
+    hashes = [xxhash.xxh64(s.encode(), 42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_groups(prints):
+    """{id: smallest id reachable} for {id: fingerprint}."""
+    parent = {i: i for i in prints}
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    ids = sorted(prints)
+    values = np.array([prints[i] for i in ids], np.uint64)
+    for k, i in enumerate(ids):
+        near = np.bitwise_count(values[k + 1 :] ^ values[k]) <= 2
+        for j in np.nonzero(near)[0]:
+            a, b = sorted((root(i), root(ids[k + 1 + j])))
+            parent[b] = a
+    return {i: root(i) for i in ids}
+
+
+def test_query_matches_brute_force(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    prints = {i: plain_print(t) for i, t in docs.items()}
+    got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in op2_simhash(spark, SF).collect()}
+    groups = plain_groups(prints)
+    assert got == {i: (prints[i], groups[i]) for i in docs}
+
+
+@pytest.mark.parametrize("bucket", [0, 2, 64])
+def test_links_connect_all_close_fingerprints(spark, bucket, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng = random.Random(5)
+    prints, base = {}, [rng.getrandbits(64) for _ in range(6)]
+    for i in range(300):
+        value = rng.choice(base)
+        for _ in range(rng.randrange(5)):
+            value ^= 1 << rng.randrange(64)
+        prints[i] = value
+    prints = {i: v for v, i in {v: i for i, v in reversed(prints.items())}.items()}
+    rows = [(i, v - (1 << 64) if v >> 63 else v) for i, v in prints.items()]
+    frame = spark.createDataFrame(rows, "rep long, fp long")
+    found = simhash.components(simhash.links(frame), "t").collect()
+    got = {i: i for i in prints} | {r.id: r.component for r in found}
+    assert got == plain_groups(prints)
+
+
+def test_odd_rows(spark):
+    schema = "doc_id long, text string, fp string, component string"
+    rows = [(1, None, "x", "y"), (2, "", "x", "y"), (3, "a b", "x", "y"), (4, "A  b", "x", "y"), (4, "A  b", "x", "y"), (None, "z", "x", "y"), (9, "w " * 70000, "x", "y")]
+    docs = spark.createDataFrame(rows, schema)
+    got = sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect())
+    assert [g for g in got if 0 < g[0] < 9] == [(1, 1), (2, 1), (3, 3), (4, 3), (4, 3)] and len(got) == 7
+    assert sorted(r.doc_id or 0 for r in simhash.keep_first(docs).collect()) == [0, 1, 3, 9]
+    assert simhash.keep_first(docs).columns == docs.columns
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
