@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as contract
+from flightseal.workload import registry
 from tests.compare import connect, difference
 from tests.conftest import SF
 
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
+QUERIES, ORACLE = registry.queries(), registry.oracle_sql()
 # Queries whose windows, running sums or samples take another plan on long flights.
 CUT = ["features_all", "phase_fill", "audit_time_order", "thin", "metrics_table", "per_type_row", "pooled_baseline", "stratified_sample"]
 
@@ -17,6 +18,7 @@ def con():
 
 
 def test_every_query_without_sql_trains_a_model():
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql())
     assert set(ORACLE) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLE) == {
         "gbt_scores", "linear_svm_scores", "rff_svm_scores", "protocol_metrics", "transfer_metrics",
