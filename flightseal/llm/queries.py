@@ -4,14 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import mixing, quality, sharding, simhash
 from .common import table
 
+SHARDS = 8
+
 
 def op2_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_simhash": op2_simhash}
+def op3_quality(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_mixing(spark, sf_dir):
+    """Every source with equal weight; the copies in their global order."""
+    return mixing.replicate(table(spark, sf_dir, "documents"))
+
+
+def op9_sharding(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32")
+    )
+    dealt = sharding.assign(docs, "doc_id", SHARDS)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {"op2_simhash": op2_simhash, "op3_quality": op3_quality, "op8_mixing": op8_mixing, "op9_sharding": op9_sharding}
 ORACLE: dict[str, str] = {}
