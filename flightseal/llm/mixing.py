@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from ..session import materialize
+
 #: A larger mean is the sum of draws with means of at most this, so exp(-mean) stays a normal number.
 PART = 256.0
 
@@ -92,7 +94,7 @@ def replicate(docs: DataFrame, weights: Mapping[str | None, float] | None = None
     Columns that share the added names are replaced.
     """
     docs = docs.drop("copy", "mean_rate", "mix_order", "mix_source")
-    mean = rates(docs, weights)
+    mean = materialize(rates(docs, weights), "mixing-rates")  # its size known, the texts need not be dealt by source
     drawn = docs.join(mean, docs["source"].eqNullSafe(mean["mix_source"])).drop("mix_source")
     own = F.xxhash64(F.lit(seed), "doc_id", "text")
     drawn = drawn.withColumn("copies_", _copies(own, F.col("mean_rate"))).where("copies_ > 0")
