@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, simhash
+from . import mixing, quality, sharding, simhash, substring
 from .common import table
 
 SHARDS = 8
@@ -19,6 +19,10 @@ def op3_quality(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_suffix_array(spark, sf_dir):
+    return substring.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark, sf_dir):
     """Every source with equal weight; the copies in their global order."""
     return mixing.replicate(table(spark, sf_dir, "documents"))
@@ -33,5 +37,11 @@ def op9_sharding(spark, sf_dir):
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_quality": op3_quality, "op8_mixing": op8_mixing, "op9_sharding": op9_sharding}
+QUERIES = {
+    "op2_simhash": op2_simhash,
+    "op3_quality": op3_quality,
+    "op6_suffix_array": op6_suffix_array,
+    "op8_mixing": op8_mixing,
+    "op9_sharding": op9_sharding,
+}
 ORACLE: dict[str, str] = {}
