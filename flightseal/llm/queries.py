@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, simhash, substring
+from . import mixing, packing, quality, sharding, simhash, substring, training_order
 from .common import table
 
 SHARDS = 8
@@ -19,6 +19,10 @@ def op3_quality(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_array(spark, sf_dir):
     return substring.removal_report(table(spark, sf_dir, "documents"))
 
@@ -37,11 +41,25 @@ def op9_sharding(spark, sf_dir):
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_training_order(spark, sf_dir):
+    """Writes the shards, then reads every slot back and compares it with the index."""
+    folder = training_order.order_folder(spark)
+    index = training_order.write_training_order(table(spark, sf_dir, "documents"), folder)
+    read = training_order.read_training_order(spark, folder, index.count())
+    found = read.select("slot", F.col("ids").alias("record"))
+    own = F.expr("substring(record, 1, 2 * n_tokens)")
+    return index.join(found, "slot").select(
+        "doc_id", "piece", "n_tokens", "slot", "shard", "ids_crc32", (F.crc32(own) == F.col("ids_crc32")).alias("read_back")
+    )
+
+
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
+    "op5_packing": op5_packing,
     "op6_suffix_array": op6_suffix_array,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
+    "op10_training_order": op10_training_order,
 }
 ORACLE: dict[str, str] = {}
