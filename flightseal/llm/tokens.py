@@ -2,19 +2,21 @@
 
 The vocabulary's rules never join characters across white space, so a text has
 the ids of its words between ASCII white space, one after the other. Words
-repeat; the ids of those met before come from a cache of bounded size.
+repeat, and so do their parts; the ids of those met before come from caches of
+bounded size.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words and bytes per word that a Python worker keeps.
+#: Words (and as many parts), and bytes per word, that a Python worker keeps.
 CACHED, LONGEST = 400_000, 48
 TEXTS_AT_ONCE = 64
 END = 0
@@ -26,16 +28,35 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Words whose parts are cut here just as the tokenizer does: printable ASCII and Latin-1 letters.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PARTS = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
+
+
 class Encoder:
-    """Texts to bytes of little-endian unsigned 32-bit ids, as the tokenizer without special tokens gives them."""
+    """Texts to bytes of little-endian unsigned 32-bit ids, as the tokenizer without special tokens gives them.
+
+    Unseen words of plain characters are cut into letters, digits and signs by
+    the vocabulary's own rule; only unseen parts go through its merges. All
+    other words go through the whole tokenizer.
+    """
 
     _made: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        known = self.whole.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(known.values()) + 1, bool)  # the token ends its part
+        self.last[[i for t, i in known.items() if t.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {"\n": b""}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -43,21 +64,56 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def _learn_parts(self, parts: list[str]) -> None:
+        lines = [" ".join(parts[i : i + 256]) for i in range(0, len(parts), 256)]
+        for i, found in enumerate(self.merges.encode_batch_fast(lines, add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            data, ends = ids.tobytes(), (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            own = parts[256 * i : 256 * (i + 1)]
+            if len(ends) != len(own):
+                raise ValueError("the vocabulary has no token for the end of every part")
+            self.parts.update(zip(own, (data[a:b] for a, b in zip([0, *ends], ends))))
+
+    def _learn(self, words: list[bytes]) -> None:
+        texts = [w.decode() for w in words]
+        plain = [bool(_PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
+        cut = _PARTS.findall("\n".join([t for t, p in zip(texts, plain) if p]).lower())
+        if len(self.parts) > CACHED:
+            self.parts = {"\n": b""}
+        unseen = list(set(cut).difference(self.parts))
+        if unseen:
+            self._learn_parts(unseen)
+        found, own = [], []
+        for part in cut:
+            if part == "\n":
+                found.append(b"".join(own))
+                own = []
+            else:
+                own.append(self.parts[part])
+        found.append(b"".join(own))
+        self.words.update(zip([w for w, p in zip(words, plain) if p], found))
+        odd = [(w, t) for w, t, p in zip(words, texts, plain) if not p]
+        if odd:
+            ids = self.whole.encode_batch_fast([t for _, t in odd], add_special_tokens=False)
+            self.words.update((w, np.array(e.ids, "<u4").tobytes()) for (w, _), e in zip(odd, ids))
+        for part in unseen:
+            if len(part) > LONGEST:
+                del self.parts[part]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; at most TEXTS_AT_ONCE texts are split at a time."""
         out = []
         for at in range(0, len(texts), TEXTS_AT_ONCE):
             split = [(t or "").encode().split() for t in texts[at : at + TEXTS_AT_ONCE]]
-            if len(self.cache) > CACHED:
-                self.cache.clear()
-            new = list(set().union(*split).difference(self.cache))
+            if len(self.words) > CACHED:
+                self.words.clear()
+            new = list(set().union(*split).difference(self.words))
             if new:
-                found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-                self.cache.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in found)))
-            out += [b"".join([self.cache[w] for w in words]) for words in split]
+                self._learn(new)
+            out += [b"".join([self.words[w] for w in words]) for words in split]
             for word in new:
                 if len(word) > LONGEST:
-                    del self.cache[word]
+                    del self.words[word]
         return out
 
 
