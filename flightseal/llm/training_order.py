@@ -69,7 +69,8 @@ def sequences(docs: DataFrame, length: int, path: str) -> DataFrame:
 def write_training_order(docs: DataFrame, folder: str, length: int = LENGTH, key: int = 1234, path: str | None = None,
                          shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes all sequences of `docs` (id 0 ends a document and fills the last one up) to shard files of
-    unsigned 16-bit ids, and their index (doc_id, piece, n_tokens, slot, shard, ids_crc32) beside them; returns the index.
+    unsigned 16-bit ids, and their index (doc_id, piece, n_tokens, slot, shard, ids_crc32, record_crc32) beside them; returns the
+    index. record_crc32 covers the whole record, ids_crc32 its n_tokens ids.
 
     Sequences are numbered by the task that made them and their place in it,
     from a written table, so a lost executor changes no slot. A null text is a
@@ -106,8 +107,9 @@ def write_training_order(docs: DataFrame, folder: str, length: int = LENGTH, key
                 rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "piece", "n_tokens", "slot", "shard", "ids")))
                 for doc, piece, n, slot, shard, ids in rows:
                     data = grow.decompress(ids, max_output_size=stride)
-                    index.append((doc, piece, n, slot, shard, zlib.crc32(data)))
-                    yield data.ljust(stride, b"\0")
+                    record = data.ljust(stride, b"\0")
+                    index.append((doc, piece, n, slot, shard, zlib.crc32(data), zlib.crc32(record)))
+                    yield record
 
         rows = records()
         first = next(rows, None)
@@ -119,8 +121,8 @@ def write_training_order(docs: DataFrame, folder: str, length: int = LENGTH, key
     return spark.read.schema(_INDEX_DDL).parquet(f"{folder.rstrip('/')}/index")
 
 
-_INDEX = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("n_tokens", pa.int32()), ("slot", pa.int64()), ("shard", pa.int32()), ("ids_crc32", pa.int64())])
-_INDEX_DDL = "doc_id long, piece int, n_tokens int, slot long, shard int, ids_crc32 long"
+_INDEX = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("n_tokens", pa.int32()), ("slot", pa.int64()), ("shard", pa.int32()), ("ids_crc32", pa.int64()), ("record_crc32", pa.int64())])
+_INDEX_DDL = "doc_id long, piece int, n_tokens int, slot long, shard int, ids_crc32 long, record_crc32 long"
 
 
 def _chain(first, rest):
