@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, sharding, simhash, substring, training_order
+from . import embedding, mixing, packing, quality, sharding, simhash, substring, training_order, warc
 from .common import table
 
 SHARDS = 8
@@ -19,6 +19,13 @@ def op3_quality(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_warc(spark, sf_dir):
+    """Writes all pages as records, then reads the archive back."""
+    folder = warc.archive_folder(spark)
+    warc.write_warc(warc.records(table(spark, sf_dir, "pages")), folder)
+    return warc.archived(spark, folder)
+
+
 def op5_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -27,6 +34,10 @@ def op6_suffix_array(spark, sf_dir):
     return substring.removal_report(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding(spark, sf_dir):
+    return embedding.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_mixing(spark, sf_dir):
     """Every source with equal weight; the copies in their global order."""
     return mixing.replicate(table(spark, sf_dir, "documents"))
@@ -56,8 +67,10 @@ def op10_training_order(spark, sf_dir):
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
+    "op4_warc": op4_warc,
     "op5_packing": op5_packing,
     "op6_suffix_array": op6_suffix_array,
+    "op7_embedding": op7_embedding,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_training_order": op10_training_order,
