@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embedding, mixing, packing, quality, sharding, simhash, substring, training_order, warc
+from . import embedding, licenses, mixing, packing, quality, sharding, simhash, substring, training_order, warc
 from .common import table
 
 SHARDS = 8
 
 
+def op1_license(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -65,6 +69,7 @@ def op10_training_order(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_license": op1_license,
     "op2_simhash": op2_simhash,
     "op3_quality": op3_quality,
     "op4_warc": op4_warc,
