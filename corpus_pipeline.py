@@ -1,18 +1,49 @@
-"""Documents to packed training sequences: each stage reads all that its predecessor kept."""
+"""Documents to packed training sequences: each stage reads all that its predecessor kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and
+read again as the next one's docs. All but the last keep the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flightseal.llm import simhash
+from flightseal.llm import mixing, packing, quality, simhash, substring
 from flightseal.session import materialize
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the rules and the forest keep; the threshold comes from the labels of these documents."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of linked fingerprints."""
     return simhash.keep_first(docs)
 
 
-STAGES = [("simhash_near_dedup", near_dedup)]
+def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that occur earlier; rows of which nothing is left go."""
+    return substring.remove_repeats(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every source with an equal share of the bytes; a document's copies are rows."""
+    return mixing.replicate(docs).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece with its sequence and offset."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("simhash_near_dedup", near_dedup),
+    ("suffix_array_dedup", repeat_removal),
+    ("source_mix", source_mix),
+    ("best_fit_packing", best_fit_packing),
+]
 ORACLE_SQL = None
 
 
