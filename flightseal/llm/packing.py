@@ -232,7 +232,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
     """(doc_id, piece, start, length, ids_crc32[, ids]): texts and END cut into pieces of `capacity` ids."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * ids
 
-    def make(doc, piece, start, data, _):
+    def make(doc, piece, start, data):
         return (doc, piece, start, len(data) // 4, zlib.crc32(data)) + ((data,) if ids else ())
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids

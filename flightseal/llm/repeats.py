@@ -17,8 +17,8 @@ import xxhash
 LENGTH = 100
 GRAM = 40
 #: Bytes hashed at once; a longer text is cut into pieces that overlap by a window.
-BUFFER = 1 << 21
-_PLACE = 22  # bits that hold a place in a buffer
+BUFFER = 1 << 20
+_PLACE = 21  # bits that hold a place in a buffer
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -33,8 +33,8 @@ _TABLES: dict[str, np.ndarray] = {}
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     if not _TABLES:
-        _TABLES["up"] = _powers(_BASE, 2 * BUFFER + 1)
-        _TABLES["down"] = _powers(pow(_BASE, -1, 1 << 64), 2 * BUFFER + 1)
+        _TABLES["up"] = _powers(_BASE, 2 * BUFFER)
+        _TABLES["down"] = _powers(pow(_BASE, -1, 1 << 64), 2 * BUFFER)
     return _TABLES["up"], _TABLES["down"]
 
 

@@ -17,7 +17,7 @@ from ..session import materialize
 from .repeats import BUFFER, GRAM, LENGTH, Seen, merged, repeat_spans, runs
 
 #: Occurrences that a task holds before it settles them among themselves and sends them on.
-HELD = 1 << 21
+HELD = 1 << 19
 #: An anchor with more contexts than this is settled window by window.
 CONTEXTS = 256
 NULL_ID = -(1 << 63)

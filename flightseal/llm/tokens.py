@@ -12,12 +12,11 @@ import os
 import re
 
 import numpy as np
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words (and as many parts), and bytes per word, that a Python worker keeps.
-CACHED, LONGEST = 400_000, 48
+CACHED, LONGEST = 100_000, 48
 TEXTS_AT_ONCE = 64
 END = 0
 
@@ -33,6 +32,28 @@ _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _PARTS = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
 
 
+class Recent(dict):
+    """A cache of two generations: what the older one still serves moves to the younger."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict = {}
+
+    def unknown(self, keys: set) -> list:
+        if len(self) > CACHED:
+            self.older = dict(self)
+            self.clear()
+        asked = keys.difference(self)
+        again = asked.intersection(self.older)
+        self.update((k, self.older[k]) for k in again)
+        return list(asked.difference(again))
+
+    def forget_long(self, keys: list) -> None:
+        for key in keys:
+            if len(key) > LONGEST:
+                del self[key]
+
+
 class Encoder:
     """Texts to bytes of little-endian unsigned 32-bit ids, as the tokenizer without special tokens gives them.
 
@@ -55,8 +76,7 @@ class Encoder:
         known = self.whole.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(known.values()) + 1, bool)  # the token ends its part
         self.last[[i for t, i in known.items() if t.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {"\n": b""}
+        self.words, self.parts = Recent(), Recent()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -78,9 +98,7 @@ class Encoder:
         texts = [w.decode() for w in words]
         plain = [bool(_PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
         cut = _PARTS.findall("\n".join([t for t, p in zip(texts, plain) if p]).lower())
-        if len(self.parts) > CACHED:
-            self.parts = {"\n": b""}
-        unseen = list(set(cut).difference(self.parts))
+        unseen = self.parts.unknown(set(cut).difference("\n"))
         if unseen:
             self._learn_parts(unseen)
         found, own = [], []
@@ -96,31 +114,25 @@ class Encoder:
         if odd:
             ids = self.whole.encode_batch_fast([t for _, t in odd], add_special_tokens=False)
             self.words.update((w, np.array(e.ids, "<u4").tobytes()) for (w, _), e in zip(odd, ids))
-        for part in unseen:
-            if len(part) > LONGEST:
-                del self.parts[part]
+        self.parts.forget_long(unseen)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; at most TEXTS_AT_ONCE texts are split at a time."""
         out = []
         for at in range(0, len(texts), TEXTS_AT_ONCE):
             split = [(t or "").encode().split() for t in texts[at : at + TEXTS_AT_ONCE]]
-            if len(self.words) > CACHED:
-                self.words.clear()
-            new = list(set().union(*split).difference(self.words))
+            new = self.words.unknown(set().union(*split))
             if new:
                 self._learn(new)
             out += [b"".join([self.words[w] for w in words]) for words in split]
-            for word in new:
-                if len(word) > LONGEST:
-                    del self.words[word]
+            self.words.forget_long(new)
         return out
 
 
 def map_pieces(docs: DataFrame, length: int, path: str, make, names: list[str], schema: str) -> DataFrame:
-    """One row per piece of at most `length` ids of text plus END; `make(doc_id, piece, start, ids, at)` gives it.
+    """One row per piece of at most `length` ids of text plus END; `make(doc_id, piece, start, ids)` gives it.
 
-    ids: the piece's bytes; at: its number in the task. A null text is empty.
+    ids: the piece's bytes. A null text is empty.
     """
     import pyarrow as pa
 
@@ -128,7 +140,7 @@ def map_pieces(docs: DataFrame, length: int, path: str, make, names: list[str],
     kinds = [types[f.split()[1]] for f in schema.split(", ")]
 
     def run(batches):
-        encoder, at = Encoder.of(path), 0
+        encoder = Encoder.of(path)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for low in range(0, len(ids), TEXTS_AT_ONCE):
@@ -136,12 +148,7 @@ def map_pieces(docs: DataFrame, length: int, path: str, make, names: list[str],
                 for doc, data in zip(ids[low : low + TEXTS_AT_ONCE], encoder.encode(texts[low : low + TEXTS_AT_ONCE])):
                     data += END.to_bytes(4, "little")
                     for piece, start in enumerate(range(0, len(data) // 4, length)):
-                        rows.append(make(doc, piece, start, data[4 * start : 4 * (start + length)], at))
-                        at += 1
+                        rows.append(make(doc, piece, start, data[4 * start : 4 * (start + length)]))
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
-
-
-def task_number() -> int:
-    return TaskContext.get().partitionId()
