@@ -64,7 +64,7 @@ def op10_training_order(spark, sf_dir):
     # What a task reads from the files is larger than the planner can know: no broadcast.
     found = read.select("slot", F.crc32("ids").alias("found")).hint("merge")
     return index.join(found, "slot").select(
-        "doc_id", "piece", "n_tokens", "slot", "shard", "ids_crc32", (F.col("found") == F.col("record_crc32")).alias("read_back")
+        "slot", "shard", "n_tokens", "ids_crc32", "doc_ids", (F.col("found") == F.col("record_crc32")).alias("read_back")
     )
 
 

@@ -10,11 +10,13 @@ s div per_shard and reading can go on from any slot.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,9 @@ from .files import opened, write_whole
 LENGTH = 512
 SHARD_BYTES = 1 << 24
 ROUNDS = 6
+#: Sequences in a row of the written table, and those that a task gathers before it sends them to their shards.
+BLOCK, DEALT = 256, 1 << 13
+NULL_ID = -(1 << 63)
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -52,82 +57,122 @@ def permuted(numbers: np.ndarray, total: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _squeezed(x) -> bytes:
+    return zstandard.ZstdCompressor(3).compress(pickle.dumps(x, protocol=5))
+
+
+def _opened(x: bytes):
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(x))
+
+
 def sequences(docs: DataFrame, length: int, path: str) -> DataFrame:
-    """(part, at, doc_id, piece, n_tokens, ids): pieces of at most `length` ids; part and at number them by task."""
-    names = ["part", "at", "doc_id", "piece", "n_tokens", "ids"]
-    squeeze = None
+    """(part, first, rows, block): BLOCK sequences a row. A task joins the ids of its documents, END after each,
+    and cuts the stream every `length` ids; its last sequence may be shorter. block: the ids, and the
+    documents with the places where they start in it."""
 
-    def make(doc, piece, start, data, at):
-        nonlocal squeeze
-        squeeze = squeeze or zstandard.ZstdCompressor(1)
-        ids = np.frombuffer(data, "<u4")
-        return tokens.task_number(), at, doc, piece, len(ids), squeeze.compress(ids.astype("<u2").tobytes())
+    def run(batches):
+        encoder, part, first = tokens.Encoder.of(path), TaskContext.get().partitionId(), 0
+        ids, held, documents, ended = [], 0, [], False
+
+        def cut(n):
+            """A row of n sequences (the last of them with what there is), and what is left."""
+            nonlocal ids, held, documents, first
+            stream, size = np.concatenate(ids), n * length
+            numbers, starts = (np.array(x, np.int64) for x in zip(*documents))
+            inside = starts < size
+            row = (part, first, n, _squeezed((stream[:size], numbers[inside], starts[inside])))
+            ids, held, first = [stream[size:]], max(0, held - size), first + n
+            documents = list(zip(numbers.tolist(), (starts - size).tolist()))
+            while len(documents) > 1 and documents[1][1] <= 0:  # has ended before
+                documents.pop(0)
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, _BLOCK.types)], schema=_BLOCK)
 
-    return tokens.map_pieces(docs, length, path, make, names, "part int, at long, doc_id long, piece int, n_tokens int, ids binary")
+        for batch in batches:
+            names, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            for low in range(0, len(names), tokens.TEXTS_AT_ONCE):
+                for name, data in zip(names[low : low + tokens.TEXTS_AT_ONCE], encoder.encode(texts[low : low + tokens.TEXTS_AT_ONCE])):
+                    documents.append((NULL_ID if name is None else name, held))
+                    ids.append(np.append(np.frombuffer(data, "<u4"), tokens.END).astype("<u2"))
+                    held += len(ids[-1])
+                    while held >= BLOCK * length:
+                        yield cut(BLOCK)
+        if held:
+            yield cut(-(-held // length))
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "part int, first long, rows int, block binary")
 
 
 def write_training_order(docs: DataFrame, folder: str, length: int = LENGTH, key: int = 1234, path: str | None = None,
                          shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Writes all sequences of `docs` (id 0 ends a document and fills the last one up) to shard files of
-    unsigned 16-bit ids, and their index (doc_id, piece, n_tokens, slot, shard, ids_crc32, record_crc32) beside them; returns the
-    index. record_crc32 covers the whole record, ids_crc32 its n_tokens ids.
+    """Writes all sequences of `docs` to shard files of unsigned 16-bit ids, a short one filled up with id 0, and
+    their index beside them; returns the index: slot, shard, n_tokens, ids_crc32 of its ids, record_crc32 of the
+    whole record, doc_ids in their order in it.
 
     Sequences are numbered by the task that made them and their place in it,
-    from a written table, so a lost executor changes no slot. A null text is a
-    sequence of one id; repeated rows are sequences of their own; no rows: no files.
+    from a written table, so a lost executor changes no slot. A null text is END
+    alone, a null id -2**63; repeated rows are documents of their own; no rows: no files.
     """
     spark, stride = docs.sparkSession, 2 * length
     per_shard = max(1, shard_bytes // stride)
     made = materialize(sequences(docs, length, path or tokens.vocabulary()), "order-sequences")
-    counts = {r["part"]: r["n"] for r in made.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = np.array(sorted(counts), np.int64)
-    ends = np.cumsum([counts[p] for p in parts.tolist()])
-    total = int(ends[-1]) if len(parts) else 0
+    counts = {r["part"]: r["n"] for r in made.groupBy("part").agg(F.sum("rows").alias("n")).collect()}
+    parts = sorted(counts)
+    total = sum(counts.values())
+    begins = dict(zip(parts, np.cumsum([0, *[counts[p] for p in parts]]).tolist()))
+
+    def deal(batches):
+        held, size = [], 0
+
+        def send():
+            slot = np.concatenate([x[0] for x in held])
+            ids = np.concatenate([x[1] for x in held])
+            others = [y for x in held for y in x[2]]
+            shard = slot // per_shard
+            order = np.argsort(shard, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                row = (int(shard[own[0]]), _squeezed((slot[own], ids[own], [others[i] for i in own.tolist()])))
+                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), pa.array([row[1]], pa.binary())], names=["shard", "sent"])
 
-    def slots(batches):
         for batch in batches:
-            part = batch.column("part").to_numpy()
-            number = (ends - [counts[p] for p in parts.tolist()])[np.searchsorted(parts, part)] + batch.column("at").to_numpy()
-            slot = permuted(number, total, key)
-            keep = [batch.column(c) for c in ("doc_id", "piece", "n_tokens", "ids")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(slot), pa.array((slot // per_shard).astype(np.int32))],
-                                             names=["doc_id", "piece", "n_tokens", "ids", "slot", "shard"])
-
-    dealt = made.mapInArrow(slots, "doc_id long, piece int, n_tokens int, ids binary, slot long, shard int")
+            for part, first, rows, block in zip(*(batch.column(c).to_pylist() for c in ("part", "first", "rows", "block"))):
+                stream, numbers, starts = _opened(block)
+                slot = permuted(begins[part] + first + np.arange(rows), total, key)
+                ids = np.zeros(rows * length, "<u2")
+                ids[: len(stream)] = stream
+                sizes = np.minimum(length, len(stream) - np.arange(rows) * length).tolist()
+                low = (np.searchsorted(starts, np.arange(rows) * length, side="right") - 1).tolist()
+                high = np.searchsorted(starts, np.arange(1, rows + 1) * length).tolist()
+                held.append((slot, ids.reshape(rows, length), [(n, numbers[max(0, a) : b].tolist()) for n, a, b in zip(sizes, low, high)]))
+                size += rows
+            if size >= DEALT:
+                yield from send()
+                held, size = [], 0
+        if held:
+            yield from send()
+
     shards = max(1, -(-total // per_shard))
-    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
+    dealt = made.mapInArrow(deal, "shard int, sent binary").repartitionById(shards, F.col("shard"))
 
     def write(batches):
-        index, shard = [], None
-
-        def records():
-            nonlocal shard
-            grow = zstandard.ZstdDecompressor()
-            for batch in batches:
-                rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "piece", "n_tokens", "slot", "shard", "ids")))
-                for doc, piece, n, slot, shard, ids in rows:
-                    data = grow.decompress(ids, max_output_size=stride)
-                    record = data.ljust(stride, b"\0")
-                    index.append((doc, piece, n, slot, shard, zlib.crc32(data), zlib.crc32(record)))
-                    yield record
-
-        rows = records()
-        first = next(rows, None)
-        if first is not None:
-            write_whole(folder, f"shard-{index[0][4]:06d}.bin", _chain(first, rows))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*index), _INDEX.types)], schema=_INDEX)
-
-    dealt.select("doc_id", "piece", "n_tokens", "slot", "shard", "ids").mapInArrow(write, _INDEX_DDL).write.parquet(f"{folder.rstrip('/')}/index")
+        whole, index, shard = np.zeros((per_shard, length), "<u2"), {}, None
+        for batch in batches:
+            for shard, sent in zip(batch.column("shard").to_pylist(), batch.column("sent").to_pylist()):
+                slot, ids, others = _opened(sent)
+                whole[slot % per_shard] = ids
+                for s, record, (n, numbers) in zip(slot.tolist(), ids, others):
+                    index[s] = (s, shard, n, zlib.crc32(record[:n].tobytes()), zlib.crc32(record.tobytes()), numbers)
+        if index:
+            write_whole(folder, f"shard-{shard:06d}.bin", [whole[: len(index)].tobytes()])
+            rows = [index[s] for s in sorted(index)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), _INDEX.types)], schema=_INDEX)
+
+    dealt.mapInArrow(write, _INDEX_DDL).write.parquet(f"{folder.rstrip('/')}/index")
     return spark.read.schema(_INDEX_DDL).parquet(f"{folder.rstrip('/')}/index")
 
 
-_INDEX = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("n_tokens", pa.int32()), ("slot", pa.int64()), ("shard", pa.int32()), ("ids_crc32", pa.int64()), ("record_crc32", pa.int64())])
-_INDEX_DDL = "doc_id long, piece int, n_tokens int, slot long, shard int, ids_crc32 long, record_crc32 long"
-
-
-def _chain(first, rest):
-    yield first
-    yield from rest
+_BLOCK = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("rows", pa.int32()), ("block", pa.binary())])
+_INDEX = pa.schema([("slot", pa.int64()), ("shard", pa.int32()), ("n_tokens", pa.int32()), ("ids_crc32", pa.int64()), ("record_crc32", pa.int64()), ("doc_ids", pa.list_(pa.int64()))])
+_INDEX_DDL = "slot long, shard int, n_tokens int, ids_crc32 long, record_crc32 long, doc_ids array<long>"
 
 
 def read_training_order(spark: SparkSession, folder: str, total: int, start: int = 0, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
