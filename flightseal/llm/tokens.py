@@ -13,10 +13,11 @@ import re
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-#: Words (and as many parts), and bytes per word, that a Python worker keeps.
-CACHED, LONGEST = 100_000, 48
+from .common import texts
+
+#: Words and parts that a Python worker keeps in each of two generations, and bytes of the longest of them.
+WORDS, PARTS, LONGEST = 250_000, 100_000, 48
 TEXTS_AT_ONCE = 64
 END = 0
 
@@ -35,18 +36,22 @@ _PARTS = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+
 class Recent(dict):
     """A cache of two generations: what the older one still serves moves to the younger."""
 
-    def __init__(self):
+    def __init__(self, most: int):
         super().__init__()
-        self.older: dict = {}
+        self.most, self.older = most, {}
 
     def unknown(self, keys: set) -> list:
-        if len(self) > CACHED:
+        if len(self) > self.most:
             self.older = dict(self)
             self.clear()
-        asked = keys.difference(self)
-        again = asked.intersection(self.older)
-        self.update((k, self.older[k]) for k in again)
-        return list(asked.difference(again))
+        new = []
+        for key in keys:
+            if key not in self:
+                if key in self.older:
+                    self[key] = self.older[key]
+                else:
+                    new.append(key)
+        return new
 
     def forget_long(self, keys: list) -> None:
         for key in keys:
@@ -76,7 +81,7 @@ class Encoder:
         known = self.whole.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(known.values()) + 1, bool)  # the token ends its part
         self.last[[i for t, i in known.items() if t.endswith("</w>")]] = True
-        self.words, self.parts = Recent(), Recent()
+        self.words, self.parts = Recent(WORDS), Recent(PARTS)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -142,13 +147,13 @@ def map_pieces(docs: DataFrame, length: int, path: str, make, names: list[str],
     def run(batches):
         encoder = Encoder.of(path)
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            ids, bodies = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for low in range(0, len(ids), TEXTS_AT_ONCE):
                 rows = []
-                for doc, data in zip(ids[low : low + TEXTS_AT_ONCE], encoder.encode(texts[low : low + TEXTS_AT_ONCE])):
+                for doc, data in zip(ids[low : low + TEXTS_AT_ONCE], encoder.encode(bodies[low : low + TEXTS_AT_ONCE])):
                     data += END.to_bytes(4, "little")
                     for piece, start in enumerate(range(0, len(data) // 4, length)):
                         rows.append(make(doc, piece, start, data[4 * start : 4 * (start + length)]))
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return texts(docs).mapInArrow(run, schema)

@@ -26,8 +26,9 @@ ODD = ["", None, "a", "don't WON'T it's 's", "x y z", "a\x1cb \x85c", "é ́
 def test_ids_match_the_tokenizer(plain, monkeypatch):
     rng = random.Random(3)
     texts = ODD + ["".join(rng.choice("aé'sN 1!́ \x1c　ǅ") for _ in range(60)) for _ in range(300)]
-    for cached in (400_000, 20):
-        monkeypatch.setattr(tokens, "CACHED", cached)
+    for cached in (60_000, 20):
+        monkeypatch.setattr(tokens, "WORDS", cached)
+        monkeypatch.setattr(tokens, "PARTS", cached)
         got = tokens.Encoder(tokens.vocabulary()).encode(texts)
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [plain(t) for t in texts]
 
