@@ -19,6 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of texts that go to a Python worker at once, where the session has Spark's default.
+BATCH_ROWS = 1 << 10
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, with the session's Arrow batches small enough for rows of long texts."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text), read in small batches."""
+    return small_batches(docs).select(F.col("doc_id").cast("long"), "text")
+
+
 def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(name).to_pylist() for name in names]
 

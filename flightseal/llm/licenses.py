@@ -14,7 +14,8 @@ from collections.abc import Mapping
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import texts
 
 #: A notice has this share of its template's words, within at most SPREAD times as many words of text.
 COVERAGE, SPREAD = 0.8, 2.0
@@ -109,10 +110,10 @@ def align(a: list, b: list) -> list[tuple[int, int]]:
 class Templates:
     """Templates as word numbers."""
 
-    def __init__(self, texts: Mapping[str, str], coverage: float = COVERAGE, spread: float = SPREAD):
+    def __init__(self, named: Mapping[str, str], coverage: float = COVERAGE, spread: float = SPREAD):
         self.coverage, self.spread = coverage, spread
-        self.names = sorted(texts)
-        split = [words(texts[n]) for n in self.names]
+        self.names = sorted(named)
+        split = [words(named[n]) for n in self.names]
         self.numbers: dict[bytes, int] = {}
         for w in (w for s in split for w in s):
             self.numbers.setdefault(w, len(self.numbers))
@@ -178,4 +179,4 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, coverage: fl
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
     schema = "doc_id long, n_words long, n_notices long, licenses string, best string, best_coverage double, first_word long, last_word long"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return texts(docs).mapInArrow(run, schema)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import columns, map_batches
+from .common import columns, map_batches, small_batches, texts
 
 #: Bounded fit: at most TREES * SAMPLE labelled rows are read by the driver, whatever the input.
 TREES, SAMPLE = 100, 256
@@ -152,10 +152,10 @@ def counted(docs: DataFrame) -> DataFrame:
     """(doc_id, COUNTS) of every row, in one pass over the texts."""
 
     def run(batch):
-        ids, texts = columns(batch, "doc_id", "text")
-        return [ids, *zip(*map(statistics, texts))] if ids else None
+        ids, bodies = columns(batch, "doc_id", "text")
+        return [ids, *zip(*map(statistics, bodies))] if ids else None
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, f"doc_id long, {COUNT_SCHEMA}")
+    return map_batches(texts(docs), run, f"doc_id long, {COUNT_SCHEMA}")
 
 
 def calibrate(stats: DataFrame, labels: DataFrame, seed: int = 17, good_loss: float = GOOD_LOSS):
@@ -230,4 +230,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 counts = np.array([statistics(t) for t in batch.column("text").to_pylist()])
                 yield batch.filter(pa.array(_verdict(model, counts)[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import columns, components, map_batches
+from .common import columns, components, map_batches, texts
 
 SEGMENTS = 8
 #: A join key shared by more distinct fingerprints than this is linked by `_balls` instead of by pairs.
@@ -52,10 +52,10 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp) of every row; fp is a long."""
 
     def run(batch):
-        ids, texts = columns(batch, "doc_id", "text")
-        return ids, [fingerprint(t, words) for t in texts]
+        ids, bodies = columns(batch, "doc_id", "text")
+        return ids, [fingerprint(t, words) for t in bodies]
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
+    return map_batches(texts(docs), run, "doc_id long, fp long")
 
 
 def _rings(distinct: DataFrame, bits: int) -> DataFrame:

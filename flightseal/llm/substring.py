@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .common import small_batches, texts
 from .repeats import BUFFER, GRAM, LENGTH, Seen, merged, repeat_spans, runs
 
 #: Occurrences that a task holds before it settles them among themselves and sends them on.
@@ -111,28 +112,28 @@ def _scan(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
         close()
         yield from _sent(Seen.join(held), buckets, length)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SENT_DDL)
+    return texts(docs).mapInArrow(run, _SENT_DDL)
 
 
 def _settled(sent: DataFrame, buckets: int, length: int) -> DataFrame:
     """Repeats among equal contexts, and (with a key) the contexts whose bytes are still to be compared."""
 
     def run(batches):
-        seen, texts = [], []
+        seen, bytes_ = [], []
         for batch in batches:
             for kind, payload in zip(batch.column("kind").to_pylist(), batch.column("payload").to_pylist()):
                 what = _unpack(payload)
                 if kind == SPANS:
                     yield from _found(*what)
                 elif kind == TEXTS:
-                    texts.append(what)
+                    bytes_.append(what)
                 else:
                     seen.append(Seen(*what))
         first, later = Seen.join(seen).settle()
         yield from _found(*merged(later.doc, later.start, later.start.astype(np.int64) + later.count + (length - 1)))
-        if texts:
-            key, doc, start, count = (np.concatenate(x) for x in list(zip(*texts))[:4])
-            yield from _found(*repeat_spans(key, doc, start, count, [t for part in texts for t in part[4]], length))
+        if bytes_:
+            key, doc, start, count = (np.concatenate(x) for x in list(zip(*bytes_))[:4])
+            yield from _found(*repeat_spans(key, doc, start, count, [t for part in bytes_ for t in part[4]], length))
         elif len(first):
             _, group, sizes = np.unique(first.key, return_inverse=True, return_counts=True)
             open_ = first.take(sizes[group] > 1)
@@ -150,13 +151,13 @@ def _contexts(docs: DataFrame, open_: DataFrame, buckets: int, length: int) -> D
         def windows(held):
             return Seen.join(Seen(k, g, np.full(len(k), d), s, np.ones(len(k))) for d, k, g, s in held)
 
-        texts, held, size = [], [], 0
+        parts, held, size = [], [], 0
 
         def send():
             if held:
                 yield from _sent(windows(held), buckets, length)
-            if texts:
-                key, doc, start, count, data = zip(*texts)
+            if parts:
+                key, doc, start, count, data = zip(*parts)
                 key = np.array(key, np.int64).view(np.uint64)
                 bucket = key % np.uint64(buckets)
                 rows = []
@@ -173,7 +174,7 @@ def _contexts(docs: DataFrame, open_: DataFrame, buckets: int, length: int) -> D
                     start, stop = x["start"], x["stop"]
                     part = data[start : stop + length - 1]
                     if not x["large"]:
-                        texts.append((x["key"], doc, start, stop - start, part))
+                        parts.append((x["key"], doc, start, stop - start, part))
                     else:
                         own = [part[i : i + length] for i in range(stop - start)]
                         digest = np.array([xxhash.xxh3_128_digest(w) for w in own])
@@ -182,7 +183,7 @@ def _contexts(docs: DataFrame, open_: DataFrame, buckets: int, length: int) -> D
                     size += stop - start
                 if size > HELD:
                     yield from send()
-                    texts, held, size = [], [], 0
+                    parts, held, size = [], [], 0
         yield from send()
 
     return docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "open").mapInArrow(run, _SENT_DDL)
@@ -239,7 +240,7 @@ def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             if rows:
                 yield _rows(schema, rows)
 
-    slim = _with_spans(docs.select(F.col("doc_id").cast("long"), "text"), length)
+    slim = _with_spans(texts(docs), length)
     return slim.select("doc_id", "text", "spans_").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

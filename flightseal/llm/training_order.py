@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path
 from . import tokens
+from .common import texts
 from .files import opened, write_whole
 
 LENGTH = 512
@@ -88,9 +89,9 @@ def sequences(docs: DataFrame, length: int, path: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, _BLOCK.types)], schema=_BLOCK)
 
         for batch in batches:
-            names, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            names, bodies = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for low in range(0, len(names), tokens.TEXTS_AT_ONCE):
-                for name, data in zip(names[low : low + tokens.TEXTS_AT_ONCE], encoder.encode(texts[low : low + tokens.TEXTS_AT_ONCE])):
+                for name, data in zip(names[low : low + tokens.TEXTS_AT_ONCE], encoder.encode(bodies[low : low + tokens.TEXTS_AT_ONCE])):
                     documents.append((NULL_ID if name is None else name, held))
                     ids.append(np.append(np.frombuffer(data, "<u4"), tokens.END).astype("<u2"))
                     held += len(ids[-1])
@@ -99,7 +100,7 @@ def sequences(docs: DataFrame, length: int, path: str) -> DataFrame:
         if held:
             yield cut(-(-held // length))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "part int, first long, rows int, block binary")
+    return texts(docs).mapInArrow(run, "part int, first long, rows int, block binary")
 
 
 def write_training_order(docs: DataFrame, folder: str, length: int = LENGTH, key: int = 1234, path: str | None = None,
