@@ -21,6 +21,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -120,7 +123,9 @@ def flights(df: DataFrame, keys: Sequence[str], order: str, limit: int | None =
     if long_flights.isEmpty():
         return Flights(df, keys, order)
     block = F.floor(F.col(order) / F.lit(limit)).cast("long")
-    rows = df.join(materialize(long_flights, "long"), keys, "left").withColumn(
+    listed = materialize(long_flights, "long").withColumnsRenamed({k: f"_long_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_long_{k}")) for k in keys])  # a NULL key is a flight too
+    rows = df.join(listed, same, "left").drop(*[f"_long_{k}" for k in keys]).withColumn(
         BLOCK, F.when(F.col(LONG), block).otherwise(F.lit(0).cast("long"))
     )
     return Flights(rows, keys, order, cut=True)

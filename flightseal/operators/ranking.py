@@ -110,14 +110,16 @@ def metrics_table(ranked: DataFrame, keys: Sequence[str], thresholds: DataFrame,
     """The full metric record of every group in one job.
 
     `thresholds` has one row per `on` group. Pass it written out, so that the
-    planner knows its size when it picks the join.
+    planner knows its size when it picks the join. A group without a threshold
+    keeps its ranking measures; its threshold measures are NULL.
     """
-    at = ranked.join(thresholds.select(*on, "threshold"), list(on))
+    at = ranked.join(thresholds.select(*on, "threshold"), list(on), "left")
     flagged = F.col("score") >= F.col("threshold")
+    unknown = F.when(F.col("threshold").isNull(), F.lit(None))
     counted = at.groupBy(*keys).agg(
         *_ranking_aggregates(),
-        F.sum(F.when(flagged, F.col("pos")).otherwise(0)).alias("tp"),
-        F.sum(F.when(flagged, F.col("n") - F.col("pos")).otherwise(0)).alias("fp"),
+        F.sum(unknown.when(flagged, F.col("pos")).otherwise(0)).alias("tp"),
+        F.sum(unknown.when(flagged, F.col("n") - F.col("pos")).otherwise(0)).alias("fp"),
     )
     full = counted.withColumns(_ranking_columns() | _threshold_columns())
     return full.select(*keys, "n", "pos", *METRICS)
