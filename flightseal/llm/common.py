@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,6 +37,35 @@ def texts(docs: DataFrame) -> DataFrame:
     return small_batches(docs).select(F.col("doc_id").cast("long"), "text")
 
 
+#: What operators keep in this Python worker from task to task, by the module that keeps it.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(module: str) -> dict:
+    return _KEPT.setdefault(module, {})
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` for workers that outlive their stage, as Spark reuses them for whatever comes next.
+
+    What other modules kept goes before it starts, and memory that it freed
+    goes back to the system when it ends.
+    """
+
+    def clean(batches):
+        for other in [name for name in _KEPT if name != run.__module__]:
+            del _KEPT[other]
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+            if trim is not None:
+                trim(0)
+
+    return clean
+
+
 def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(name).to_pylist() for name in names]
 

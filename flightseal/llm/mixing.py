@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from ..session import materialize
+from .common import tidy
 
 #: A larger mean is the sum of draws with means of at most this, so exp(-mean) stays a normal number.
 PART = 256.0
@@ -62,8 +63,11 @@ def draws(hashes: np.ndarray, means: np.ndarray) -> np.ndarray:
 
 @F.pandas_udf(LongType())
 def _copies(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for hashes, means in batches:
-        yield pd.Series(draws(hashes.to_numpy(np.int64).view(np.uint64), means.to_numpy(float)))
+    def run(batches):
+        for hashes, means in batches:
+            yield pd.Series(draws(hashes.to_numpy(np.int64).view(np.uint64), means.to_numpy(float)))
+
+    yield from tidy(run)(batches)
 
 
 def rates(docs: DataFrame, weights: Mapping[str | None, float] | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import tokens
-from .common import chunks_for, numbered
+from .common import chunks_for, numbered, tidy
 
 CAPACITY = 2048
 ISLANDS, MIGRATIONS, GENERATIONS, POPULATION = 6, 2, 6, 6
@@ -172,7 +172,7 @@ def solve(spark, counts: dict[int, int], capacity: int = CAPACITY, seed: int = 5
                     best = evolve(counts, capacity, start, (seed, step, island), generations, population)
                     yield pa.RecordBatch.from_arrays([pa.array([island]), pa.array([_blob(best)], pa.binary())], names=["island", "best"])
 
-        rows = spark.range(0, islands, 1, islands).mapInArrow(run, "island long, best binary").collect()
+        rows = spark.range(0, islands, 1, islands).mapInArrow(tidy(run), "island long, best binary").collect()
         elites = [pickle.loads(zlib.decompress(r.best)) for r in sorted(rows, key=lambda r: r.island)]
         least = -(-sum(length * n for length, n in counts.items()) // capacity)
         if min(sum(b.values()) for b in elites) <= least:
@@ -225,7 +225,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order=("doc_id", "piece"))
 
     names = [f.name for f in pieces.schema]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema), "sequence_id long, offset long"])
-    return ranked.select(*names, "rank_").mapInArrow(run, schema)
+    return ranked.select(*names, "rank_").mapInArrow(tidy(run), schema)
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, ids: bool = False) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import columns, map_batches, small_batches, texts
+from .common import columns, map_batches, small_batches, texts, tidy
 
 #: Bounded fit: at most TREES * SAMPLE labelled rows are read by the driver, whatever the input.
 TREES, SAMPLE = 100, 256
@@ -230,4 +230,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 counts = np.array([statistics(t) for t in batch.column("text").to_pylist()])
                 yield batch.filter(pa.array(_verdict(model, counts)[2]))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(tidy(run), docs.schema)

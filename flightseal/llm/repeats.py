@@ -14,6 +14,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import kept
+
 LENGTH = 100
 GRAM = 40
 #: Bytes hashed at once; a longer text is cut into pieces that overlap by a window.
@@ -28,14 +30,14 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_TABLES: dict[str, np.ndarray] = {}
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    if not _TABLES:
-        _TABLES["up"] = _powers(_BASE, 2 * BUFFER)
-        _TABLES["down"] = _powers(pow(_BASE, -1, 1 << 64), 2 * BUFFER)
-    return _TABLES["up"], _TABLES["down"]
+    tables = kept("flightseal.llm.substring")
+    if not tables:
+        tables["up"] = _powers(_BASE, 2 * BUFFER)
+        tables["down"] = _powers(pow(_BASE, -1, 1 << 64), 2 * BUFFER)
+    return tables["up"], tables["down"]
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:

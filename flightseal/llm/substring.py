@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import small_batches, texts
+from .common import texts, tidy
 from .repeats import BUFFER, GRAM, LENGTH, Seen, merged, repeat_spans, runs
 
 #: Occurrences that a task holds before it settles them among themselves and sends them on.
-HELD = 1 << 19
+HELD = 1 << 18
 #: An anchor with more contexts than this is settled window by window.
 CONTEXTS = 256
 NULL_ID = -(1 << 63)
@@ -112,7 +112,7 @@ def _scan(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
         close()
         yield from _sent(Seen.join(held), buckets, length)
 
-    return texts(docs).mapInArrow(run, _SENT_DDL)
+    return texts(docs).mapInArrow(tidy(run), _SENT_DDL)
 
 
 def _settled(sent: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -140,7 +140,7 @@ def _settled(sent: DataFrame, buckets: int, length: int) -> DataFrame:
             large = sizes[group][sizes[group] > 1] > CONTEXTS
             yield from _found(open_.doc, open_.start, open_.start.astype(np.int64) + open_.count, open_.key, large)
 
-    return sent.repartitionById(buckets, F.col("bucket")).mapInArrow(run, _FOUND_DDL)
+    return sent.repartitionById(buckets, F.col("bucket")).mapInArrow(tidy(run), _FOUND_DDL)
 
 
 def _contexts(docs: DataFrame, open_: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -186,7 +186,7 @@ def _contexts(docs: DataFrame, open_: DataFrame, buckets: int, length: int) -> D
                     parts, held, size = [], [], 0
         yield from send()
 
-    return docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "open").mapInArrow(run, _SENT_DDL)
+    return docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "open").mapInArrow(tidy(run), _SENT_DDL)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -241,7 +241,7 @@ def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield _rows(schema, rows)
 
     slim = _with_spans(texts(docs), length)
-    return slim.select("doc_id", "text", "spans_").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return slim.select("doc_id", "text", "spans_").mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -269,4 +269,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out = out.set_column(at, out.schema.field(at), pa.array(counts, out.schema.field(at).type))
             yield out.filter(pa.array(keep, pa.bool_()))
 
-    return with_spans.select(*docs.columns, "spans_").mapInArrow(run, schema)
+    return with_spans.select(*docs.columns, "spans_").mapInArrow(tidy(run), schema)

@@ -14,7 +14,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import kept, texts, tidy
 
 #: Words and parts that a Python worker keeps in each of two generations, and bytes of the longest of them.
 WORDS, PARTS, LONGEST = 250_000, 100_000, 48
@@ -67,8 +67,6 @@ class Encoder:
     other words go through the whole tokenizer.
     """
 
-    _made: dict[str, Encoder] = {}
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -85,9 +83,11 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> Encoder:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+        """The worker's encoder of this vocabulary, with the words that earlier tasks met."""
+        made = kept(__name__)
+        if path not in made:
+            made[path] = cls(path)
+        return made[path]
 
     def _learn_parts(self, parts: list[str]) -> None:
         lines = [" ".join(parts[i : i + 256]) for i in range(0, len(parts), 256)]
@@ -156,4 +156,4 @@ def map_pieces(docs: DataFrame, length: int, path: str, make, names: list[str],
                         rows.append(make(doc, piece, start, data[4 * start : 4 * (start + length)]))
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
-    return texts(docs).mapInArrow(run, schema)
+    return texts(docs).mapInArrow(tidy(run), schema)
