@@ -72,32 +72,40 @@ def time_order(
     )
 
 
-def _repeats(df: DataFrame, groups: Sequence[str], columns: Sequence[str], name: str) -> DataFrame:
-    """Rows beyond the first of each distinct tuple; equal copies are counted before the shuffle."""
-    tuples = df.groupBy(*groups, *[c for c in columns if c not in groups]).agg(F.count(F.lit(1)).alias("_copies"))
-    return tuples.groupBy(*groups).agg(F.sum(F.col("_copies") - 1).alias(name))
-
-
 def duplicates(
     df: DataFrame, groups: Sequence[str] = (), identity: Sequence[str] = ROW_IDENTITY
 ) -> DataFrame:
-    """Exact duplicate rows, and duplicates when the row identity is ignored."""
-    exact = _repeats(df, groups, df.columns, "exact_duplicate_rows")
-    content = [c for c in df.columns if c not in identity]
-    loose = _repeats(df, groups, content, "duplicate_rows_ignoring_idx")
-    if groups:
-        return exact.join(loose, list(groups))
-    return exact.withColumn("duplicate_rows_ignoring_idx", loose.scalar())
+    """Exact duplicate rows, and duplicates when the row identity is ignored.
+
+    The input is read once: equal copies are counted by all columns before the
+    shuffle, and those counts are added up by the columns of the content.
+    """
+    content = [c for c in df.columns if c not in identity and c not in groups]
+    rest = [c for c in df.columns if c in identity and c not in groups]
+    copies = df.groupBy(*groups, *content, *rest).agg(F.count(F.lit(1)).alias("_copies"))
+    alike = copies.groupBy(*groups, *content).agg(
+        F.sum("_copies").alias("_alike"), F.sum(F.col("_copies") - 1).alias("_exact")
+    )
+    return alike.groupBy(*groups).agg(
+        F.sum("_exact").alias("exact_duplicate_rows"),
+        F.sum(F.col("_alike") - 1).alias("duplicate_rows_ignoring_idx"),
+    )
+
 
+def audit(
+    df: DataFrame, groups: Sequence[str] | None = None, case: str = "case_id", limit: int | None = None
+) -> DataFrame:
+    """One record per group with all measures, counts as maps, ready for a JSON sink.
 
-def audit(df: DataFrame, group: str = "profile", case: str = "case_id", limit: int | None = None) -> DataFrame:
-    """One record per group with all measures, counts as maps, ready for a JSON sink."""
+    `groups` defaults to the profile and the replicate, where there are such
+    columns: replicates may number their flights alike.
+    """
+    groups = [c for c in ("profile", "replicate") if c in df.columns] if groups is None else list(groups)
 
     def as_map(table: DataFrame, key: str, value: str, name: str) -> DataFrame:
         entries = F.array_sort(F.collect_list(F.struct(F.col(key).cast("string"), F.col(value))))
-        return table.groupBy(group).agg(F.map_from_entries(entries).alias(name))
+        return table.groupBy(*groups).agg(F.map_from_entries(entries).alias(name))
 
-    groups = [group]
     out = summary(df, groups, case).withColumns(
         {
             "anomaly_rate": F.bround("anomaly_rate", 5),
@@ -115,5 +123,5 @@ def audit(df: DataFrame, group: str = "profile", case: str = "case_id", limit: i
         as_map(missing(df, groups), "column", "missing", "missing"),
     ]
     for part in (*maps, timing, duplicates(df, groups)):
-        out = out.join(part, group, "left")
+        out = out.join(part, groups, "left")
     return out

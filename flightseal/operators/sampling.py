@@ -27,15 +27,21 @@ def case_labels(df: DataFrame, keys: Sequence[str] = CASE_KEYS, label: str = "la
     return df.groupBy(*keys).agg(F.max(label).alias("case_label"))
 
 
+def _at_most(wanted: Column, rows: Column) -> Column:
+    """`wanted`, or an error where there are fewer rows."""
+    return F.when(wanted <= rows, wanted).otherwise(F.raise_error("a sample is larger than the rows to draw from").cast("long"))
+
+
 def proportional_quotas(sizes: DataFrame, within: Sequence[str], stratum: str, draws: Column) -> DataFrame:
     """Adds `quota`: `draws` shared over strata by size, largest remainders first.
 
     `sizes` has one row per stratum with its row count `n`; `draws` may use the
-    group total `_total`. Equal remainders go to the smaller stratum value.
+    group total `_total`. Equal remainders go to the smaller stratum value. More
+    draws than rows are an error.
     """
     group = Window.partitionBy(*within)
     shared = sizes.withColumn("_total", F.sum("n").over(group)).withColumn(
-        "_draws", F.least(draws.cast("long"), F.col("_total"))
+        "_draws", _at_most(draws.cast("long"), F.col("_total"))
     )
     # Whole-number division: a float share could round across an integer.
     product = "cast(n as decimal(18,0)) * cast(_draws as decimal(18,0))"
@@ -135,7 +141,7 @@ def stratified_sample(
     seed: int = SEED,
     rank_by: Column | None = None,
 ) -> DataFrame:
-    """Exactly `rows` rows with the label mix of the whole."""
+    """Exactly `rows` rows with the label mix of the whole; an error if there are fewer."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     quotas = proportional_quotas(sizes, [], label, F.lit(rows))
     return take_quota(df, [label], quotas, spread_hash(ids, seed) if rank_by is None else rank_by, ids)
@@ -148,9 +154,9 @@ def uniform_sample(
     seed: int = SEED,
     rank_by: Column | None = None,
 ) -> DataFrame:
-    """Exactly `rows` rows without replacement."""
+    """Exactly `rows` rows without replacement; an error if there are fewer."""
     one = df.withColumn("_all", F.lit(0))
-    quotas = one.groupBy("_all").agg(F.least(F.count(F.lit(1)), F.lit(rows)).alias("quota"))
+    quotas = one.groupBy("_all").agg(_at_most(F.lit(rows).cast("long"), F.count(F.lit(1))).alias("quota"))
     return take_quota(one, ["_all"], quotas, spread_hash(ids, seed) if rank_by is None else rank_by, ids).drop("_all")
 
 

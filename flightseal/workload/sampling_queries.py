@@ -10,7 +10,7 @@ from .view import q, q_sql, telemetry, telemetry_sql
 SAMPLE_ROWS = 500
 
 # A multiplicative hash both engines compute alike, spread over 63 bits.
-_CASE_HASH = "((cast(case_id as bigint) * 2654435761) % 4294967296) * 2147483648"
+CASE_HASH = "((cast(case_id as bigint) * 2654435761) % 4294967296) * 2147483648"
 _ROW_HASH = "(((cast(case_id as bigint) * 100003 + row_idx) * 2654435761) % 4294967296) * 2147483648"
 
 _T = telemetry_sql()
@@ -19,7 +19,7 @@ _T = telemetry_sql()
 def split(spark, sf_dir, rows=None):
     """Flight split within every replicate."""
     rows = telemetry(spark, sf_dir) if rows is None else rows
-    return sampling.case_split(rows, ["replicate", "case_id"], ["replicate"], rank_by=F.expr(_CASE_HASH))
+    return sampling.case_split(rows, ["replicate", "case_id"], ["replicate"], rank_by=F.expr(CASE_HASH))
 
 
 def quota_sql(sizes: str, within: str, stratum: str, draws: str) -> str:
@@ -37,7 +37,7 @@ def split_sql(source: str = _T) -> str:
     sizes = f"select replicate, case_label, count(*) as n from ({cases}) group by replicate, case_label"
     quotas = quota_sql(sizes, "replicate", "case_label", "total - cast(ceil(total * 0.2E0) as bigint)")
     return f"""select c.replicate, c.case_id, c.case_label, c.turn > q.quota as is_holdout from (
- select *, row_number() over (partition by replicate, case_label order by {_CASE_HASH}, case_id) as turn
+ select *, row_number() over (partition by replicate, case_label order by {CASE_HASH}, case_id) as turn
  from ({cases})) c join ({quotas}) q on c.replicate = q.replicate and c.case_label = q.case_label"""
 
 
@@ -81,7 +81,7 @@ def class_weights(spark, sf_dir):
 
 
 _DELTA = f"select (t_ms - lag(t_ms) over (partition by case_id order by row_idx)) / 1000E0 as dt from ({_T})"
-_STEP = f"""select median(dt) as median_dt_s,
+STEP_SQL = f"""select median(dt) as median_dt_s,
  greatest(1, cast(round_even(2.0E0 / median(dt), 0) as int)) as step from ({_DELTA})"""
 
 QUERIES = {
@@ -107,8 +107,8 @@ ORACLE = {
     "uniform_sample": f"""select case_id, row_idx, label from ({_T})
  order by {_ROW_HASH}, case_id, row_idx limit {SAMPLE_ROWS}""",
     "thin": f"""select case_id, cast(row_idx // step as int) as row_idx, t_ms, label, {q_sql("altitude")} as altitude
- from ({_T}), ({_STEP}) where row_idx % step = 0""",
-    "median_dt": f"select {q_sql('median_dt_s', 1_000_000)} as median_dt_s, step from ({_STEP})",
+ from ({_T}), ({STEP_SQL}) where row_idx % step = 0""",
+    "median_dt": f"select {q_sql('median_dt_s', 1_000_000)} as median_dt_s, step from ({STEP_SQL})",
     "class_weights": f"""select label, n, {q_sql("sum(n) over () / (count(*) over () * cast(n as double))", 1_000_000)}
  as weight from (select label, count(*) as n from ({_T}) group by label)""",
 }

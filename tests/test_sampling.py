@@ -65,11 +65,17 @@ def test_stratified_sample(flights60, rows):
 
 def test_uniform_sample(flights60):
     assert sampling.uniform_sample(flights60, 100).distinct().count() == 100
-    assert sampling.uniform_sample(flights60, 10**6).count() == flights60.count()
+    assert sampling.uniform_sample(flights60, flights60.count()).count() == flights60.count()
     whole, other = (sampling.uniform_sample(x, 50).collect() for x in (flights60, flights60.coalesce(1)))
     assert {tuple(r) for r in whole} == {tuple(r) for r in other}
 
 
+@pytest.mark.parametrize("draw", [sampling.uniform_sample, sampling.stratified_sample])
+def test_a_sample_never_shrinks_silently(flights60, draw):
+    with pytest.raises(Exception, match="larger than the rows"):
+        draw(flights60, flights60.count() + 1).collect()
+
+
 @pytest.mark.parametrize("shift", [0, 40])
 def test_quota_paths_agree(flights60, shift, spark):
     """Numbering whole strata, or only slices of the hash; also when all hashes share one slice."""
