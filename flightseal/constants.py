@@ -15,8 +15,6 @@ TAMPER_TYPES = (
     "timestamp_drift",
 )
 NORMAL = "normal"
-PROFILES = ("balanced", "strong", "subtle")
-REPLICATES = (0, 1, 2, 3)
 SEED = 42
 EARTH_RADIUS_M = 6_371_000.0
 MAX_DT_S = 3600.0
@@ -45,8 +43,8 @@ ORDER = "row_idx"
 MEASURED = ("latitude", "longitude", "altitude", "speed", "heading")
 ROLLED = ("altitude", "speed", "latitude", "longitude")
 
-# The 25 model inputs in model order. Identifiers, labels and the raw
-# timestamp are never features.
+# The 25 model inputs in model order. Identifiers, labels and
+# the raw timestamp are never features.
 FEATURES = (
     "dt_s",
     "ts_gap_flag",
@@ -79,7 +77,7 @@ DERIVED_FEATURES = FEATURES[:20]
 # Absolute place and route, left out of the transfer variant.
 LOCATION_FEATURES = ("latitude", "longitude", "altitude", "heading")
 
-# Features judged against their own phase by the label-free detector.
+# Features judged against their own phase by the label-free detector.
 CONSISTENCY_FEATURES = (
     "dt_s",
     "speed_resid_mps",
@@ -90,7 +88,7 @@ CONSISTENCY_FEATURES = (
     "roll_dev_longitude",
 )
 
-# Foreign log headers, first match wins.
+# Foreign log headers, first match wins.
 COLUMN_CANDIDATES = {
     "latitude": ("Latitude", "latitude", "lat"),
     "longitude": ("Longitude", "longitude", "lon", "lng"),
@@ -102,3 +100,26 @@ TIMESTAMP_CANDIDATES = ("Timestamp", "Time(millis)")
 PHASE_CANDIDATES = ("ModeCode", "FlightMode", "Mode", "flight_mode", "mode")
 TITLE_CANDIDATES = ("MissionName", "FlightLogName")
 DEFAULT_PHASE = "flight"
+
+# Cells of a foreign log that mean "missing", as pandas.read_csv takes them.
+MISSING_WORDS = (
+    "",
+    "#N/A",
+    "#N/A N/A",
+    "#NA",
+    "-1.#IND",
+    "-1.#QNAN",
+    "-NaN",
+    "-nan",
+    "1.#IND",
+    "1.#QNAN",
+    "<NA>",
+    "N/A",
+    "NA",
+    "NULL",
+    "NaN",
+    "None",
+    "n/a",
+    "nan",
+    "null",
+)

@@ -54,12 +54,17 @@ def metrics(ranked: DataFrame, thresholds: DataFrame, by: Sequence[str] = ()) ->
     return metrics_table(ranked, [*by, "dataset", "model"], thresholds, [*by, "model"])
 
 
+def _flight(scored: DataFrame, by: Sequence[str], case: str) -> list[str]:
+    """What tells flights apart besides `by`: replicates may number theirs alike."""
+    return [c for c in ("replicate",) if c in scored.columns and c not in by] + [case]
+
+
 def flights_of(scored: DataFrame, by: Sequence[str] = (), case: str = "case_id") -> DataFrame:
     """One row per flight and model with its highest label and score.
 
     Ranked, tuned and measured like rows, this gives the flight-level table.
     """
-    return case_scores(scored, [*by, "dataset", "model", case])
+    return case_scores(scored, [*by, "dataset", "model", *_flight(scored, by, case)])
 
 
 def type_rows(scored: DataFrame, thresholds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -74,4 +79,4 @@ def type_cases(
     """Flagged flights by type on the untouched profiles."""
     untouched = scored.where(F.col("dataset") != HOLDOUT)
     keys = [*by, "dataset", "model"]
-    return per_type_cases(case_types(untouched, [*keys, case]), keys, thresholds, [*by, "model"])
+    return per_type_cases(case_types(untouched, [*keys, *_flight(scored, by, case)]), keys, thresholds, [*by, "model"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,13 +42,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/flightseal/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back.
+def materialize(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Write `df` to the shared folder, in folders per value of `by`, and read it back.
 
     Used where several later stages read the same result. The written table
     survives lost executors, keeps column pruning, and its file size lets the
     planner itself decide whether a join against it may be broadcast.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

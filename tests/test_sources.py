@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flightseal.operators.adapt import adapt_log, find_column
+from flightseal.plans.log_scoring import score_without_model
 from flightseal.sources import logs, results, telemetry
 
 
@@ -73,6 +74,45 @@ def test_line_breaks_in_quotes(spark, folder):
     assert [r["phase"] for r in rows] == ["A\nB", "C"]
 
 
+def test_words_for_missing_cells(spark, folder):
+    lines = [f"{i},8,98,{word},1,1,{word}" for i, word in enumerate(["N/A", "GO", "None", "null", "<NA>", "STAY", "nan"])]
+    write(f"{folder}/words.csv", HEADER, lines)
+    rows = logs.read_logs(spark, [f"{folder}/words.csv"]).orderBy("row_idx").collect()
+    assert [r["phase"] for r in rows] == ["GO", "GO", "GO", "GO", "GO", "STAY", "STAY"]
+    assert {r["altitude"] for r in rows} == {None}
+
+
+def test_names_that_look_like_patterns(spark, folder):
+    write(f"{folder}/l[1].csv", HEADER, [f"{i},8,98,1,1,1,A" for i in range(3)])
+    write(f"{folder}/l1.csv", HEADER, [f"{i},8,98,1,1,1,B" for i in range(5)])
+    rows = logs.read_logs(spark, [f"{folder}/l[1].csv", f"{folder}/l1.csv"]).groupBy("case_id", "source", "phase").count()
+    assert {tuple(r) for r in rows.collect()} == {(0, "l[1]", "A", 3), (1, "l1", "B", 5)}
+    assert logs.read_logs(spark, [folder]).count() == 8
+
+
+def test_file_without_a_line(spark, folder):
+    write(f"{folder}/a.csv", HEADER, ["0,8,98,1,1,1,A"])
+    open(f"{folder}/empty.csv", "w").close()
+    with pytest.raises(ValueError, match="empty.csv has no header"):
+        logs.read_logs(spark, [folder])
+
+
+def test_logs_of_one_name(spark, folder):
+    """Logs that share a file name are scored and stored apart."""
+    for at, name in enumerate(("x", "y")):
+        os.makedirs(f"{folder}/{name}")
+        lines = [f"{i * 1000},{8 + i * i * (at + 1) / 1e4},98,{i % 7 * (at + 1)},{i % 5},{i % 3},GO" for i in range(30 - 5 * at)]
+        write(f"{folder}/{name}/log.csv", HEADER, lines)
+    paths = [f"{folder}/x/log.csv", f"{folder}/y/log.csv"]
+    both = score_without_model(logs.read_logs(spark, paths), pooled=False)
+    alone = [score_without_model(logs.read_logs(spark, [p]), pooled=False) for p in paths]
+    wanted = {tuple(r) for part in alone for r in part.select("log", "row_idx", "anomaly_score").collect()}
+    assert {tuple(r) for r in both.select("log", "row_idx", "anomaly_score").collect()} == wanted and len(wanted) == 55
+    for part in alone:
+        results.write_scored(part, f"{folder}/stored")
+    assert results.read_required(spark, f"{folder}/stored", "scoring").count() == 55
+
+
 def test_log_without_a_needed_column(spark, folder):
     write(f"{folder}/bad.csv", "Timestamp,Latitude", ["0,8"])
     with pytest.raises(ValueError, match="longitude"):
