@@ -9,6 +9,8 @@ budgets of the longer chains prune candidates before the whole distance counts.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -48,14 +50,20 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(major.view("<i8")[0])
 
 
+def _text_hash(text):
+    """MD5 of a text column, empty for null; as `fingerprints` has it."""
+    return F.coalesce(F.md5(text), F.lit(""))
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row; fp is a long."""
+    """(doc_id, text_hash, fp) of every row; fp is a long."""
 
     def run(batch):
         ids, bodies = columns(batch, "doc_id", "text")
-        return ids, [fingerprint(t, words) for t in bodies]
+        hashes = ["" if t is None else hashlib.md5(t.encode()).hexdigest() for t in bodies]
+        return ids, hashes, [fingerprint(t, words) for t in bodies]
 
-    return map_batches(texts(docs), run, "doc_id long, fp long")
+    return map_batches(texts(docs), run, "doc_id long, text_hash string, fp long")
 
 
 def _rings(distinct: DataFrame, bits: int) -> DataFrame:
@@ -111,23 +119,37 @@ def links(distinct: DataFrame, bits: int = 2) -> DataFrame:
     return pairs.unionByName(_balls(hot.select("rep", "fp").distinct()))
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) of every row.
+def _grouped(docs: DataFrame, words: int, bits: int) -> DataFrame:
+    """(doc_id, text_hash, fp, first) of every row; first: the smallest (doc_id, text_hash) of its group.
 
-    Equal fingerprints are one node, so copies cost a row each and no pairs.
-    Repeated doc_ids keep a row each; null ids are -2**63; empty tables give no rows.
+    Fingerprints are the nodes, so copies cost a row each and no pairs, and rows
+    are linked by their texts alone, whatever ids they have or share.
     """
     prints = fingerprints(docs, words).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
     prints = materialize(prints, "simhash-prints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    found = components(links(distinct, bits), "simhash").withColumnRenamed("id", "rep")
-    named = distinct.join(found, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(materialize(named, "simhash-named"), "fp").select("doc_id", "fp", "component_id")
+    distinct = prints.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"))
+    distinct = materialize(distinct, "simhash-distinct")
+    found = components(links(distinct.select(F.col("fp").alias("rep"), "fp"), bits), "simhash").withColumnRenamed("id", "fp")
+    named = distinct.join(found, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    named = materialize(named, "simhash-named")
+    firsts = named.groupBy("component").agg(F.min("least").alias("first"))
+    firsts = materialize(named.join(firsts, "component").select("fp", "first"), "simhash-firsts")
+    return prints.join(firsts, "fp").select("doc_id", "text_hash", "fp", "first")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
+    """(doc_id, fp, component_id) of every row; component_id: the smallest doc_id of the group.
+
+    Repeated doc_ids keep a row each; null ids are -2**63; empty tables give no rows.
+    Groups without a link have the same component_id only where unlike rows share their smallest doc_id.
+    """
+    return _grouped(docs, words, bits).select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
-    """One row of each group: that with the smallest doc_id. All columns stay."""
-    drop = near_duplicates(docs, words, bits).where("doc_id <> component_id").select("doc_id").distinct()
-    drop = materialize(drop, "simhash-drop")
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    return docs.withColumn("id_", own).join(drop.withColumnRenamed("doc_id", "id_"), "id_", "left_anti").drop("id_").dropDuplicates(["doc_id"])
+    """One row of each group: that with the smallest doc_id (null before all), then text hash. All columns stay."""
+    own = F.struct("doc_id", "text_hash")
+    drop = _grouped(docs, words, bits).where(own != F.col("first")).select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"))
+    drop = materialize(drop.distinct(), "simhash-drop")
+    keyed = docs.withColumn("id_", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("hash_", _text_hash("text"))
+    return keyed.join(drop, ["id_", "hash_"], "left_anti").dropDuplicates(["id_", "hash_"]).drop("id_", "hash_")

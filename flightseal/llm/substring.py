@@ -193,8 +193,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     """(doc_id, start, stop) byte spans of windows of `length` that also start earlier in the corpus.
 
     Earlier: a smaller doc_id, or the same and a smaller start. Null texts are
-    empty, null ids the smallest. Rows that share a doc_id count as one
-    document: equal rows get the same spans. Every occurrence is compared; a task
+    empty, null ids the smallest. Rows that share a doc_id must share their text
+    too (see `_numbered`): they get the same spans. Every occurrence is compared; a task
     sends one row per distinct context, so a passage in a third of all texts
     costs its anchor one row per task.
     """
@@ -207,12 +207,28 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     return found.where("key is null").unionByName(rest.where("key is null")).select("doc_id", "start", "stop")
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Adds id_: a long per document, which is a doc_id with a text.
+
+    The doc_id itself (null the smallest), or, where unlike texts share one, a
+    number that rises with doc_id, then text hash.
+    """
+    own = docs.withColumn("id_", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    keyed = own.withColumn("hash_", F.coalesce(F.md5("text"), F.lit("")))
+    pairs = materialize(keyed.select("id_", "hash_"), "repeats-pairs")
+    if not pairs.groupBy("id_").agg(F.min("hash_").alias("a"), F.max("hash_").alias("b")).where("a <> b").head(1):
+        return own
+    ordered = pairs.distinct().sort("id_", "hash_")
+    numbers = materialize(ordered.withColumn("number_", F.monotonically_increasing_id()), "repeats-numbers")
+    return keyed.join(numbers, ["id_", "hash_"]).drop("id_", "hash_").withColumnRenamed("number_", "id_")
+
+
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
     """Adds spans_: the packed spans of the row's document, null where nothing repeats."""
+    own = _numbered(docs)
     packed = F.shiftleft("start", 32).bitwiseOR(F.col("stop"))
-    spans = repeats(docs, length).groupBy("doc_id").agg(F.collect_list(packed).alias("spans_"))
-    spans = spans.withColumnRenamed("doc_id", "id_")
-    own = docs.withColumn("id_", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    spans = repeats(own.select(F.col("id_").alias("doc_id"), "text"), length)
+    spans = spans.groupBy("doc_id").agg(F.collect_list(packed).alias("spans_")).withColumnRenamed("doc_id", "id_")
     return own.join(spans, "id_", "left").drop("id_")
 
 

@@ -117,3 +117,20 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect())[1:] == [(1, None), (2, ""), (5, "x")]
     assert substring.removal_report(docs.limit(0)).count() == 0
+
+
+def test_unlike_rows_with_null_and_repeated_ids(spark):
+    rng = random.Random(12)
+    make = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = make(150)
+    rows = [(None, make(200) + passage), (None, make(300)), (None, passage + make(90)), (4, make(250)), (4, make(120) + passage + make(50)), (4, make(400)), (6, make(30) + passage)]
+    rows += [rows[3]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()))
+    wanted = plain_report({k: t.encode() for k, (_, t) in enumerate(order)})
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring.removal_report(docs).collect()), key=str)
+    assert got == sorted([(r[0], *wanted[order.index(r)]) for r in rows], key=str)
+    gone = plain_removed({k: t.encode() for k, (_, t) in enumerate(order)}, 100)
+    left = {r: "".join(c for at, c in enumerate(r[1]) if at not in gone[k]) for k, r in enumerate(order)}
+    kept = sorted(((r.doc_id, r.text) for r in substring.remove_repeats(docs).collect()), key=str)
+    assert kept == sorted([(r[0], left[r]) for r in rows if left[r]], key=str)

@@ -1,6 +1,7 @@
 """Fingerprints and groups against a plain version."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -75,3 +76,14 @@ def test_odd_rows(spark):
     assert sorted(r.doc_id or 0 for r in simhash.keep_first(docs).collect()) == [0, 1, 3, 9]
     assert simhash.keep_first(docs).columns == docs.columns
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_unlike_rows_with_null_and_repeated_ids(spark):
+    body = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "abcde"}
+    rows = [(None, body["a"]), (None, body["b"]), (None, body["b"]), (7, body["c"]), (7, body["d"]), (8, body["a"]), (9, body["d"]), (5, body["e"]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_first(docs).collect()), key=str)
+    assert kept == sorted([(None, body["a"]), (None, body["b"]), (None, None), (7, body["c"]), (7, body["d"]), (5, body["e"])], key=str)
+    got = Counter((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect())
+    null = -(1 << 63)
+    assert got == {(null, null): 4, (7, 7): 2, (8, null): 1, (9, 7): 1, (5, 5): 1}
