@@ -182,8 +182,13 @@ def calibrate(stats: DataFrame, labels: DataFrame, seed: int = 17, good_loss: fl
 
 
 def threshold(found: dict[tuple[int, int], int], good_loss: float) -> int:
-    """Reject above this step: most bad rows, at most `good_loss` of the good; ties take the highest step."""
+    """Reject above this step: most bad rows, at most `good_loss` of the good; ties take the highest step.
+
+    Without good rows there is nothing to measure the loss by: nothing is rejected.
+    """
     good = sum(n for (quality, _), n in found.items() if quality == 1)
+    if not good:
+        return SCORE_STEPS
     best, lost, caught, most = SCORE_STEPS, 0, 0, 0
     for step in sorted({s for _, s in found}, reverse=True):
         lost, caught = lost + found.get((1, step), 0), caught + found.get((0, step), 0)

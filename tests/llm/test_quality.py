@@ -70,3 +70,12 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns and kept.count() == 3
     assert quality.judge(docs.limit(0), labels).count() == 0
     assert quality.keep_good(docs, labels.limit(0)).count() == 3
+
+
+def test_labels_of_bad_rows_only_reject_nothing(spark):
+    assert quality.threshold({(0, 0): 5}, 0.005) == quality.SCORE_STEPS
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text), (2, text + " x"), (3, "a b"), (4, "a b c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (3, 1), (4, 0)], "doc_id long, quality int")
+    assert {r.doc_id for r in quality.judge(docs, labels).where("kept").collect()} == {1, 2}
+    assert {r.doc_id for r in quality.keep_good(docs, labels).collect()} == {1, 2}
