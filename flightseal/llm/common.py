@@ -66,6 +66,18 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return clean
 
 
+def unused(columns: Sequence[str], *names: str) -> list[str]:
+    """Names for helper columns, like `names` but unlike all `columns` (whatever the case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        made = f"{name}_"
+        while made.lower() in taken:
+            made += "_"
+        out.append(made)
+    return out
+
+
 def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(name).to_pylist() for name in names]
 

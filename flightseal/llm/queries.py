@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embedding, licenses, mixing, packing, quality, sharding, simhash, substring, training_order, warc
+from . import (
+    embedding,
+    fill_middle,
+    importance,
+    licenses,
+    mixing,
+    packing,
+    pieces,
+    quality,
+    sharding,
+    simhash,
+    substring,
+    training_order,
+    warc,
+)
 from .common import table
 
 SHARDS = 8
@@ -68,6 +82,18 @@ def op10_training_order(spark, sf_dir):
     )
 
 
+def op11_fill_middle(spark, sf_dir):
+    return fill_middle.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_importance(spark, sf_dir):
+    return importance.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_sentencepiece(spark, sf_dir):
+    return pieces.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_license": op1_license,
     "op2_simhash": op2_simhash,
@@ -79,5 +105,8 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_training_order": op10_training_order,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_importance": op12_importance,
+    "op13_sentencepiece": op13_sentencepiece,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_fill_middle": fill_middle.SQL, "op12_importance": importance.SQL}
