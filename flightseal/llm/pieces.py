@@ -1,11 +1,12 @@
-"""SentencePiece encoding by a table of distinct chunks, and decoding.
+"""SentencePiece encoding by tables of distinct chunks, and decoding.
 
 Where no piece of the vocabulary has a whitespace marker behind another
 character, merges never cross the place before a marker. So a text is the ids
-of its chunks (markers and the word behind them), one after the other. Tasks
-cut texts into blocks: the distinct chunks of the block, and codes that say
-which of them lies where. Every distinct chunk of the corpus is segmented once;
-the ids are joined to the chunks of each block and put in place by the codes.
+of its chunks (markers and the word behind them), one after the other. A task
+cuts its texts into blocks; a block is a table of its distinct chunks and
+positions that point into it. Each chunk of the table is segmented once, those
+that the worker met in earlier blocks not again, and the ids are joined back by
+position. Blocks share nothing but that bounded cache, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -14,18 +15,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
 from .common import kept, small_batches, texts, tidy
+from .tokens import Recent
 
-#: Bytes of text in a block; a longer document is a block of its own.
-BLOCK_BYTES = 1 << 24
+#: Characters of text in a block, and chunks that a Python worker keeps in each of two generations.
+BLOCK_BYTES, CHUNKS = 1 << 22, 200_000
 MARK = "▁"
-TEXTS_AT_ONCE = 64
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}]*")
 _CROSSING = re.compile(f"[^{MARK}]{MARK}")
 
@@ -74,58 +72,49 @@ def segment(chunks: list[str], sp) -> list[list[int]]:
     return [mark if c == MARK else ids for c, ids in zip(chunks, sp.encode([c[1:] for c in chunks], num_threads=1))]
 
 
-def blocks(docs: DataFrame, path: str, block_bytes: int) -> DataFrame:
-    """(block, doc_ids, counts, codes, chunks): documents with their number of chunks, the codes of all these, and what they stand for."""
-    apart = chunked(path)
-
-    def run(batches):
-        part, made = TaskContext.get().partitionId() << 32, 0
-        names, counts, codes, known, size = [], [], [], {}, 0
-
-        def row():
-            packed = zstandard.ZstdCompressor(3).compress(np.concatenate(codes).tobytes())
-            own = [[part + made], [names], [counts], [packed], [list(known)]]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(own, _BLOCK.types)], schema=_BLOCK)
-
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                chunks = cut(text or "", apart)
-                names.append(doc_id)
-                counts.append(len(chunks))
-                codes.append(np.fromiter([known.setdefault(c, len(known)) for c in chunks], "<u4", len(chunks)))
-                size += len(text or "")
-                if size >= block_bytes:
-                    yield row()
-                    made += 1
-                    names, counts, codes, known, size = [], [], [], {}, 0
-        if names:
-            yield row()
-
-    return texts(docs).mapInArrow(tidy(run), "block long, doc_ids array<long>, counts array<long>, codes binary, chunks array<string>")
-
-
-_BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary()), ("chunks", pa.list_(pa.string()))])
-
-
-def segmented(chunks: DataFrame, path: str) -> DataFrame:
-    """(chunk, ids) of distinct chunks; ids: little-endian unsigned 32-bit."""
-
-    def run(batches):
-        sp = processor(path)
-        for batch in batches:
-            own = batch.column("chunk").to_pylist()
-            ids = [np.array(x, "<u4").tobytes() for x in segment(own, sp)]
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(ids, pa.binary())], names=["chunk", "ids"])
-
-    return small_batches(chunks).mapInArrow(tidy(run), "chunk string, ids binary")
-
-
-def _placed(codes: np.ndarray, table: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The ids of all codes in a row. table: ids of all chunks, each at its start with its size."""
-    own = sizes[codes]
-    ends = np.cumsum(own)
-    total = int(ends[-1]) if len(ends) else 0
-    return table[np.arange(total) + np.repeat(starts[codes] - (ends - own), own)]
+def _blocks(batches, block_bytes: int):
+    """(doc_ids, texts) of about so many characters each; a longer document is a block of its own."""
+    names, texts_, held = [], [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            names.append(doc_id)
+            texts_.append(text or "")
+            held += len(texts_[-1])
+            if held >= block_bytes:
+                yield names, texts_
+                names, texts_, held = [], [], 0
+    if names:
+        yield names, texts_
+
+
+class ChunkTable:
+    """Distinct chunks in the order in which they were met, and the ids of each."""
+
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+
+    def positions(self, chunks: list[str]) -> np.ndarray:
+        """The row of each chunk; new ones are added."""
+        rows = self.rows
+        return np.fromiter([rows.setdefault(c, len(rows)) for c in chunks], np.int64, len(chunks))
+
+    def segmented(self, cache: Recent, sp) -> None:
+        """Ids of all rows, one after the other, and where each row's ids start; only chunks that `cache` lacks are segmented."""
+        cache.turn()
+        new = cache.unknown(self.rows.keys() - cache.keys())
+        cache.update((c, np.array(ids, "<i4").tobytes()) for c, ids in zip(new, segment(new, sp)))
+        found = list(map(cache.__getitem__, self.rows))
+        cache.forget_long(new)
+        self.sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.ids = np.frombuffer(b"".join(found), "<i4")
+
+    def joined(self, positions: np.ndarray) -> np.ndarray:
+        """The ids of the rows at these positions, one row's after the other's."""
+        sizes = self.sizes[positions]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.arange(total) + np.repeat(self.starts[positions] - (ends - sizes), sizes)]
 
 
 def encode(docs: DataFrame, path: str | None = None, end: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -134,34 +123,23 @@ def encode(docs: DataFrame, path: str | None = None, end: bool = True, block_byt
     A null or empty text has no ids but the end. Repeated rows give repeated
     rows, null ids stay null, an empty table gives none; other columns do not go
     along. For a model whose pieces can cross a marker every text is one chunk.
-    A chunk comes once per block, so the most frequent ones are as many rows
-    as there are blocks; the join splits such keys where they are large.
     """
     path = path or vocabulary()
-    tail = np.array([processor(path).eos_id()] if end else [], "<u4")
-    made = materialize(blocks(docs, path, block_bytes), "piece-blocks")
-    listed = made.select(F.col("block").alias("home"), F.posexplode("chunks").alias("code", "chunk"))
-    table = materialize(segmented(listed.select("chunk").distinct(), path), "piece-chunks")
-    found = listed.join(table, "chunk").select("home", "code", "ids")
-
-    def place(held: pa.Table, rows: pa.Table) -> pa.Table:
-        names, counts, packed = (held.column(c)[0].as_py() for c in ("doc_ids", "counts", "codes"))
-        codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "<u4")
-        order = np.argsort(rows.column("code").to_numpy())
-        ids = rows.column("ids").take(pa.array(order)).to_pylist()
-        sizes = np.array([len(x) // 4 for x in ids], np.int64)
-        joined = np.frombuffer(b"".join(ids), "<u4")
-        starts, out, at = np.cumsum(sizes) - sizes, [], 0
-        for n in counts:
-            own = _placed(codes[at : at + n], joined, starts, sizes)
-            out.append(np.concatenate([own, tail]).astype(np.int32))
-            at += n
-        lengths = [len(x) for x in out]
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]), pa.int32()), pa.array(np.concatenate(out)))
-        return pa.table({"doc_id": pa.array(names, pa.int64()), "n_tokens": pa.array(lengths, pa.int64()), "ids": lists})
-
-    both = made.select("block", "doc_ids", "counts", "codes").groupBy("block").cogroup(found.groupBy("home"))
-    return both.applyInArrow(place, "doc_id long, n_tokens long, ids array<int>")
+    apart, tail = chunked(path), np.array([processor(path).eos_id()] if end else [], np.int32)
+
+    def run(batches):
+        sp, cache = processor(path), kept(__name__).setdefault(("chunks", path), Recent(CHUNKS))
+        for names, bodies in _blocks(batches, block_bytes):
+            table = ChunkTable()
+            positions = [table.positions(cut(text, apart)) for text in bodies]
+            table.segmented(cache, sp)
+            out = [x for own in positions for x in (table.joined(own), tail)]
+            lengths = [len(a) + len(b) for a, b in zip(out[::2], out[1::2])]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]), pa.int32()), pa.array(np.concatenate(out)))
+            values = [pa.array(names, pa.int64()), pa.array(lengths, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(values, names=["doc_id", "n_tokens", "ids"])
+
+    return texts(docs).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids array<int>")
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from flightseal.llm import pieces
+from flightseal.llm import pieces, tokens
 from flightseal.llm.queries import op13_sentencepiece
 from tests.conftest import SF
 
@@ -39,6 +39,24 @@ def test_odd_rows(spark, sp, monkeypatch, block_bytes, apart):
     assert pieces.digest(docs.limit(0)).count() == 0
 
 
+def test_chunks_are_segmented_once(sp, monkeypatch):
+    """A block asks for its distinct chunks, and for none that an earlier block of the worker had."""
+    asked, segment = [], pieces.segment
+
+    def counted(chunks, sp):
+        asked.extend(chunks)
+        return segment(chunks, sp)
+
+    monkeypatch.setattr(pieces, "segment", counted)
+    cache = tokens.Recent(1000)
+    for texts in (["a b a", "b c"], ["c d a", "d"]):
+        table = pieces.ChunkTable()
+        places = [table.positions(pieces.cut(t, True)) for t in texts]
+        table.segmented(cache, sp)
+        assert [table.joined(p).tolist() for p in places] == [sp.encode(t) for t in texts]
+    assert sorted(asked) == ["▁a", "▁b", "▁c", "▁d"]
+
+
 def test_only_empty_texts(spark):
     docs = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert [(r.doc_id, list(r.ids)) for r in pieces.encode(docs).orderBy("doc_id").collect()] == [(1, [2]), (2, [2])]
