@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,12 +33,29 @@ def find_column(columns: Sequence[str], candidates: Sequence[str], purpose: str)
     )
 
 
-def log_timestamp(columns: Sequence[str]) -> Column:
+def log_timestamp(columns: Sequence[str], cell: Callable[[str], Column] = named) -> Column:
     """Epoch or relative milliseconds as a timestamp."""
-    millis = to_number(named(find_column(columns, TIMESTAMP_CANDIDATES, "timestamp")))
+    millis = to_number(cell(find_column(columns, TIMESTAMP_CANDIDATES, "timestamp")))
     return F.timestamp_micros(F.round(millis * 1000.0).cast("long"))
 
 
+def phase_column(columns: Sequence[str]) -> str | None:
+    return next((c for c in PHASE_CANDIDATES if c in columns), None)
+
+
+def title_columns(columns: Sequence[str]) -> list[str]:
+    return [c for c in TITLE_CANDIDATES if c in columns]
+
+
+def internal_columns(columns: Sequence[str], cell: Callable[[str], Column] = named) -> dict[str, Column]:
+    """Timestamp, measured values and phase of a log that has these columns; `cell` gives a column by its name."""
+    out = {"timestamp": log_timestamp(columns, cell)}
+    for name, candidates in COLUMN_CANDIDATES.items():
+        out[name] = to_number(cell(find_column(columns, candidates, name)))
+    phase = phase_column(columns)
+    return out | {"phase": cell(phase).cast("string") if phase else F.lit(DEFAULT_PHASE)}
+
+
 def adapt_log(
     raw: DataFrame,
     keys: Sequence[str] = ("case_id",),
@@ -53,19 +70,6 @@ def adapt_log(
     backward, and is constant where the log has none.
     """
     columns = raw.columns
-    measured = {
-        name: to_number(named(find_column(columns, candidates, name)))
-        for name, candidates in COLUMN_CANDIDATES.items()
-    }
-    phase = next((c for c in PHASE_CANDIDATES if c in columns), None)
-    titles = [named(c).alias(c) for c in TITLE_CANDIDATES if c in columns]
-    out = raw.select(
-        *keys,
-        F.col(order),
-        *extra,
-        log_timestamp(columns).alias("timestamp"),
-        *[value.alias(name) for name, value in measured.items()],
-        (named(phase).cast("string") if phase else F.lit(DEFAULT_PHASE)).alias("phase"),
-        *titles,
-    )
-    return filled(out, keys, order, "phase", limit) if phase else out
+    values = [value.alias(name) for name, value in internal_columns(columns).items()]
+    out = raw.select(*keys, F.col(order), *extra, *values, *[named(c).alias(c) for c in title_columns(columns)])
+    return filled(out, keys, order, "phase", limit) if phase_column(columns) else out

@@ -16,9 +16,11 @@ from ..constants import (
     Z_THRESHOLD,
 )
 from ..session import materialize
+from . import sketches
 from .quantiles import GROUP_ROWS, TOTAL_ROWS, percentiles, robust_stats
 
 ALTITUDE_RATE = "alt_rate_mps"
+_POOL, _CLIMB = "_pool", "_climb"
 
 
 def phase_counts(df: DataFrame, pool: Sequence[str] = (), phase: str = "phase") -> DataFrame:
@@ -84,8 +86,11 @@ def altitude_bounds(
         sizes = sizes.groupBy(*pool).agg(F.max("pool_rows").alias("rows"))
     wanted = {"_top": (F.abs(F.col(ALTITUDE_RATE)), ALTITUDE_QUANTILE)}
     top = percentiles(df, pool, wanted, (), sizes, group_rows, total_rows)
-    bound = F.greatest(F.lit(ALTITUDE_FLOOR_MPS), F.col("_top") * ALTITUDE_HEADROOM)
-    return materialize(top.select(*pool, bound.alias("alt_bound")), "altitude")
+    return materialize(top.select(*pool, _altitude_bound(F.col("_top")).alias("alt_bound")), "altitude")
+
+
+def _altitude_bound(top: Column) -> Column:
+    return F.greatest(F.lit(ALTITUDE_FLOOR_MPS), top * ALTITUDE_HEADROOM)
 
 
 def narrowed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -107,7 +112,10 @@ def robust_z(
     0 where the column does not vary or the row has no phase.
     """
     pool = list(pool)
-    stats = phase_stats(df, pool, sizes, columns, phase, group_rows, total_rows)
+    return _with_z(df, pool, phase_stats(df, pool, sizes, columns, phase, group_rows, total_rows), columns, phase)
+
+
+def _with_z(df: DataFrame, pool: list[str], stats: DataFrame, columns: Sequence[str], phase: str) -> DataFrame:
     rows = df.join(stats, [*pool, phase], "left")
     z = {
         f"z_{c}": F.when(F.col(f"{c}_scale").isNull(), 0.0).otherwise(
@@ -135,6 +143,20 @@ def _over_bound(threshold: float) -> Column:
     return F.lit(threshold) * F.abs(F.col(ALTITUDE_RATE)) / F.col("alt_bound")
 
 
+def sketch_logs(features: DataFrame, pool: Sequence[str] = (), columns: Sequence[str] = CONSISTENCY_FEATURES, phase: str = "phase", k: int = sketches.K) -> DataFrame:
+    """Sketches of what the detector needs to know of these rows; merge tables of several logs with `merge_sketches`."""
+    rows = narrowed(features, [*columns, ALTITUDE_RATE]).withColumn(_CLIMB, F.abs(F.col(ALTITUDE_RATE)))
+    return sketches.sketch_table(_pooled(rows, pool), [*(pool or [_POOL]), phase], [*columns, _CLIMB], k)
+
+
+def merge_sketches(tables: Sequence[DataFrame], pool: Sequence[str] = (), columns: Sequence[str] = CONSISTENCY_FEATURES, phase: str = "phase") -> DataFrame:
+    return sketches.merged(tables, [*(pool or [_POOL]), phase], [*columns, _CLIMB])
+
+
+def _pooled(rows: DataFrame, pool: Sequence[str]) -> DataFrame:
+    return rows if pool else rows.withColumn(_POOL, F.lit(0))
+
+
 def score_baseline(
     features: DataFrame,
     pool: Sequence[str] = (),
@@ -143,23 +165,35 @@ def score_baseline(
     phase: str = "phase",
     group_rows: int = GROUP_ROWS,
     total_rows: int = TOTAL_ROWS,
+    exact: bool = True,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """Adds `anomaly_score`, `worst_feature` and `flagged`.
 
     `pool` names the columns whose rows are judged together: ("source",) scores
     each flight against itself, () pools everything. The rows are written out
-    first because their statistics need several passes over them.
+    first because their statistics need several passes over them. With `exact`
+    False medians, scales and altitude bounds come from sketches, in one pass;
+    with `known`, a table of `sketch_logs`, from that table, and the rows are
+    judged by what it has of their pool and phase (nothing: their score is 0).
     """
-    columns = list(columns)
-    judged = narrowed(features, [*columns, ALTITUDE_RATE])
-    pool = list(pool) or ["_pool"]
-    if pool == ["_pool"]:
-        judged = judged.withColumn("_pool", F.lit(0))
-    rows = materialize(judged, "judged")
-    sizes = pool_sizes(rows, pool, phase)
-    scored = robust_z(rows, pool, sizes, columns, phase, group_rows, total_rows)
-    bounds = altitude_bounds(rows, pool, sizes, group_rows, total_rows)
-    scored = scored.join(bounds, pool, "left").withColumn(f"z_{ALTITUDE_RATE}", _over_bound(threshold))
+    columns, keys = list(columns), list(pool) or [_POOL]
+    rows = _pooled(narrowed(features, [*columns, ALTITUDE_RATE]), pool)
+    if exact and known is None:
+        rows = materialize(rows, "judged")
+        sizes = pool_sizes(rows, keys, phase)
+        stats = phase_stats(rows, keys, sizes, columns, phase, group_rows, total_rows)
+        bounds = altitude_bounds(rows, keys, sizes, group_rows, total_rows)
+    else:
+        if known is None:
+            rows = materialize(rows, "judged")
+            known = sketch_logs(rows, pool, columns, phase)
+        known = materialize(known, "sketches")
+        stats = materialize(sketches.phase_stats(known, keys, columns, phase), "phase_stats")
+        top = sketches.pool_quantile(known, keys, _CLIMB, ALTITUDE_QUANTILE, "_top")
+        bounds = materialize(top.select(*keys, _altitude_bound(F.col("_top")).alias("alt_bound")), "altitude")
+    scored = _with_z(rows, keys, stats, columns, phase)
+    scored = scored.join(bounds, keys, "left").withColumn(f"z_{ALTITUDE_RATE}", _over_bound(threshold))
     ordered = [*columns, ALTITUDE_RATE]
     size = {c: F.coalesce(F.abs(F.col(f"z_{c}")), F.lit(0.0)) for c in ordered}
     scored = scored.withColumn("anomaly_score", F.greatest(*size.values()))
@@ -167,4 +201,4 @@ def score_baseline(
     for c in reversed(ordered[:-1]):
         worst = F.when(size[c] == F.col("anomaly_score"), F.lit(c)).otherwise(worst)
     scored = scored.withColumns({"worst_feature": worst, "flagged": F.col("anomaly_score") > threshold})
-    return scored.drop("_pool", "alt_bound", *[f"z_{c}" for c in ordered])
+    return scored.drop(_POOL, "alt_bound", *[f"z_{c}" for c in ordered])

@@ -14,16 +14,16 @@ from .ordering import flights
 
 
 def engineer_features(
-    df: DataFrame, keys: Sequence[str] = CASE_KEYS, order: str = ORDER, limit: int | None = None
+    df: DataFrame, keys: Sequence[str] = CASE_KEYS, order: str = ORDER, limit: int | None = None, ties: Sequence[str] = ()
 ) -> DataFrame:
-    """All columns of `df` plus the 20 derived features.
+    """All columns of `df` plus the 20 derived features. `ties`: columns that order rows of equal `order`.
 
     Needs `timestamp` and the measured columns. Everything that looks at other
     rows is computed over one set of per-flight windows, so the plan has a
     single exchange and sort of the rows. Select only the columns you need
     afterwards: unused features are pruned from the windows.
     """
-    data = flights(df.withColumns({name: known(F.col(name)) for name in MEASURED}), keys, order, limit)
+    data = flights(df.withColumns({name: known(F.col(name)) for name in MEASURED}), keys, order, limit, ties)
     if data.cut:
         ends = data.long_rows.groupBy(*data.part).agg(F.max(order).alias("_end"))
         data.add(ends.select(*data.part, F.max("_end").over(data.all_blocks()).alias("_end")))

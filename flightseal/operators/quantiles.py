@@ -68,52 +68,84 @@ def _builtin(df: DataFrame, keys: list[str], wanted: Wanted, also: Sequence[Colu
 def _counted(df: DataFrame, keys: list[str], wanted: Wanted, also: Sequence[Column]) -> DataFrame:
     """Exact quantiles without holding a group in a task.
 
-    Approximate quantiles with a guaranteed rank error bound each wanted value
-    from both sides. Only values strictly inside the bounds are then counted one
-    by one; everything below, and ties on a bound, are single counts.
+    Approximate quantiles bound each wanted value from both sides. Only values
+    strictly inside the bounds are then counted one by one; everything below,
+    and ties on a bound, are single counts. Where the bounds missed the wanted
+    rank, the groups and quantiles concerned are done again with twice the
+    margin; from half of the ranks on the bounds are the extremes.
     """
     group = keys or ["_all"]
     keyed = df if keys else df.withColumn("_all", F.lit(0))
     slim = keyed.withColumns({f"_v_{name}": value.cast("double") for name, (value, _) in wanted.items()})
+    shares, margin, found = {name: share for name, (_, share) in wanted.items()}, _MARGIN, []
+    base = missed = None
+    rows = slim
+    while shares:
+        bounds = _bounds(rows, group, shares, also if base is None else (), margin)
+        picked = _picked(rows, group, shares, bounds)
+        if base is None:
+            base = bounds
+        else:
+            picked = picked.join(missed, [*group, "_name"], "left_semi")
+        picked = materialize(picked, "picked")
+        found.append(picked.where(~F.col("_missed")).select(*group, "_name", "_found"))
+        missed = picked.where("_missed").select(*group, "_name")
+        again = {r["_name"] for r in missed.select("_name").distinct().collect()}
+        shares, margin = {name: share for name, share in shares.items() if name in again}, margin * 2
+        rows = slim.join(missed.select(*group).distinct(), group, "left_semi")
+    wide = reduce(DataFrame.unionByName, found).groupBy(*group).agg(
+        *[F.max(F.when(F.col("_name") == name, F.col("_found"))).alias(name) for name in wanted]
+    )
+    extra = [c for c in base.columns if c not in group and not c.startswith(("_n_", "_lo_", "_hi_"))]
+    return base.select(*group, *extra).join(wide, group, "left").select(*keys, *wanted, *extra)
+
+
+def _bounds(rows: DataFrame, group: list[str], shares: dict[str, float], also: Sequence[Column], margin: float) -> DataFrame:
+    """Count, lower and upper bound of every wanted value per group; written."""
     limits = []
-    for name, (_, share) in wanted.items():
+    for name, share in shares.items():
         value = F.col(f"_v_{name}")
-        around = F.array(F.lit(max(0.0, share - _MARGIN)), F.lit(min(1.0, share + _MARGIN)))
+        around = F.array(F.lit(max(0.0, share - margin)), F.lit(min(1.0, share + margin)))
         near = F.percentile_approx(value, around, _ACCURACY)
-        few = F.count(value) < _KEEP_ALL
+        few = F.count(value) < _KEEP_ALL if margin < 0.5 else F.lit(True)
         limits += [
             F.count(value).alias(f"_n_{name}"),
             F.when(few, F.min(value)).otherwise(near[0]).alias(f"_lo_{name}"),
             F.when(few, F.max(value)).otherwise(near[1]).alias(f"_hi_{name}"),
         ]
-    bounds = materialize(slim.groupBy(*group).agg(*limits, *also), "bounds")
+    return materialize(rows.groupBy(*group).agg(*limits, *also), "bounds")
+
+
+def _picked(rows: DataFrame, group: list[str], shares: dict[str, float], bounds: DataFrame) -> DataFrame:
+    """(group, _name, _found, _missed): the wanted values by counting, or that the bounds missed them."""
 
     def column(prefix: str, name: str) -> Column:
         return F.col(f"_{prefix}_{name}")
 
-    def entry(name: str, value: Column, rows: Column) -> Column:
-        at = (column("n", name) - 1) * F.lit(wanted[name][1])
-        parts = {"_name": F.lit(name), "_at": at, "_value": value.cast("double"), "_rows": rows.cast("long")}
+    def entry(name: str, value: Column, count: Column) -> Column:
+        at = (column("n", name) - 1) * F.lit(shares[name])
+        parts = {"_name": F.lit(name), "_at": at, "_value": value.cast("double"), "_rows": count.cast("long")}
         return F.struct(*[part.alias(label) for label, part in parts.items()])
 
     # Values strictly inside the bounds are few; ties on a bound are only counted.
-    bounded = slim.select(*group, *[f"_v_{name}" for name in wanted]).join(bounds, group)
-    inside = {n: (column("v", n) > column("lo", n)) & (column("v", n) < column("hi", n)) for n in wanted}
+    limits = bounds.select(*group, *[f"_{part}_{name}" for name in shares for part in ("n", "lo", "hi")])
+    bounded = rows.select(*group, *[f"_v_{name}" for name in shares]).join(limits, group)
+    inside = {n: (column("v", n) > column("lo", n)) & (column("v", n) < column("hi", n)) for n in shares}
     near = bounded.where(reduce(or_, inside.values())).select(
-        *group, F.inline(F.array(*[entry(n, F.when(inside[n], column("v", n)), F.lit(1)) for n in wanted]))
+        *group, F.inline(F.array(*[entry(n, F.when(inside[n], column("v", n)), F.lit(1)) for n in shares]))
     )
     near = near.where(F.col("_value").isNotNull()).groupBy(*group, "_name", "_at", "_value").agg(F.sum("_rows").alias("_rows"))
     edge_counts = []
-    for n in wanted:
+    for n in shares:
         value, low, high = column("v", n), column("lo", n), column("hi", n)
         edge_counts += [
             F.count_if(value < low).alias(f"_below_{n}"),
             F.count_if(value == low).alias(f"_low_{n}"),
             F.count_if((value == high) & (high > low)).alias(f"_high_{n}"),
         ]
-    edges = bounded.groupBy(*group).agg(*edge_counts).join(bounds, group)
+    edges = bounded.groupBy(*group).agg(*edge_counts).join(limits, group)
     entries = []
-    for n in wanted:
+    for n in shares:
         entries += [
             entry(n, F.lit(None), column("below", n)),
             entry(n, column("lo", n), column("low", n)),
@@ -130,15 +162,8 @@ def _counted(df: DataFrame, keys: list[str], wanted: Wanted, also: Sequence[Colu
     picked = ranked.groupBy(*group, "_name", "_at").agg(
         value_at(F.floor("_at")).alias("_low"), value_at(F.ceil("_at")).alias("_high")
     )
-    missed = F.raise_error(F.lit("quantile bounds missed the wanted rank"))
-    value = F.when(F.col("_low").isNull() | F.col("_high").isNull(), missed.cast("double")).otherwise(
-        F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at"))
-    )
-    wide = picked.groupBy(*group).agg(
-        *[F.max(F.when(F.col("_name") == name, value)).alias(name) for name in wanted]
-    )
-    extra = [c for c in bounds.columns if c not in group and not c.startswith(("_n_", "_lo_", "_hi_"))]
-    return bounds.select(*group, *extra).join(wide, group, "left").select(*keys, *wanted, *extra)
+    value = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_at") - F.floor("_at"))
+    return picked.select(*group, "_name", value.alias("_found"), value.isNull().alias("_missed"))
 
 
 def robust_stats(

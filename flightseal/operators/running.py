@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bucket_depth, materialize, window_rows
+from ..session import materialize, window_rows
+from .numbering import sorted_places, unused
 
-_RANGE = "_range"
-_TOP = "_top"
-
-
-def _value_range(rows: DataFrame, order: str, cuts: Column, depth: int) -> DataFrame:
-    """Number of cut points below the value, by `depth` halvings of a sorted array."""
-    rows = rows.withColumn("_cuts", cuts).withColumn(_RANGE, F.lit(0))
-    for step in (1 << level for level in reversed(range(depth))):
-        above = F.col(order) > F.get("_cuts", F.col(_RANGE) + F.lit(step - 1))
-        rows = rows.withColumn(_RANGE, F.when(above, F.col(_RANGE) + F.lit(step)).otherwise(F.col(_RANGE)))
-    return rows.drop("_cuts")
+_TOP, _PLACE = "_top", "_place_in_order"
 
 
 def running_sums(
@@ -30,25 +22,25 @@ def running_sums(
     descending: bool = True,
     depth: int | None = None,
 ) -> DataFrame:
-    """Adds `cum_<c>` and `total_<c>` for every column in `sums`, along `order` within `keys`.
+    """Adds `cum_<c>` and `total_<c>` for every column in `sums` (whole numbers), along `order` within `keys`.
 
     `counts` holds one row per (keys, order), so however many input rows share a
     value they are already one row here. It is written out, because it is read
     more than once, and its row count picks the plan. Up to the window limit the
-    window runs per `keys`. Beyond it, that would put each group in one task, so
-    values are cut at quantiles of all rows into 2**depth ranges of about equal
-    row count, sums of whole ranges are carried in by one extra row per
-    (keys, range), and the window runs per (keys, range). Quantiles only balance
-    the work; the result does not depend on where the cuts fall. `depth` forces
-    a plan, 0 being the plain window.
+    window runs per `keys`. Beyond it the rows are sorted and numbered, and every
+    `limit` of a key's rows are a range of their own; sums of whole ranges are
+    carried in by one extra row per range. The ranges' own sums are running sums
+    again, so where there are too many ranges for a task they are cut into
+    ranges of ranges. No window holds more than `limit` rows, however many
+    values there are. `depth` forces a plan: 0 is the plain window, d cuts the
+    rows into about 2**d ranges.
     """
     keys, sums = list(keys), list(sums)
-    spark = counts.sparkSession
+    limit = window_rows(counts.sparkSession)
     counts = materialize(counts, "counts")
-    if depth is None:
-        depth = 0 if counts.count() <= window_rows(spark) else bucket_depth(spark)
     along = F.col(order).desc_nulls_last() if descending else F.col(order).asc_nulls_first()
-    if depth == 0:
+    rows = counts.count() if depth != 0 else 0
+    if depth == 0 or depth is None and rows <= limit:
         window = Window.partitionBy(*keys).orderBy(along)
         so_far = window.rowsBetween(Window.unboundedPreceding, 0)
         whole = Window.partitionBy(*keys)
@@ -56,31 +48,24 @@ def running_sums(
             {f"cum_{c}": F.sum(c).over(so_far) for c in sums} | {f"total_{c}": F.sum(c).over(whole) for c in sums}
         )
 
-    size = 1 << depth
-    shares = F.array(*[F.lit(i / size) for i in range(1, size)])
-    cuts = counts.agg(F.percentile_approx(F.col(order).cast("double"), shares, max(10_000, 20 * size)))
-    ranged = _value_range(counts, order, cuts.scalar(), depth)
-
-    by_range = F.col(_RANGE).desc() if descending else F.col(_RANGE).asc()
-    before = Window.partitionBy(*keys).orderBy(by_range).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    carried = (
-        ranged.groupBy(*keys, _RANGE)
-        .agg(*[F.sum(c).alias(c) for c in sums])
-        .select(
-            *keys,
-            _RANGE,
-            F.lit(True).alias(_TOP),
-            *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in sums],
-            *[F.sum(c).over(whole).alias(f"total_{c}") for c in sums],
-        )
+    [own] = unused(counts.columns, "_range")
+    size = limit if depth is None else max(1, math.ceil(rows / (1 << depth)))
+    placed = sorted_places(counts, keys, [along], _PLACE, rows)
+    ranged = placed.withColumn(own, F.floor(F.col(_PLACE) / size)).drop(_PLACE)
+    totals = ranged.groupBy(*keys, own).agg(*[F.sum(c).alias(c) for c in sums])
+    carried = running_sums(totals, keys, own, sums, descending=False).select(
+        *keys,
+        own,
+        F.lit(True).alias(_TOP),
+        *[(F.col(f"cum_{c}") - F.col(c)).alias(c) for c in sums],
+        *[f"total_{c}" for c in sums],
     )
     rows = ranged.withColumn(_TOP, F.lit(False)).unionByName(carried, allowMissingColumns=True)
     window = (
-        Window.partitionBy(*keys, _RANGE)
+        Window.partitionBy(*keys, own)
         .orderBy(F.col(_TOP).desc(), along)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     summed = {f"cum_{c}": F.sum(c).over(window) for c in sums}
     summed |= {f"total_{c}": F.first(f"total_{c}").over(window) for c in sums}
-    return rows.withColumns(summed).where(~F.col(_TOP)).drop(_TOP, _RANGE)
+    return rows.withColumns(summed).where(~F.col(_TOP)).drop(_TOP, own)

@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from ..constants import CASE_KEYS, ORDER, SEED
 from ..session import materialize, window_rows
+from .numbering import sorted_places
+from .running import running_sums
 
-_SLICE_BITS = 16
+#: Bits of a rank, and those that a count tells apart.
+_RANK_BITS, _SLICE_BITS = 63, 16
 
 
 def spread_hash(keys: Sequence[str], seed: int = SEED) -> Column:
@@ -57,6 +60,47 @@ def proportional_quotas(sizes: DataFrame, within: Sequence[str], stratum: str, d
     )
 
 
+def slice_counts(df: DataFrame, strata: Sequence[str], rank_by: Column) -> DataFrame:
+    """Rows per stratum and leading bits of the hash; written. At most 2**16 rows per stratum."""
+    rank = F.shiftrightunsigned(rank_by.cast("long"), _RANK_BITS - _SLICE_BITS).alias("_slice")
+    return materialize(df.groupBy(*strata, rank).agg(F.count(F.lit(1)).alias("_here")), "slices")
+
+
+def stratum_sizes(counts: DataFrame, strata: Sequence[str]) -> DataFrame:
+    return counts.groupBy(*strata).agg(F.sum("_here").alias("n"))
+
+
+def _cut_slices(counts: DataFrame, strata: list[str], wanted: DataFrame) -> DataFrame:
+    """Per stratum the slice that holds the `quota`-th row, how many of its rows are needed, and how many it has; written."""
+    before = Window.partitionBy(*strata).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    found = (
+        counts.join(wanted.select(*strata, "quota"), strata)
+        .withColumn("_before", F.coalesce(F.sum("_here").over(before), F.lit(0)))
+        .where((F.col("_before") < F.col("quota")) & (F.col("quota") <= F.col("_before") + F.col("_here")))
+    )
+    needed = (F.col("quota") - F.col("_before")).alias("quota")
+    return materialize(found.select(*strata, F.col("_slice").alias("_cut"), needed, F.col("_here").alias("_held")), "cuts")
+
+
+def _last_rows(df: DataFrame, strata: list[str], ties: list[str], cuts: DataFrame) -> DataFrame:
+    """Per stratum the place (rank, ties) of its last wanted row, and how many rows in that place are not wanted; written.
+
+    The slice that the quota cuts is counted by further bits until it fits a
+    task or no bits are left; only its rows are numbered.
+    """
+    limit, bits = window_rows(df.sparkSession), _SLICE_BITS
+    while bits < _RANK_BITS and not cuts.where(F.col("_held") > limit).isEmpty():
+        held = df.join(cuts.drop("_held"), strata).where(F.shiftrightunsigned("_rank", _RANK_BITS - bits) == F.col("_cut"))
+        bits = min(_RANK_BITS, bits + _SLICE_BITS)
+        counts = held.groupBy(*strata, F.shiftrightunsigned("_rank", _RANK_BITS - bits).alias("_slice"))
+        cuts = _cut_slices(counts.agg(F.count(F.lit(1)).alias("_here")), strata, cuts)
+    held = df.join(cuts, strata).where(F.shiftrightunsigned("_rank", _RANK_BITS - bits) == F.col("_cut"))
+    places = held.groupBy(*strata, "_rank", *ties).agg(F.count(F.lit(1)).alias("_here"), F.first("quota").alias("_needed"))
+    summed = running_sums(places.withColumn("_at", F.struct("_rank", *ties)), strata, "_at", ["_here"], descending=False)
+    last = summed.where((F.col("cum__here") >= F.col("_needed")) & (F.col("cum__here") - F.col("_here") < F.col("_needed")))
+    return materialize(last.select(*strata, F.col("_at").alias("_last"), (F.col("cum__here") - F.col("_needed")).alias("_over")), "last")
+
+
 def take_quota(
     df: DataFrame,
     strata: Sequence[str],
@@ -64,42 +108,39 @@ def take_quota(
     rank_by: Column,
     ties: Sequence[str],
     rows: int | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """The `quota` rows with the smallest `rank_by` in every stratum, exactly.
 
     `rank_by` is a non-negative long spread over 63 bits. Rows are first counted
-    by its leading bits; slices of the hash below the one holding the last
-    wanted row are taken whole, and only rows of the wanted slices are moved and
-    numbered, one window per slice. `quotas` has one row per stratum, and strata
-    are label values, so joins against it stay small. If `rows`, the size of
-    `df`, is known to be within the window limit, strata are numbered directly.
+    by its leading bits (`counts`, if the caller has them already); the slice in
+    which the last wanted row lies is refined until it fits a task, and that
+    row's place is looked up in it. The sample is then one read of the rows, cut
+    at that place: nothing is shuffled or numbered. Only where several rows
+    share the place and not all are wanted these alone are numbered. `quotas`
+    has one row per stratum, and strata are label values, so joins against it
+    stay small. If `rows`, the size of `df`, is known to be within the window
+    limit, strata are numbered directly.
     """
-    strata = list(strata)
+    strata, ties = list(strata), list(ties)
     if rows is not None and rows <= window_rows(df.sparkSession):
         turn = F.row_number().over(Window.partitionBy(*strata).orderBy(rank_by, *ties))
         numbered = df.withColumn("_turn", turn).join(quotas.select(*strata, "quota"), strata)
         return numbered.where(F.col("_turn") <= F.col("quota")).drop("_turn", "quota")
-    sliced = df.withColumn("_rank", rank_by.cast("long"))
-    sliced = sliced.withColumn("_slice", F.shiftrightunsigned("_rank", 63 - _SLICE_BITS))
-    counts = sliced.groupBy(*strata, "_slice").agg(F.count(F.lit(1)).alias("_here"))
-    before = Window.partitionBy(*strata).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    last = (
-        counts.join(quotas.select(*strata, "quota"), strata)
-        .withColumn("_before", F.coalesce(F.sum("_here").over(before), F.lit(0)))
-        .where(F.col("_before") < F.col("quota"))
-        .groupBy(*strata)
-        .agg(
-            F.max("_slice").alias("_last"),
-            F.max_by(F.col("quota") - F.col("_before"), "_slice").alias("_needed"),
-        )
-    )
-    wanted = sliced.join(materialize(last, "quota"), strata).where(F.col("_slice") <= F.col("_last"))
-    turn = F.row_number().over(Window.partitionBy(*strata, "_slice").orderBy("_rank", *ties))
-    return (
-        wanted.withColumn("_turn", turn)
-        .where((F.col("_slice") < F.col("_last")) | (F.col("_turn") <= F.col("_needed")))
-        .drop("_rank", "_slice", "_last", "_needed", "_turn")
-    )
+    counts = slice_counts(df, strata, rank_by) if counts is None else counts
+    ranked = df.withColumn("_rank", rank_by.cast("long"))
+    ties = [t for t in ties if t not in strata]
+    last = _last_rows(ranked, strata, ties, _cut_slices(counts, strata, quotas))
+    placed, at = ranked.join(last, strata), F.struct("_rank", *ties)
+    if last.where(F.col("_over") > 0).isEmpty():
+        return placed.where(at <= F.col("_last")).drop("_rank", "_last", "_over")
+    shared = placed.where(at == F.col("_last"))
+    many = shared.count()
+    shared = sorted_places(shared, strata, [], "_turn", many)
+    equals = shared.groupBy(*strata).agg(F.count(F.lit(1)).alias("_equal"))
+    kept = shared.join(materialize(equals, "equals"), strata).where(F.col("_turn") < F.col("_equal") - F.col("_over"))
+    out = placed.where(at < F.col("_last")).unionByName(kept.drop("_turn", "_equal"))
+    return out.drop("_rank", "_last", "_over")
 
 
 def case_split(
@@ -142,9 +183,10 @@ def stratified_sample(
     rank_by: Column | None = None,
 ) -> DataFrame:
     """Exactly `rows` rows with the label mix of the whole; an error if there are fewer."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    quotas = proportional_quotas(sizes, [], label, F.lit(rows))
-    return take_quota(df, [label], quotas, spread_hash(ids, seed) if rank_by is None else rank_by, ids)
+    ranked = spread_hash(ids, seed) if rank_by is None else rank_by
+    counts = slice_counts(df, [label], ranked)
+    quotas = proportional_quotas(stratum_sizes(counts, [label]), [], label, F.lit(rows))
+    return take_quota(df, [label], quotas, ranked, ids, counts=counts)
 
 
 def uniform_sample(
@@ -155,9 +197,10 @@ def uniform_sample(
     rank_by: Column | None = None,
 ) -> DataFrame:
     """Exactly `rows` rows without replacement; an error if there are fewer."""
-    one = df.withColumn("_all", F.lit(0))
-    quotas = one.groupBy("_all").agg(_at_most(F.lit(rows).cast("long"), F.count(F.lit(1))).alias("quota"))
-    return take_quota(one, ["_all"], quotas, spread_hash(ids, seed) if rank_by is None else rank_by, ids).drop("_all")
+    one, ranked = df.withColumn("_all", F.lit(0)), spread_hash(ids, seed) if rank_by is None else rank_by
+    counts = slice_counts(one, ["_all"], ranked)
+    quotas = stratum_sizes(counts, ["_all"]).select("_all", _at_most(F.lit(rows).cast("long"), F.col("n")).alias("quota"))
+    return take_quota(one, ["_all"], quotas, ranked, ids, counts=counts).drop("_all")
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:

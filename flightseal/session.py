@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 WINDOW_ROWS_CONF = "spark.flightseal.windowRows"
 DEFAULT_WINDOW_ROWS = 1 << 18
 
@@ -17,12 +22,6 @@ def window_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(WINDOW_ROWS_CONF, str(DEFAULT_WINDOW_ROWS)))
 
 
-def bucket_depth(spark: SparkSession) -> int:
-    """log2 of the number of value ranges a distributed running sum uses."""
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(2, min(12, (partitions - 1).bit_length()))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -52,3 +51,20 @@ def materialize(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def concurrently(spark: SparkSession, tasks: Sequence[Callable[[], T]], most: int) -> list[T]:
+    """Results of the tasks, in order; at most `most` of them submit jobs at a time, each to a scheduler pool of its own.
+
+    Worth it where single jobs do not fill the cluster. The first error is raised once all have ended.
+    """
+
+    def in_pool(at: int, task: Callable[[], T]) -> Callable[[], T]:
+        def run() -> T:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"flightseal-{at % most}")
+            return task()
+
+        return inheritable_thread_target(run)
+
+    with ThreadPoolExecutor(max(1, most)) as pool:
+        return [future.result() for future in [pool.submit(in_pool(at, task)) for at, task in enumerate(tasks)]]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit
+from .feature_queries import unclear_order, unclear_order_sql
 from .view import all_profiles, all_profiles_sql, q, q_sql
 
 _ALL = all_profiles_sql()
@@ -28,6 +29,15 @@ def audit_summary(spark, sf_dir):
     )
 
 
+def audit_cases_approx(spark, sf_dir):
+    """Flights per profile from merged sketches of its replicates, within 2 percent of the exact number."""
+    rows = all_profiles(spark, sf_dir)
+    told = audit.approximate_cases(audit.case_sketches(rows), _BY)
+    exact = rows.select("profile", "replicate", "case_id").distinct().groupBy("profile").agg(F.count(F.lit(1)).alias("exact"))
+    near = F.abs(F.col("cases") - F.col("exact")) <= 0.02 * F.col("exact")
+    return told.join(exact, "profile").select("profile", F.col("rows").alias("n_rows"), F.col("exact").alias("cases"), near.alias("within"))
+
+
 def audit_case_labels(spark, sf_dir):
     return audit.case_label_counts(all_profiles(spark, sf_dir), _BY)
 
@@ -57,6 +67,10 @@ def audit_duplicates(spark, sf_dir):
     return audit.duplicates(rows.unionByName(rows.where(F.col("label") == 1)), _BY)
 
 
+def audit_places(spark, sf_dir):
+    return audit.repeated_places(unclear_order(spark, sf_dir), ["replicate"])
+
+
 _CONTENT = """replicate, label, tamper_type, case_name, t_ms, latitude, longitude, altitude, speed, heading,
  score_a, score_b, phase"""
 
@@ -67,9 +81,17 @@ QUERIES = {
     "audit_missing": audit_missing,
     "audit_time_order": audit_time_order,
     "audit_duplicates": audit_duplicates,
+    "audit_places": audit_places,
+    "audit_cases_approx": audit_cases_approx,
 }
 
 ORACLE = {
+    "audit_cases_approx": f"""select profile, sum(n) as n_rows, count(*) as cases, true as within
+ from (select profile, replicate, case_id, count(*) as n from ({_ALL}) group by all) group by profile""",
+    "audit_places": f"""select replicate, cast(sum(case when row_idx is not null then n - 1 else 0 end) as bigint) as repeated_places,
+ cast(sum(case when row_idx is null then n else 0 end) as bigint) as missing_places,
+ count(distinct case when row_idx is null or n > 1 then case_id end) as cases_with_unclear_order
+ from (select replicate, case_id, row_idx, count(*) as n from ({unclear_order_sql()}) group by all) group by replicate""",
     "audit_summary": f"""select profile, count(*) as n_rows,
  cast(sum(case when label = 0 then 1 else 0 end) as bigint) as normal_rows,
  cast(sum(label) as bigint) as tampered_rows,

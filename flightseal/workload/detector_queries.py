@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import CONSISTENCY_FEATURES, MIN_PHASE_ROWS, Z_THRESHOLD
-from ..operators import detector, report
+from ..constants import CONSISTENCY_FEATURES, MAD_TO_STD, MIN_PHASE_ROWS, MIN_SCALE, Z_THRESHOLD
+from ..operators import detector, report, sketches
 from ..operators.adapt import adapt_log
 from ..operators.features import engineer_features
 from ..session import materialize
@@ -69,6 +69,39 @@ def pooled_baseline(spark, sf_dir):
     return _score_columns(_scored(spark, sf_dir, []))
 
 
+def _near_middle(value, at, error, slack=0.0):
+    """Whether the rank of `at` among the values is a half, give or take `error` of them and one."""
+    known, width = F.count(value), F.abs(at) * slack
+    below, up_to = F.count_if(value < at - width), F.count_if(value <= at + width)
+    return (below <= known * (0.5 + error) + 1) & (up_to >= known * (0.5 - error) - 1)
+
+
+def sketched_stats(spark, sf_dir):
+    """Medians and scales from sketches of two halves of the logs, merged, against their exact ranks in all rows."""
+    rows = _judged(spark, sf_dir, "case_id")
+    halves = [detector.sketch_logs(rows.where(F.col("case_id") % 2 == side), ["pool"]) for side in (0, 1)]
+    table = materialize(detector.merge_sketches(halves, ["pool"]), "sketches")
+    by_phase = sketches.robust(table.where(F.col("phase").isNotNull()), ["phase"], _COLUMNS).where(F.col("rows") >= MIN_PHASE_ROWS)
+    whole = sketches.robust(sketches.merged([table], ["pool"], _COLUMNS).withColumnRenamed("pool", "phase"), ["phase"], _COLUMNS)
+    stats = materialize(by_phase.unionByName(whole).drop("rows"), "sketched")
+    levels = rows.unionByName(rows.withColumn("phase", F.col("pool"))).join(stats, "phase")
+    told = []
+    for c in _COLUMNS:
+        median, away = F.col(f"{c}_median"), F.abs(F.col(c) - F.col(f"{c}_median"))
+        none, error = F.count(c) == 0, sketches.scale_error()
+        level = F.count_if(away * MAD_TO_STD < MIN_SCALE) >= F.count(c) * (0.5 - error) - 1  # other scales apply
+        near = _near_middle(away, F.col(f"{c}_scale") / MAD_TO_STD, error, 1e-9)
+        told += [(none | _near_middle(F.col(c), median, sketches.rank_error())).alias(f"{c}_median"), (none | level | near).alias(f"{c}_scale")]
+    return levels.groupBy("phase").agg(F.count(F.lit(1)).alias("rows"), *told)
+
+
+def _sketched_sql() -> str:
+    told = ", ".join(f"true as {c}_{part}" for c in _COLUMNS for part in ("median", "scale"))
+    counted = f"select phase, count(*) as rows from ({adapted_sql()}) group by phase"
+    return f"""select phase, rows, {told} from ({counted}) where phase is not null and rows >= {MIN_PHASE_ROWS}
+ union all select 'all', count(*), {told} from ({adapted_sql()})"""
+
+
 def flight_flag_rates(spark, sf_dir):
     rates = report.flight_flag_rates(_scored(spark, sf_dir, []))
     return rates.select("source", "rows", "flagged", q("pct", 10).alias("pct"))
@@ -80,9 +113,10 @@ def top_suspicious(spark, sf_dir):
 
 
 def _both_detectors(spark, sf_dir):
-    """Scored rows of both pooling modes, as a scored-rows table holds them."""
+    """Scored rows of both pooling modes, as a scored-rows table holds them; features are computed once."""
+    features = materialize(log_features(spark, sf_dir), "log_features")
     parts = [
-        _scored(spark, sf_dir, pool).select(F.lit(name).alias("detector"), F.col("source").alias("flight"), "speed", "flagged")
+        detector.score_baseline(features, pool).select(F.lit(name).alias("detector"), F.col("source").alias("flight"), "speed", "flagged")
         for name, pool in (("Pooled cross-flight baseline", []), ("Same-flight baseline", ["source"]))
     ]
     return parts[0].unionByName(parts[1])
@@ -187,6 +221,7 @@ def _span(name: str) -> str:
 
 
 QUERIES = {
+    "sketched_stats": sketched_stats,
     "phase_counts": phase_counts,
     "robust_stats": robust_stats,
     "robust_z": robust_z,
@@ -201,6 +236,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "sketched_stats": _sketched_sql(),
     "phase_counts": f"""select phase, count(*) as "rows" from (
  select {_PHASE} as phase from ({raw_log_sql()})) where phase is not null group by phase""",
     "robust_stats": f"""{_POOLED} select phase, {_each(

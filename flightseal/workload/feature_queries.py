@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..constants import DERIVED_FEATURES, FEATURES
 from ..operators.features import engineer_features, feature_matrix
 from .view import q, q_sql, telemetry, telemetry_sql
@@ -87,5 +89,31 @@ def _sql(names, narrow=False):
     return f"select case_id, row_idx, {', '.join(one(n) for n in names)} from ({features_sql()})"
 
 
+# Flights whose order values repeat, are sparse, or are missing; `seq` decides.
+_UNCLEAR = """case case_id % 4 when 0 then cast(floor(row_idx / 5.0E0) as int) when 1 then row_idx * 1000
+ when 2 then case when row_idx % 3 <> 1 then row_idx end else row_idx end"""
+_NAMES = ["dt_s", "ts_gap_flag", "d_alt_m", "d_heading_deg", "roll_dev_altitude", "roll_std_speed", "row_frac"]
+
+
+def unclear_order(spark, sf_dir):
+    return telemetry(spark, sf_dir).withColumn("seq", F.col("row_idx")).withColumn("row_idx", F.expr(_UNCLEAR))
+
+
+def unclear_order_sql() -> str:
+    return f"select * replace (({_UNCLEAR}) as row_idx), row_idx as seq from ({telemetry_sql()})"
+
+
+def features_unclear_order(spark, sf_dir):
+    wide = engineer_features(unclear_order(spark, sf_dir), ties=["seq"])
+    return wide.select("case_id", "seq", *[F.col(n).cast("int").alias(n) if n == "ts_gap_flag" else q(n).alias(n) for n in _NAMES])
+
+
+def _unclear_sql() -> str:
+    wide = features_sql(unclear_order_sql()).replace("order by row_idx", "order by row_idx nulls first, seq")
+    return f"select case_id, seq, {', '.join(n if n == 'ts_gap_flag' else f'{q_sql(n)} as {n}' for n in _NAMES)} from ({wide})"
+
+
 QUERIES = {key: _query(names, key == "features_all") for key, names in GROUPS.items()}
 ORACLE = {key: _sql(names, key == "features_all") for key, names in GROUPS.items()}
+QUERIES["features_unclear_order"] = features_unclear_order
+ORACLE["features_unclear_order"] = _unclear_sql()

@@ -141,20 +141,6 @@ def robustness_parse(spark, sf_dir):
     return parsed.select("dataset", "model", q("mean").alias("mean"), q("std").alias("std"))
 
 
-def all_models(spark, sf_dir):
-    """Two result tables with unlike columns, stacked."""
-    table = replicate_metrics(spark, sf_dir)
-    table = materialize(table, "replicates")
-    extra = (
-        table.where(F.col("model") == "LinearSVC")
-        .withColumn("model", F.lit("RBF-SVC"))
-        .withColumn("train_rows", F.col("n"))
-        .drop("mcc")
-    )
-    stacked = report.stack_results(table, extra)
-    return stacked.select("replicate", "dataset", "model", "n", "train_rows", q("pr_auc", _M).alias("pr_auc"), q("mcc", _M).alias("mcc"))
-
-
 def pivot_metrics(spark, sf_dir):
     table = replicate_metrics(spark, sf_dir)
     wide = report.pivot_metric(table, ["dataset", "replicate"], "model", list(MODELS.values()), "pr_auc")
@@ -317,7 +303,6 @@ QUERIES = {
     "robustness_rows": robustness_rows,
     "robustness_summary": robustness_summary,
     "robustness_parse": robustness_parse,
-    "all_models": all_models,
     "pivot_metrics": pivot_metrics,
     "report_metrics": report_metrics,
     "report_types": report_types,
@@ -365,9 +350,6 @@ ORACLE = {
     "robustness_parse": f"""{_REP_CTES} select dataset, model,
  {q_sql("cast(printf('%.4f', avg(pr_auc)) as double)")} as "mean",
  {q_sql("cast(printf('%.4f', stddev_pop(pr_auc)) as double)")} as std from m group by dataset, model""",
-    "all_models": f"""{_REP_CTES} select replicate, dataset, model, n, null::bigint as train_rows,
- {q_sql("pr_auc", _M)} as pr_auc, {q_sql("mcc", _M)} as mcc from m union all
- select replicate, dataset, 'RBF-SVC', n, n, {q_sql("pr_auc", _M)}, null from m where model = 'LinearSVC'""",
     "pivot_metrics": f"""{_REP_CTES} select dataset, replicate,
  {q_sql("max(case when model = 'GradientBoosting' then pr_auc end)", _M)} as gb,
  {q_sql("max(case when model = 'LinearSVC' then pr_auc end)", _M)} as svm from m group by dataset, replicate""",

@@ -148,3 +148,69 @@ def test_score_at_the_threshold_is_not_flagged(spark):
     got = {r["row_idx"]: r for r in detector.score_baseline(frame(spark, rows)).collect()}
     assert got[5]["anomaly_score"] == 4.0 and not got[5]["flagged"]
     assert got[6]["flagged"] and got[6]["worst_feature"] == "alt_rate_mps"
+
+
+def test_missed_bounds_are_tried_again(values, monkeypatch):
+    """Bounds of hardly any accuracy and no margin to speak of miss; the quantiles are exact all the same."""
+    from flightseal.operators import quantiles
+
+    data, df = values
+    tries, bounds = [], quantiles._bounds
+    monkeypatch.setattr(quantiles, "_ACCURACY", 8)
+    monkeypatch.setattr(quantiles, "_MARGIN", 1e-3)
+    monkeypatch.setattr(quantiles, "_KEEP_ALL", 0)
+    monkeypatch.setattr(quantiles, "_bounds", lambda rows, group, shares, also, margin: (tries.append((sorted(shares), margin)), bounds(rows, group, shares, also, margin))[1])
+    wanted = {f"p{int(p * 1000)}": (F.col("x"), p) for p in (0.25, 0.5, 0.995)}
+    got = {r["g"]: r for r in percentiles(df, ["g"], wanted, [F.count("x").alias("n")], **SMALL).collect()}
+    for g, vs in data.items():
+        for name, (_, p) in wanted.items():
+            expected = quantile(vs, p)
+            assert got[g][name] == (None if expected is None else pytest.approx(expected, abs=1e-12)), (g, name)
+        assert got[g]["n"] == sum(v is not None for v in vs)
+    assert len(tries) > 1 and [m for _, m in tries] == [1e-3 * 2**i for i in range(len(tries))]
+
+
+def test_merged_sketches(spark):
+    """Three parts merged state what one sketch of all rows does, both within the error of the exact quantiles."""
+    from flightseal.operators import sketches
+
+    random.seed(6)
+    rows = [(f"p{i % 2}", i % 3, random.gauss(i % 2, 2), None) for i in range(12_000)] + [("p2", 0, 1.5, 2.0), (None, 1, 9.0, 1.0)]
+    df = spark.createDataFrame(rows, "phase string, part int, x double, y double").repartition(5)
+    k, keys, columns = 400, ["phase"], ["x", "y"]
+    one = sketches.sketch_table(df, keys, columns, k)
+    many = sketches.merged([sketches.sketch_table(df.where(F.col("part") == p), keys, columns, k) for p in range(3)], keys, columns)
+    tables = [{r["phase"]: r for r in sketches.robust(t, keys, columns).collect()} for t in (one, many)]
+    for phase in ("p0", "p1"):
+        values = sorted(r[2] for r in rows if r[0] == phase)
+        centre, scale = centre_scale(values)
+        for table in tables:
+            r = table[phase]
+            assert r["rows"] == 6000 and r["y_median"] is None and r["y_scale"] is None
+            e = sketches.rank_error(k)
+            assert quantile(values, 0.5 - e) <= r["x_median"] <= quantile(values, 0.5 + e)
+            away = [abs(v - r["x_median"]) * 1.4826 for v in values]
+            e = sketches.scale_error(k)
+            assert quantile(away, 0.5 - e) <= r["x_scale"] <= quantile(away, 0.5 + e)
+            assert r["x_scale"] == pytest.approx(scale, rel=0.05)
+    assert tables[1]["p2"]["x_median"] == 1.5 and tables[1]["p2"]["x_scale"] is None
+    moments = {r["phase"]: r for r in many.collect()}
+    values = [r[2] for r in rows if r[0] == "p0"]
+    mean = sum(values) / len(values)
+    assert moments["p0"]["x_mean"] == pytest.approx(mean) and moments["p0"]["x_m2"] == pytest.approx(sum((v - mean) ** 2 for v in values))
+
+
+def test_scores_from_sketches(spark):
+    """Rows judged by sketches, their own or those of earlier logs, score about as exactly judged ones."""
+    random.seed(9)
+    columns = [*CONSISTENCY_FEATURES, detector.ALTITUDE_RATE]
+    rows = [(f"s{i % 3}", i, "A" if i % 4 else "B", *[random.gauss(0, 1) + (25 if i == 77 else 0) for _ in columns]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "source string, row_idx int, phase string, " + ", ".join(f"{c} double" for c in columns))
+    score = lambda **how: {r["row_idx"]: r for r in detector.score_baseline(df, **how).collect()}
+    exact, own = score(), score(exact=False)
+    parts = [detector.sketch_logs(df.where(F.col("source") == s)) for s in ("s0", "s1", "s2")]
+    known = score(known=detector.merge_sketches(parts))
+    for other in (own, known):
+        assert other[77]["flagged"] and other.keys() == exact.keys()
+        assert max(abs(other[i]["anomaly_score"] / exact[i]["anomaly_score"] - 1) for i in exact) < 0.05
+    assert detector.score_baseline(df, ["source"], exact=False).count() == 3000

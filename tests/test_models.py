@@ -130,3 +130,52 @@ def test_learning_curve(rows):
     got = {(r["sample_size"], r["dataset"]): r["n"] for r in curve.collect()}
     assert set(got) == {(s, d) for s in (100, 200) for d in ("balanced_holdout", "subtle_500")}
     assert got[(100, "subtle_500")] == got[(200, "subtle_500")] == 500
+
+
+def plain_stop(losses, patience, tolerance):
+    """Scores rise; stop once none of the last ones beats the one before them."""
+    scores = []
+    for loss in losses:
+        scores.append(-loss)
+        if len(scores) <= patience:
+            continue
+        reference = scores[-patience - 1] + tolerance
+        if not any(score > reference for score in scores[-patience:]):
+            break
+    return len(scores)
+
+
+def test_stop_rule():
+    rng = np.random.default_rng(4)
+    for patience in (1, 3, 15):
+        for _ in range(60):
+            losses = list(np.cumsum(rng.normal(-0.02, 0.05, rng.integers(0, 60))))
+            assert models.stop_round(losses, patience, 1e-7) == plain_stop(losses, patience, 1e-7)
+    assert models.stop_round([1.0] * 40, 15, 1e-7) == 16 and models.stop_round([], 15) == 0
+    assert models.stop_round([1.0 - i * 1e-9 for i in range(40)], 15, 1e-7) == 16
+
+
+def test_boosting_stops_and_cuts_its_trees(spark, rows):
+    """The cut model is the one that fewer rounds give, and scores alike after saving."""
+    from pyspark.ml import PipelineModel
+
+    features = experiment.feature_table(rows.where("profile = 'balanced'"))
+    train = experiment.training_rows(features, experiment.split_flights(features), 0)
+    pipeline = models.gradient_boosting(iterations=30, depth=3, patience=3)
+    pipeline.getStages()[-1].tolerance = 0.03  # these few rounds all improve by something
+    fitted = pipeline.fit(train)
+    trees = fitted.stages[-1]
+    fit = train.where(~F.col("is_validation"))
+    whole = models.gradient_boosting(iterations=30, depth=3, validation=None)
+    prepared = PipelineModel(fitted.stages[:-1])
+    every = whole.getStages()[-1].fit(prepared.transform(fit))
+    losses = every.evaluateEachIteration(prepared.transform(train.where("is_validation")))
+    assert trees.getNumTrees == plain_stop(losses, 3, 0.03) < 30
+    short = models.gradient_boosting(iterations=trees.getNumTrees, depth=3, validation=None).getStages()[-1].fit(prepared.transform(fit))
+    scores = lambda m: m.transform(prepared.transform(features)).orderBy("case_id", "row_idx").select("probability").collect()
+    assert scores(trees) == scores(short)
+    path = os.path.join(spark.conf.get("spark.checkpoint.dir"), uuid.uuid4().hex)
+    fitted.write().save(path)
+    a = models.with_score(fitted, models.GRADIENT_BOOSTING, features).orderBy("case_id", "row_idx").select("score").collect()
+    b = models.with_score(PipelineModel.load(path), models.GRADIENT_BOOSTING, features).orderBy("case_id", "row_idx")
+    assert a == b.select("score").collect()

@@ -63,3 +63,50 @@ def test_fill(rows, limit):
     assert repr(collect(got, "text")) == repr(collect(expected, "text"))
     assert all(r.text is None for r in got.where("case_id = 8").collect())
     assert {r.text for r in got.where("case_id = 9").collect()} == {"late"}
+
+
+UNCLEAR = {
+    "repeated": lambda i, n: 7,
+    "few values": lambda i, n: i // 40,
+    "sparse": lambda i, n: i * 1000,
+    "missing": lambda i, n: None if i % 3 else i,
+    "ordinary": lambda i, n: i,
+}
+
+
+@pytest.fixture(scope="module")
+def unclear(spark):
+    """Flights of 200 rows whose order values repeat, are far apart or missing; `seq` orders them all."""
+    random.seed(8)
+    data = []
+    for case, place in enumerate(UNCLEAR.values()):
+        data += [(case, place(i, 200), i, random.random(), random.choice([None, None, "a", "b"])) for i in range(200)]
+    random.shuffle(data)
+    return spark.createDataFrame(data, "case_id int, row_idx int, seq int, value double, text string").repartition(6)
+
+
+@pytest.mark.parametrize("limit", [16, 7])
+def test_no_block_above_the_limit(unclear, limit):
+    data = flights(unclear, ["case_id"], "row_idx", limit, ["seq"])
+    blocks = data.rows.groupBy("case_id", "_block").count().collect()
+    assert max(r["count"] for r in blocks) == limit
+    assert len(blocks) == 5 * -(-200 // limit)  # and none is needlessly small
+    assert data.rows.count() == unclear.count()
+    repeated = unclear.where("case_id = 0").drop("seq", "value", "text")  # rows that are equal in all
+    equal = flights(repeated, ["case_id"], "row_idx", limit).rows.groupBy("_block").count().collect()
+    assert max(r["count"] for r in equal) == limit
+
+
+@pytest.mark.parametrize("limit", [None, 16, 7])
+def test_ties_decide(unclear, limit):
+    window = Window.partitionBy("case_id").orderBy(F.col("row_idx").asc_nulls_first(), "seq")
+    wanted = unclear.withColumns({"p": F.row_number().over(window) - 1, "before": F.lag("value").over(window)})
+    wanted = wanted.withColumn("text", F.coalesce(
+        F.last("text", True).over(window.rowsBetween(Window.unboundedPreceding, 0)),
+        F.first("text", True).over(window.rowsBetween(0, Window.unboundedFollowing)),
+    ))
+    rows = lambda df, name: sorted(map(repr, df.select("case_id", "seq", name).collect()))
+    args = (["case_id"], "row_idx")
+    assert rows(with_position(unclear, *args, "p", limit, ["seq"]), "p") == rows(wanted, "p")
+    assert rows(with_previous(unclear, *args, {"value": "before"}, limit, ["seq"]), "before") == rows(wanted, "before")
+    assert rows(filled(unclear, *args, "text", limit, ["seq"]), "text") == rows(wanted, "text")

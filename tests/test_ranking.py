@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flightseal.operators import casewise, ranking
+from flightseal.operators import running
 from flightseal.operators.running import running_sums
 from tests import brute
 
@@ -153,3 +154,28 @@ def test_flights_by_type(spark):
     assert len(table) == 10
     assert (table["altitude_spike"]["n_cases"], table["altitude_spike"]["flag_rate"]) == (2, 0.5)
     assert (table["injection"]["n_cases"], table["injection"]["flag_rate"]) == (0, None)
+
+
+@pytest.mark.parametrize("descending", [True, False])
+def test_ranges_of_ranges(spark, descending, monkeypatch):
+    """Distinct values only, so many that their ranges need ranges: three levels of at most four rows a window."""
+    rows = [(g, v) for g in ("a", "b") for v in range(70)]
+    counts = spark.createDataFrame([(g, float(v), v % 5, 1) for g, v in rows], "g string, v double, n long, m long")
+    seen = []
+    sorted_places = running.sorted_places
+
+    def watched(df, keys, order, name, many):
+        out = sorted_places(df, keys, order, name, many)
+        seen.append(many)
+        return out
+
+    monkeypatch.setattr(running, "sorted_places", watched)
+    spark.conf.set("spark.flightseal.windowRows", "4")
+    try:
+        got = running_sums(counts, ["g"], "v", ["n", "m"], descending)
+    finally:
+        spark.conf.unset("spark.flightseal.windowRows")
+    assert len(seen) == 3 and seen[0] == 140 and seen[1] == 36 and seen[2] == 10
+    plain = running_sums(counts, ["g"], "v", ["n", "m"], descending, depth=0)
+    names = ["g", "v", "n", "cum_n", "total_n", "cum_m", "total_m"]
+    assert sorted(map(repr, plain.select(names).collect())) == sorted(map(repr, got.select(names).collect()))

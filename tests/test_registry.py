@@ -9,7 +9,7 @@ from tests.conftest import SF
 
 QUERIES, ORACLE = registry.queries(), registry.oracle_sql()
 # Queries whose windows, running sums or samples take another plan on long flights.
-CUT = ["features_all", "phase_fill", "audit_time_order", "thin", "metrics_table", "per_type_row", "pooled_baseline", "stratified_sample"]
+CUT = ["features_all", "phase_fill", "audit_time_order", "thin", "metrics_table", "per_type_row", "pooled_baseline", "stratified_sample", "features_unclear_order"]
 
 
 @pytest.fixture(scope="module")

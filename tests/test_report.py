@@ -159,3 +159,30 @@ def test_clean_table_has_no_missing_entries(spark):
     assert audit.duplicates(df).first().asDict() == {"exact_duplicate_rows": 0, "duplicate_rows_ignoring_idx": 0}
     again = df.unionByName(df.withColumn("row_idx", F.col("row_idx") + 9))
     assert audit.duplicates(again).first().asDict() == {"exact_duplicate_rows": 0, "duplicate_rows_ignoring_idx": 3}
+
+
+def test_only_possible_twins_are_moved(spark):
+    """Rows without a twin are filtered where they lie; what is left is compared in all columns."""
+    path = spark.conf.get("spark.checkpoint.dir") + "/twins.parquet"
+    rows = [(i % 3, i, i // 3, f"text {i}" if i % 50 else "same", None if i % 7 else 1.5) for i in range(3000)]
+    rows += rows[:40] + [(0, 9000, 1, None, None)] * 3 + [(None, 1, 1, "x", 1.0)] * 2
+    spark.createDataFrame(rows, "part int, case_id int, row_idx int, text string, value double").write.mode("overwrite").parquet(path)
+    df = spark.read.parquet(path)
+    left = audit.possible_twins(df, ["part"], ["text", "value"])
+    alike = {}
+    for r in rows:
+        alike.setdefault((r[0], r[3], r[4]), []).append(r)
+    twins = [r for group in alike.values() if len(group) > 1 for r in group]
+    assert len(twins) <= left.count() < len(twins) + 300
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    for groups in (["part"], []):
+        got = {r[0] if groups else None: tuple(r)[-2:] for r in audit.duplicates(df, groups).collect()}
+        wanted = {}
+        for r in rows:
+            wanted.setdefault(r[0] if groups else None, []).append(r)
+        for key, own in wanted.items():
+            content = {(r[3], r[4]) if groups else (r[0], r[3], r[4]) for r in own}
+            assert got[key] == (len(own) - len(set(own)), len(own) - len(content))
+    unique = df.where("case_id between 1 and 40").dropDuplicates()
+    assert [tuple(r) for r in audit.duplicates(unique, []).collect()] == [(0, 0)]

@@ -120,3 +120,28 @@ def test_step_rounds_half_to_even(spark):
         df = table(spark, [row(0, i, i * gap) for i in range(5)])
         got = resample.sampling_interval(df).first()
         assert got["step"] == max(1, round(2.0 / got["median_dt_s"])) == step
+
+
+@pytest.mark.parametrize("shift, limit", [(0, 5), (40, 5), (62, 5), (40, 100_000)])
+def test_refined_slices_and_repeated_rows(spark, flights60, shift, limit):
+    """The cut slice is counted by further bits; rows that share every key are told apart only by number."""
+    rank = F.shiftrightunsigned(sampling.spread_hash(["case_id", "row_idx"]), shift)
+    doubled = flights60.unionByName(flights60).unionByName(flights60)
+    for rows, wanted in ((flights60, [(0, 120), (1, 33)]), (doubled, [(0, 121), (1, 35)]), (doubled, [(0, 1), (1, 0)])):
+        quotas = spark.createDataFrame(wanted, "label int, quota long")
+        args = (rows, ["label"], quotas, rank, ["case_id", "row_idx"])
+        direct = sorted(map(tuple, sampling.take_quota(*args, rows=10).select("case_id", "row_idx").collect()))
+        spark.conf.set("spark.flightseal.windowRows", str(limit))
+        try:
+            cut = sorted(map(tuple, sampling.take_quota(*args).select("case_id", "row_idx").collect()))
+        finally:
+            spark.conf.unset("spark.flightseal.windowRows")
+        assert cut == direct and len(cut) == sum(n for _, n in wanted)
+
+
+def test_a_sample_shuffles_no_rows(spark, flights60):
+    path = spark.conf.get("spark.checkpoint.dir") + "/sampled.parquet"
+    flights60.write.mode("overwrite").parquet(path)
+    sample = sampling.uniform_sample(spark.read.parquet(path), 100)
+    plan = sample._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Window" not in plan

@@ -190,3 +190,82 @@ def test_sinks(spark, folder):
     assert results.read_required(spark, f"{folder}/table", "x", "csv").columns == scored.columns
     with pytest.raises(FileNotFoundError, match="run the robustness stage first"):
         results.read_required(spark, f"{folder}/none", "the robustness stage")
+
+
+def test_many_logs_with_many_headers(spark, folder):
+    """Flight numbers follow the arguments, cells the header of their own file; rows are neither moved nor sorted."""
+    headers = [
+        "lng,lat,alt,speed,heading,Time(millis)",
+        "Time(millis),heading,speed,alt,lat,lng",
+        "Time(millis),extra,speed,alt,lat,lng,heading",
+    ]
+    values = {"Time(millis)": "{i}000", "heading": "{at}.5", "speed": "3", "alt": "4", "lat": "8.{i}", "lng": "9.{at}", "extra": '"a, b"'}
+    os.makedirs(f"{folder}/many")
+    for at in range(12):
+        header = headers[at % 3]
+        lines = [",".join(values[c].format(i=i, at=at) for c in header.split(",")) for i in range(at + 1)]
+        write(f"{folder}/many/log+{at:02d} x.csv", header, ["", *lines, "  "])
+    write(f"{folder}/last.csv", headers[0], ["1,2,3,4,5,6"])
+    relative = os.path.relpath(folder)
+    got = logs.read_logs(spark, [f"{relative}/last.csv", f"{folder}/many"])  # not in the order of their names
+    rows = got.withColumn("ms", F.unix_millis("timestamp")).orderBy("case_id", "row_idx").collect()
+    assert [(r["case_id"], r["source"], r["row_idx"]) for r in rows] == [(0, "last", 0)] + [
+        (at + 1, f"log+{at:02d} x", i) for at in range(12) for i in range(at + 1)
+    ]
+    for r in rows[1:]:
+        at, i = r["case_id"] - 1, r["row_idx"]
+        assert (r["ms"], r["heading"], r["speed"], r["altitude"]) == (i * 1000, at + 0.5, 3.0, 4.0)
+        assert (r["latitude"], r["longitude"]) == (float(f"8.{i}"), float(f"9.{at}"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and "Aggregate" not in plan and "Repartition" not in plan
+
+
+def test_only_distinct_headers_reach_the_driver(spark, folder, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    for at in range(6):
+        write(f"{folder}/{at}.csv", HEADER if at % 2 else HEADER + ",note", ["0,8,98,1,1,1,A"])
+    fetched, collect = [], DataFrame.collect
+
+    def counted(df):
+        rows = collect(df)
+        fetched.append((df.columns, len(rows)))
+        return rows
+
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    logs.read_logs(spark, [folder])
+    assert (["header"], 2) in fetched
+    assert all(n <= 2 for _, n in fetched)
+
+
+def test_logs_that_change_between_the_passes(spark, folder):
+    write(f"{folder}/a.csv", HEADER, [f"{i},8,98,1,1,1,A" for i in range(50)])
+    got = logs.read_logs(spark, [f"{folder}/a.csv"])
+    write(f"{folder}/a.csv", HEADER, [f"{i},8,98,1,1,1,A" for i in range(60)])
+    with pytest.raises(Exception, match="changed while they were read|file.*updated|FAILED_READ_FILE"):
+        got.collect()
+
+
+def test_compressed_log(spark, folder):
+    import gzip
+
+    with gzip.open(f"{folder}/z.csv.gz", "wt") as f:
+        f.write(HEADER + "\n" + "\n".join(f"{i},8,98,1,1,1,A" for i in range(5)) + "\n")
+    rows = logs.read_logs(spark, [f"{folder}/z.csv.gz"]).orderBy("row_idx").collect()
+    assert [r["row_idx"] for r in rows] == list(range(5)) and {r["source"] for r in rows} == {"z.csv"}
+
+
+def test_folders_do_not_grow_with_the_logs(spark, folder):
+    """Buckets bound the folders; a repeated batch, another detector and more columns lose nothing."""
+    schema = "detector string, source string, log string, row_idx int, anomaly_score double"
+    rows = lambda d, lo, hi, score: spark.createDataFrame([(d, f"s{i % 40}", f"l{i}", r, score) for i in range(lo, hi) for r in range(3)], schema)
+    path = f"{folder}/table"
+    for batch in (rows("d1", 0, 60, 1.0), rows("d1", 50, 120, 2.0), rows("d1", 50, 120, 2.0), rows("d2", 0, 10, 3.0)):
+        results.write_scored(batch, path, 4)
+    results.write_scored(rows("d2", 10, 12, 4.0).withColumn("note", F.lit("x")), path, 99)
+    back = spark.read.option("mergeSchema", True).parquet(path)
+    got = {(r["detector"], r["log"], r["row_idx"]): r["anomaly_score"] for r in back.collect()}
+    wanted = {("d1", f"l{i}", r): 1.0 if i < 50 else 2.0 for i in range(120) for r in range(3)}
+    wanted |= {("d2", f"l{i}", r): 3.0 if i < 10 else 4.0 for i in range(12) for r in range(3)}
+    assert got == wanted and back.count() == len(wanted)
+    assert sum(len(folders) for at, folders, _ in os.walk(path) if os.path.basename(at).startswith("detector=")) <= 8
