@@ -33,6 +33,11 @@ _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _PARTS = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
 
 
+_PLAIN_LINES = re.compile("[\n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+#: Stands between the ids of words. No bytes of ids below 2**24 are like it, wherever they are cut.
+_NEXT = b"\xff\xff\xff\xff"
+
+
 class Recent(dict):
     """A cache of two generations: what the older one still serves moves to the younger."""
 
@@ -40,18 +45,17 @@ class Recent(dict):
         super().__init__()
         self.most, self.older = most, {}
 
-    def unknown(self, keys: set) -> list:
+    def turn(self) -> None:
+        """Starts a new generation if this one is full."""
         if len(self) > self.most:
             self.older = dict(self)
             self.clear()
-        new = []
-        for key in keys:
-            if key not in self:
-                if key in self.older:
-                    self[key] = self.older[key]
-                else:
-                    new.append(key)
-        return new
+
+    def unknown(self, keys: set) -> list:
+        """Of keys that the younger generation does not have, those that the older has not either."""
+        again = self.older.keys() & keys
+        self.update(zip(again, map(self.older.__getitem__, again)))
+        return list(keys - again)
 
     def forget_long(self, keys: list) -> None:
         for key in keys:
@@ -77,6 +81,8 @@ class Encoder:
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
         known = self.whole.get_vocab(with_added_tokens=True)
+        if max(known.values()) >= 1 << 24:
+            raise ValueError("the vocabulary has ids above 2**24")
         self.last = np.zeros(max(known.values()) + 1, bool)  # the token ends its part
         self.last[[i for t, i in known.items() if t.endswith("</w>")]] = True
         self.words, self.parts = Recent(WORDS), Recent(PARTS)
@@ -100,37 +106,44 @@ class Encoder:
             self.parts.update(zip(own, (data[a:b] for a, b in zip([0, *ends], ends))))
 
     def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
-        plain = [bool(_PLAIN.fullmatch(t)) and "<|" not in t for t in texts]
-        cut = _PARTS.findall("\n".join([t for t, p in zip(texts, plain) if p]).lower())
-        unseen = self.parts.unknown(set(cut).difference("\n"))
+        lines = b"\n".join(words).decode()
+        if not _PLAIN_LINES.fullmatch(lines) or "<|" in lines:
+            odd = [w for w in words if not _PLAIN.fullmatch(w.decode()) or b"<|" in w]
+            ids = self.whole.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)
+            self.words.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(odd, ids))
+            rest = set(odd)
+            words = [w for w in words if w not in rest]
+            lines = b"\n".join(words).decode()
+        self.parts.turn()
+        self.parts["\n"] = _NEXT
+        cut = _PARTS.findall(lines.lower())
+        found = list(map(self.parts.get, cut))
+        places = [j for j, x in enumerate(found) if x is None]
+        unseen = self.parts.unknown({cut[j] for j in places})
         if unseen:
             self._learn_parts(unseen)
-        found, own = [], []
-        for part in cut:
-            if part == "\n":
-                found.append(b"".join(own))
-                own = []
-            else:
-                own.append(self.parts[part])
-        found.append(b"".join(own))
-        self.words.update(zip([w for w, p in zip(words, plain) if p], found))
-        odd = [(w, t) for w, t, p in zip(words, texts, plain) if not p]
-        if odd:
-            ids = self.whole.encode_batch_fast([t for _, t in odd], add_special_tokens=False)
-            self.words.update((w, np.array(e.ids, "<u4").tobytes()) for (w, _), e in zip(odd, ids))
+        for j in places:
+            found[j] = self.parts[cut[j]]
+        self.words.update(zip(words, b"".join(found).split(_NEXT)))
         self.parts.forget_long(unseen)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; at most TEXTS_AT_ONCE texts are split at a time."""
-        out = []
+        out, known = [], self.words.get
         for at in range(0, len(texts), TEXTS_AT_ONCE):
+            self.words.turn()
             split = [(t or "").encode().split() for t in texts[at : at + TEXTS_AT_ONCE]]
-            new = self.words.unknown(set().union(*split))
-            if new:
-                self._learn(new)
-            out += [b"".join([self.words[w] for w in words]) for words in split]
-            self.words.forget_long(new)
+            found = [list(map(known, words)) for words in split]
+            open_ = [(words, ids, [j for j, x in enumerate(ids) if x is None]) for words, ids in zip(split, found) if None in ids]
+            if open_:
+                new = self.words.unknown({words[j] for words, _, places in open_ for j in places})
+                if new:
+                    self._learn(new)
+                for words, ids, places in open_:
+                    for j in places:
+                        ids[j] = known(words[j])
+                self.words.forget_long(new)
+            out += map(b"".join, found)
         return out
 
 
