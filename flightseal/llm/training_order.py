@@ -66,6 +66,17 @@ def _opened(x: bytes):
     return pickle.loads(zstandard.ZstdDecompressor().decompress(x))
 
 
+_END = tokens.END.to_bytes(4, "little")
+
+
+def _narrow(data: bytes) -> np.ndarray:
+    """Ids of 32 bits as those of 16 bits that the shards hold; a larger id is an error."""
+    ids = np.frombuffer(data, "<u4")
+    if len(ids) and ids.max() > 0xFFFF:
+        raise ValueError(f"id {ids.max()} does not fit a shard of 16-bit ids")
+    return ids.astype("<u2")
+
+
 def sequences(docs: DataFrame, length: int, path: str) -> DataFrame:
     """(part, first, rows, block): BLOCK sequences a row. A task joins the ids of its documents, END after each,
     and cuts the stream every `length` ids; its last sequence may be shorter. block: the ids, and the
@@ -91,12 +102,13 @@ def sequences(docs: DataFrame, length: int, path: str) -> DataFrame:
         for batch in batches:
             names, bodies = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for low in range(0, len(names), tokens.TEXTS_AT_ONCE):
-                for name, data in zip(names[low : low + tokens.TEXTS_AT_ONCE], encoder.encode(bodies[low : low + tokens.TEXTS_AT_ONCE])):
-                    documents.append((NULL_ID if name is None else name, held))
-                    ids.append(np.append(np.frombuffer(data, "<u4"), tokens.END).astype("<u2"))
-                    held += len(ids[-1])
-                    while held >= BLOCK * length:
-                        yield cut(BLOCK)
+                data = [x + _END for x in encoder.encode(bodies[low : low + tokens.TEXTS_AT_ONCE])]
+                starts = held + np.cumsum([0, *map(len, data)]) // 4
+                documents += zip((NULL_ID if n is None else n for n in names[low : low + tokens.TEXTS_AT_ONCE]), starts.tolist())
+                ids.append(_narrow(b"".join(data)))
+                held = int(starts[-1])
+                while held >= BLOCK * length:
+                    yield cut(BLOCK)
         if held:
             yield cut(-(-held // length))
 
