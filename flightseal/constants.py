@@ -74,7 +74,7 @@ FEATURES = (
 )
 DERIVED_FEATURES = FEATURES[:20]
 
-# Absolute place and route, left out of the transfer variant.
+# Absolute place and route, left out of the transfer variant.
 LOCATION_FEATURES = ("latitude", "longitude", "altitude", "heading")
 
 # Features judged against their own phase by the label-free detector.

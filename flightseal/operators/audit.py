@@ -26,8 +26,8 @@ MAP_BITS = 30
 ROW_IDENTITY = ("case_id", "row_idx", "original_row_idx")
 
 
-def summary(df: DataFrame, groups: Sequence[str] = (), case: str = "case_id") -> DataFrame:
-    """Rows, anomaly rate, flights, time range and epoch-sentinel rows."""
+def summary(df: DataFrame, groups: Sequence[str] = (), case: str = "case_id", labels: Sequence[int] = ()) -> DataFrame:
+    """Rows, anomaly rate, flights, time range and epoch-sentinel rows; also `label_<l>_rows` of the given labels."""
     return df.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("rows"),
         F.avg(F.col("label").cast("double")).alias("anomaly_rate"),
@@ -35,6 +35,7 @@ def summary(df: DataFrame, groups: Sequence[str] = (), case: str = "case_id") ->
         F.min("timestamp").alias("ts_min"),
         F.max("timestamp").alias("ts_max"),
         F.count_if(F.year("timestamp") <= 1971).alias("epoch_rows"),
+        *[F.count_if(F.col("label") == value).alias(f"label_{value}_rows") for value in labels],
     )
 
 

@@ -82,6 +82,7 @@ def report_rows(table: DataFrame, columns: dict[str, str]) -> DataFrame:
     return shown.select(*[F.col(name).alias(title) for name, title in columns.items()])
 
 
+# Fixed values in this and the following reports: the column titles.
 def row_report(table: DataFrame) -> DataFrame:
     return report_rows(
         table,

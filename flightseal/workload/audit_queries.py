@@ -13,14 +13,12 @@ _BY = ["profile"]
 
 
 def audit_summary(spark, sf_dir):
-    table = audit.summary(all_profiles(spark, sf_dir), _BY)
-    labels = audit.label_counts(all_profiles(spark, sf_dir), _BY)
-    by_label = labels.groupBy("profile").pivot("label", [0, 1]).agg(F.first("rows"))
-    return table.join(by_label, "profile").select(
+    table = audit.summary(all_profiles(spark, sf_dir), _BY, labels=(0, 1))
+    return table.select(
         "profile",
         F.col("rows").alias("n_rows"),
-        F.col("0").alias("normal_rows"),
-        F.col("1").alias("tampered_rows"),
+        F.col("label_0_rows").alias("normal_rows"),
+        F.col("label_1_rows").alias("tampered_rows"),
         q("anomaly_rate", 100_000).alias("anomaly_rate"),
         "cases",
         F.unix_millis("ts_min").alias("ts_min"),

@@ -59,12 +59,12 @@ def threshold_metrics(spark, sf_dir):
 
 
 def scored(spark, sf_dir):
-    """Long scores with datasets: holdout of balanced, all of strong and subtle."""
+    """Long scores with datasets: holdout of balanced, all of strong and subtle; written, as tables are made from them several times."""
     rows = all_profiles(spark, sf_dir)
     held = split(spark, sf_dir)
     tagged = evaluation.with_dataset(rows, held, ["replicate", "case_id"])
     slim = tagged.select("dataset", "replicate", "case_id", "label", "tamper_type", "case_name", *MODELS)
-    return evaluation.long_scores(slim, MODELS)
+    return materialize(evaluation.long_scores(slim, MODELS), "scored")
 
 
 def _metric_columns(table, *keys):

@@ -186,3 +186,22 @@ def test_only_possible_twins_are_moved(spark):
             assert got[key] == (len(own) - len(set(own)), len(own) - len(content))
     unique = df.where("case_id between 1 and 40").dropDuplicates()
     assert [tuple(r) for r in audit.duplicates(unique, []).collect()] == [(0, 0)]
+
+
+def test_unclear_order_is_counted(spark):
+    rows = [("a", 1, 0), ("a", 1, 0), ("a", 1, 1), ("a", 2, None), ("a", 2, None), ("a", 3, 5), ("b", 1, 0), ("b", 1, 1)]
+    df = spark.createDataFrame(rows, "profile string, case_id int, row_idx int")
+    got = {r["profile"]: tuple(r)[1:] for r in audit.repeated_places(df, ["profile"]).collect()}
+    assert got == {"a": (1, 2, 2), "b": (0, 0, 0)}
+    assert tuple(audit.repeated_places(df).first()) == (3, 2, 2)  # without the profile flights share a number: 0 three times, 1 twice
+
+
+def test_flight_sketches_merge(spark):
+    """Parts may hold the same flight numbers; their sketches add up within the stated error."""
+    df = spark.range(60_000).selectExpr("cast(id % 2 as string) as profile", "cast(id % 3 as int) as replicate", "cast(id div 6 as int) as case_id")
+    parts = audit.case_sketches(df)
+    assert parts.count() == 6
+    for groups, flights in ((["profile"], 30_000), ([], 60_000), (["profile", "replicate"], 10_000)):
+        for r in audit.approximate_cases(parts, groups).collect():
+            assert abs(r["cases"] / flights - 1) < 4 * 1.04 / 2 ** (audit.SKETCH_BITS / 2)
+            assert r["rows"] == flights
