@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from .common import kept, texts, tidy
 
 #: Words and parts that a Python worker keeps in each of two generations, and bytes of the longest of them.
-WORDS, PARTS, LONGEST = 250_000, 100_000, 48
+WORDS, PARTS, LONGEST = 400_000, 150_000, 48
 TEXTS_AT_ONCE = 64
 END = 0
 
