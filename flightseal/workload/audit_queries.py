@@ -65,6 +65,27 @@ def audit_duplicates(spark, sf_dir):
     return audit.duplicates(rows.unionByName(rows.where(F.col("label") == 1)), _BY)
 
 
+def _with_holes(spark, sf_dir):
+    holes = F.when(F.col("row_idx") % 7 != 3, F.col("heading"))
+    return all_profiles(spark, sf_dir).withColumn("heading", holes)
+
+
+def audit_records(spark, sf_dir):
+    """The whole audit, a record per profile and replicate."""
+    rows = _with_holes(spark, sf_dir)
+    records = audit.audit(rows.unionByName(rows.where((F.col("label") == 1) & (F.col("row_idx") % 5 == 0))))
+    held = lambda name, key: F.coalesce(F.try_element_at(name, F.lit(key)), F.lit(0))
+    return records.select(
+        "profile", "replicate", F.col("rows").alias("n_rows"), "cases", "epoch_rows",
+        held("label_counts", "1").alias("tampered_rows"),
+        held("case_label_counts", "1").alias("tampered_cases"),
+        F.size("tamper_type_cases").alias("types"),
+        held("missing", "heading").alias("missing_heading"),
+        q("ts_max_gap_s", 1000).alias("ts_max_gap_s"),
+        "exact_duplicate_rows", "duplicate_rows_ignoring_idx",
+    )
+
+
 def audit_places(spark, sf_dir):
     return audit.repeated_places(unclear_order(spark, sf_dir), ["replicate"])
 
@@ -80,10 +101,26 @@ QUERIES = {
     "audit_time_order": audit_time_order,
     "audit_duplicates": audit_duplicates,
     "audit_places": audit_places,
+    "audit_records": audit_records,
     "audit_cases_approx": audit_cases_approx,
 }
 
 ORACLE = {
+    "audit_records": f"""with t as (select * replace (case when row_idx % 7 <> 3 then heading end as heading) from ({_ALL})),
+ a as (select * from t union all select * from t where label = 1 and row_idx % 5 = 0),
+ m as (select profile, replicate, case_id, max(label) as label from a group by all),
+ w as (select profile, replicate, t_ms - lag(t_ms) over (partition by profile, replicate, case_id order by row_idx) as delta from a),
+ e as (select profile, replicate, count(*) as n from a group by profile, case_id, row_idx, {_CONTENT}),
+ i as (select profile, replicate, count(*) as n from a group by profile, {_CONTENT})
+ select s.profile, s.replicate, n_rows, cases, epoch_rows, tampered_rows, tampered_cases, types, missing_heading, ts_max_gap_s,
+  exact_duplicate_rows, duplicate_rows_ignoring_idx from
+ (select profile, replicate, count(*) as n_rows, count(distinct case_id) as cases,
+   cast(sum(case when t_ms < 63072000000 then 1 else 0 end) as bigint) as epoch_rows, cast(sum(label) as bigint) as tampered_rows,
+   count(distinct tamper_type) as types, count(*) - count(heading) as missing_heading from a group by all) s
+ join (select profile, replicate, cast(sum(label) as bigint) as tampered_cases from m group by all) c using (profile, replicate)
+ join (select profile, replicate, {q_sql("max(delta) / 1000E0", 1000)} as ts_max_gap_s from w group by all) g using (profile, replicate)
+ join (select profile, replicate, cast(sum(n - 1) as bigint) as exact_duplicate_rows from e group by all) x using (profile, replicate)
+ join (select profile, replicate, cast(sum(n - 1) as bigint) as duplicate_rows_ignoring_idx from i group by all) y using (profile, replicate)""",
     "audit_cases_approx": f"""select profile, sum(n) as n_rows, count(*) as cases, true as within
  from (select profile, replicate, case_id, count(*) as n from ({_ALL}) group by all) group by profile""",
     "audit_places": f"""select replicate, cast(sum(case when row_idx is not null then n - 1 else 0 end) as bigint) as repeated_places,

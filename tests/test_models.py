@@ -13,6 +13,7 @@ from flightseal.operators import models
 from flightseal.operators.adapt import adapt_log
 from flightseal.operators.features import without_location
 from flightseal.plans import experiment, log_scoring
+from flightseal.session import concurrently
 from flightseal.sources.model_store import load_model, save_model
 from flightseal.workload.view import all_profiles, raw_log
 from tests.conftest import SF
@@ -179,3 +180,13 @@ def test_boosting_stops_and_cuts_its_trees(spark, rows):
     a = models.with_score(fitted, models.GRADIENT_BOOSTING, features).orderBy("case_id", "row_idx").select("score").collect()
     b = models.with_score(PipelineModel.load(path), models.GRADIENT_BOOSTING, features).orderBy("case_id", "row_idx")
     assert a == b.select("score").collect()
+
+
+def test_tasks_side_by_side(spark):
+    """Results come in order, each task's jobs in a pool of its own; an error is raised."""
+    pool = lambda at: (at, spark.range(at + 1).count(), spark.sparkContext.getLocalProperty("spark.scheduler.pool"))
+    got = concurrently(spark, [lambda at=at: pool(at) for at in range(5)], 2)
+    assert got == [(at, at + 1, f"flightseal-{at % 2}") for at in range(5)]
+    with pytest.raises(ZeroDivisionError):
+        concurrently(spark, [lambda: 1, lambda: 1 // 0], 2)
+    assert concurrently(spark, [], 3) == []
