@@ -12,9 +12,11 @@ from flightseal.constants import FEATURES
 from flightseal.operators import models
 from flightseal.operators.adapt import adapt_log
 from flightseal.operators.features import without_location
-from flightseal.plans import experiment, log_scoring
+from flightseal.operators.ranking import ranking_quality
+from flightseal.plans import evaluation, experiment, log_scoring
 from flightseal.session import concurrently
 from flightseal.sources.model_store import load_model, save_model
+from flightseal.workload.model_queries import FLOORS
 from flightseal.workload.view import all_profiles, raw_log
 from tests.conftest import SF
 
@@ -190,3 +192,12 @@ def test_tasks_side_by_side(spark):
     with pytest.raises(ZeroDivisionError):
         concurrently(spark, [lambda: 1, lambda: 1 // 0], 2)
     assert concurrently(spark, [], 3) == []
+
+
+def test_shuffled_scores_fall_below_the_floor(protocol):
+    """The floor of the model queries is above what scores without any relation to the labels reach."""
+    rows = protocol.scored.where("dataset = 'balanced_holdout'")
+    shuffled = rows.withColumn("score", F.xxhash64("model", "case_id", "row_idx").cast("double"))
+    for table, above in ((rows, True), (shuffled, False)):
+        for r in ranking_quality(evaluation.rank(table), ["dataset", "model"]).collect():
+            assert (r["roc_auc"] >= FLOORS[r["model"]]) == above
