@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from flightseal.llm import licenses
 from flightseal.llm.queries import op1_license
 from tests.conftest import SF
@@ -46,6 +48,41 @@ def test_notices():
     assert find("licensed " + noise(40) + " under the apache " + noise(40) + " license version 2.0")[1] == []
 
 
+@pytest.mark.parametrize("text, names", [
+    ("Released under the BSD License.", ["bsd-name"]),
+    ("Released under the Apache License.", []),
+    ("Released under the GPL License.", []),
+    ("Licensed under the MIT License.", ["mit"]),
+    ("Licensed under Apache License 2.0", []),  # six of eight words
+    ("Licensed under the Apache License 2.0", ["apache-2.0"]),
+    ("Licensed under the Apache License, Version 1.1.", []),
+    ("Licensed under CC BY 4.0.", ["cc-by-4.0"]),
+    ("Licensed under CC BY-NC 4.0.", ["cc-by-nc-4.0"]),
+    ("Licensed under CC BY-NC-SA 4.0.", ["cc-by-nc-sa-4.0"]),
+    ("Licensed under CC BY-SA 3.0.", []),
+    ("This work is licensed under the GNU General Public License, version 2.", ["gpl-2.0"]),
+    ("This work is licensed under the GNU Lesser General Public License, version 2.1.", ["lgpl-2.1"]),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["cc-by-sa-4.0-text"]),
+    ("This file is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+     "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ["gpl-3.0-header"]),
+    ("All the rights are reserved by the people", []),
+    ("Copyright X. All rights reserved. Licensed under the Apache License, Version 2.0.", ["apache-2.0", "reserved"]),
+])
+def test_names(text, names):
+    """The right name and no other, also inside other words."""
+    find = licenses.Templates(licenses.TEMPLATES).find
+    for around in ("", "lorem ipsum dolor sit amet " * 20):
+        assert [x[0] for x in find(around + text + " " + around)[1]] == names
+
+
+def test_templates_name_themselves_alone():
+    find = licenses.Templates(licenses.TEMPLATES).find
+    for name, text in licenses.TEMPLATES.items():
+        assert [(x[0], x[1]) for x in find(text)[1]] == [(name, 1.0)]
+    with pytest.raises(ValueError):
+        licenses.Templates({"a": "one two"}, keys={"a": ("three",)})
+
+
 def test_query(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
     got = {r.doc_id: r for r in op1_license(spark, SF).collect()}
