@@ -1,5 +1,9 @@
 """WARC files as a Spark data source: written by records, read by planned file partitions.
 
+A folder may be written to several times and hold archives from elsewhere too,
+gzipped or not: each write adds a manifest of its own files, and files that
+look like those of a write count only where a manifest names them.
+
 The reader takes filters on record_type, target_uri and other header columns,
 parses the headers of a record first, and steps over the payload of a record
 that a filter drops, or whose payload is not asked for.
@@ -8,22 +12,28 @@ that a filter drops, or whose payload is not asked for.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
+import posixpath
+import re
 import uuid
 from collections.abc import Iterator
+from contextlib import nullcontext
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
 from ..session import materialize, scratch_path
-from .files import opened
+from .common import small_batches
+from .files import opened, write_whole
 
 #: A file is closed beyond this size, and a reading task takes files up to it.
 FILE_BYTES = 64 << 20
-MANIFEST = "_manifest.json"
+#: Names of the manifest and of the archives of one write.
+MANIFEST, PART = re.compile(r"_manifest-[0-9a-f]{32}\.json"), re.compile(r"part-[0-9a-f]{32}\.warc")
 
 HEADERS = {
     "record_type": "WARC-Type",
@@ -100,6 +110,11 @@ def read_records(file, wanted, payloads: bool) -> Iterator[tuple[dict, bytes | N
             at += size + 4
 
 
+def unzipped(file, name: str):
+    """`file`, or the content of its gzip members one after the other, as .warc.gz files have a member per record."""
+    return gzip.GzipFile(fileobj=file) if name.endswith(".gz") else nullcontext(file)
+
+
 class Files(InputPartition):
     def __init__(self, names: list[str]):
         self.names = names
@@ -111,29 +126,44 @@ class Written(WriterCommitMessage):
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, payloads: bool):
-        self.path, self.payloads, self.tests = path, payloads, []
+    def __init__(self, path: str, payloads: bool, pushdown: bool = True):
+        self.path, self.payloads, self.pushdown, self.tests = path, payloads, pushdown, []
 
     def pushFilters(self, filters):
         """Takes equality and membership tests of header columns; the rest is left to Spark."""
         for f in filters:
-            if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 and f.attribute[0] in HEADERS:
+            if self.pushdown and isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 and f.attribute[0] in HEADERS:
                 values = {f.value} if isinstance(f, EqualTo) else set(f.value)
                 self.tests.append((HEADERS[f.attribute[0]].lower(), values))
             else:
                 yield f
 
     def partitions(self):
-        """Files in groups of up to FILE_BYTES: those of the manifest, or all *.warc below the path."""
+        """Archives (*.warc, *.warc.gz) below the path in groups of up to FILE_BYTES; an error if there is none.
+
+        Where there are manifests, files of writes count if one names them. A
+        gzipped file cannot be entered in its middle, so a file is never divided.
+        """
         from pyarrow import fs
 
         store, path = opened(self.path)
-        if store.get_file_info(f"{path}/{MANIFEST}").type == fs.FileType.File:
-            with store.open_input_stream(f"{path}/{MANIFEST}") as file:
-                files = [(f"{path}/{name}", size) for name, size in json.loads(file.read())]
-        else:
-            found = store.get_file_info(fs.FileSelector(path, recursive=True)) if store.get_file_info(path).type == fs.FileType.Directory else [store.get_file_info(path)]
-            files = [(f.path, f.size) for f in found if f.type == fs.FileType.File and f.path.endswith(".warc")]
+        info = store.get_file_info(path)
+        if info.type == fs.FileType.NotFound:
+            raise FileNotFoundError(self.path)
+        found = [info] if info.type == fs.FileType.File else [f for f in store.get_file_info(fs.FileSelector(path, recursive=True)) if f.type == fs.FileType.File]
+        listed, manifests = set(), [f for f in found if MANIFEST.fullmatch(f.base_name)]
+        for manifest in manifests:
+            with store.open_input_stream(manifest.path) as file:
+                listed.update(posixpath.join(posixpath.dirname(manifest.path), name) for name, _ in json.loads(file.read()))
+        written = {posixpath.dirname(m.path) for m in manifests}
+        files = [
+            (f.path, f.size) for f in found if f.path.endswith((".warc", ".warc.gz"))
+            and (f.path in listed or posixpath.dirname(f.path) not in written or not PART.fullmatch(f.base_name))
+        ]
+        if not files and not manifests:
+            raise ValueError(f"no .warc or .warc.gz file in {self.path}")
+        if missing := listed - {name for name, _ in files}:
+            raise ValueError(f"{len(missing)} files that a manifest names are gone, such as {min(missing)}")
         groups: list[list[str]] = []
         room = 0
         for name, size in sorted(files):
@@ -152,7 +182,7 @@ class WarcReader(DataSourceReader):
 
         rows, held = [], 0
         for name in partition.names if partition else ():  # no files: Spark asks for one partition all the same
-            with store.open_input_file(name) as file:
+            with store.open_input_file(name) as raw, unzipped(raw, name) as file:
                 for headers, payload in read_records(file, wanted, self.payloads):
                     rows.append((*(headers.get(h.lower()) for h in HEADERS.values()), int(headers["content-length"]), payload))
                     held += 500 + len(payload or b"")
@@ -170,22 +200,21 @@ def _batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), _TYPES)], names=[*HEADERS, "content_length", "payload"])
 
 
-class WarcWriter(DataSourceWriter):
+class WarcWriter(DataSourceArrowWriter):
     """Files of one task attempt have names of their own; the manifest names those of the attempts that count."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator):
         store, path = opened(self.path)
         store.create_dir(path, recursive=True)
         files, out, size = [], None, 0
-        for row in iterator:
+        for values in (row for batch in iterator for row in batch.to_pylist()):
             if out is None:
                 name = f"part-{uuid.uuid4().hex}.warc"
                 out, size = store.open_output_stream(f"{path}/{name}"), 0
-            values = row.asDict()
-            data = record(values, bytes(values.get("payload") or b""))
+            data = record(values, values.get("payload") or b"")
             out.write(data)
             size += len(data)
             if size > FILE_BYTES:
@@ -198,18 +227,29 @@ class WarcWriter(DataSourceWriter):
         return Written(files)
 
     def commit(self, messages):
+        """Adds this write's manifest; when overwriting, those of earlier writes then go and their files no longer count."""
+        from pyarrow import fs
+
         store, path = opened(self.path)
-        store.create_dir(path, recursive=True)
+        name = f"_manifest-{uuid.uuid4().hex}.json"
         names = sorted(f for m in messages if m is not None for f in m.files)
-        with store.open_output_stream(f"{path}/{MANIFEST}") as out:
-            out.write(json.dumps(names).encode())
+        write_whole(self.path, name, [json.dumps(names).encode()])
+        if self.overwrite:
+            for f in store.get_file_info(fs.FileSelector(path)):
+                if MANIFEST.fullmatch(f.base_name) and f.base_name != name:
+                    store.delete_file(f.path)
 
     def abort(self, messages):
         """Without a manifest, or not named in it, files do not count."""
 
 
 class WarcSource(DataSource):
-    """format("warc"): option path; option payloads (default true) false leaves payload null."""
+    """format("warc"): option path; option payloads (default true) false leaves payload null.
+
+    Option pushdown (default false) lets the reader drop records by the query's
+    filters. Spark keeps one plan of reading for all scans of a loaded frame, so
+    only a frame that is used once, with one filter, may ask for it.
+    """
 
     @classmethod
     def name(cls):
@@ -219,10 +259,11 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return WarcReader(self.options["path"], self.options.get("payloads", "true").lower() == "true")
+        given = {name: self.options.get(name, default).lower() == "true" for name, default in (("payloads", "true"), ("pushdown", "false"))}
+        return WarcReader(self.options["path"], **given)
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -235,7 +276,8 @@ def records(pages: DataFrame, least: int = 0) -> DataFrame:
     largest page_id is the response and the others revisit it; smaller ones are all responses.
 
     page_id null counts as the largest negative number; rows that repeat a
-    page_id as well as its payload are all responses. A null html is empty.
+    page_id as well as its payload are all responses. A null html is empty. An
+    empty table gives no records; other columns are not read.
     """
     full = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(-(1 << 63))).alias("page_id"), F.col("url").cast("string"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("full"))
     keyed = full.withColumn("sha", F.sha1("full")).withColumn("n", F.octet_length("full").cast("long"))
@@ -265,13 +307,16 @@ def _base32(sha):
 
 
 def write_warc(rows: DataFrame, folder: str) -> None:
+    """Adds the rows as records to what the folder holds."""
     register(rows.sparkSession)
-    rows.write.format("warc").mode("append").save(folder)
+    small_batches(rows).write.format("warc").mode("append").save(folder)
 
 
-def read_warc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
+def read_warc(spark: SparkSession, folder: str, payloads: bool = True, pushdown: bool = False) -> DataFrame:
+    """All records below the folder. pushdown: see `WarcSource`; without it Spark filters what was read."""
     register(spark)
-    return spark.read.format("warc").option("payloads", str(payloads).lower()).load(folder)
+    options = {"payloads": str(payloads).lower(), "pushdown": str(pushdown).lower()}
+    return spark.read.format("warc").options(**options).load(folder)
 
 
 def archive_folder(spark: SparkSession) -> str:
@@ -288,7 +333,7 @@ def archived(spark: SparkSession, folder: str) -> DataFrame:
     A response is measured from the payload that the archive holds; a revisit
     from its own headers, so its records are read without a payload.
     """
-    responses = read_warc(spark, folder).where("record_type = 'response'").select("record_id", "record_type", "refers_to", "payload")
+    responses = read_warc(spark, folder, pushdown=True).where("record_type = 'response'").select("record_id", "record_type", "refers_to", "payload")
 
     def measure(batches):
         for batch in batches:
@@ -297,7 +342,7 @@ def archived(spark: SparkSession, folder: str) -> DataFrame:
             yield out.append_column("payload_digest", pa.array([digest(x) for x in data], pa.string()))
 
     measured = responses.mapInArrow(measure, "record_id string, record_type string, refers_to string, payload_bytes long, payload_digest string")
-    revisits = read_warc(spark, folder, payloads=False).where("record_type = 'revisit'").select(
+    revisits = read_warc(spark, folder, payloads=False, pushdown=True).where("record_type = 'revisit'").select(
         "record_id", "record_type", "refers_to", F.col("full_length").cast("long").alias("payload_bytes"),
         F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"),
     )

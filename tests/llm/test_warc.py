@@ -1,8 +1,10 @@
 """Archives come back as they were written; filters skip payloads."""
 
 import base64
+import gzip
 import hashlib
 import io
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,11 +61,46 @@ def test_empty_and_repeated(spark):
     assert warc.archived(spark, folder).count() == 18
 
 
+def test_writes_add_up(spark):
+    """A second write adds its records, overwriting replaces them, and files that no manifest names do not count."""
+    frame, _ = odd(spark)
+    folder = warc.archive_folder(spark)
+    rows = warc.records(frame)
+    warc.write_warc(rows.where("record_id = '<urn:page:1>'"), folder)
+    warc.write_warc(rows.where("record_id <> '<urn:page:1>'"), folder)
+    assert warc.read_warc(spark, folder).count() == 9
+    with open(f"{folder}/part-{'0' * 32}.warc", "wb") as file:  # of a failed attempt
+        file.write(warc.record({"record_type": "response"}, b"x"))
+    assert warc.read_warc(spark, folder).count() == 9
+    rows.limit(2).write.format("warc").mode("overwrite").save(folder)
+    assert warc.read_warc(spark, folder).count() == 2
+    with open(f"{folder}/foreign.warc", "wb") as file:
+        file.write(warc.record({"record_type": "response"}, b"x"))
+    assert warc.read_warc(spark, folder).count() == 3
+
+
+def test_gzipped_archives(spark, tmp_path):
+    """A gzip member per record, as crawlers write them, beside a plain file."""
+    made = [warc.record({"record_type": t, "record_id": str(i)}, bytes([65 + i]) * 200000) for i, t in enumerate(["response", "warcinfo", "response"])]
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in made))
+    (tmp_path / "b.warc").write_bytes(b"".join(made))
+    (tmp_path / "notes.txt").write_text("x")
+    read = warc.read_warc(spark, str(tmp_path))
+    got = Counter((r.record_id, bytes(r.payload)) for r in read.where("record_type = 'response'").collect())
+    assert got == {("0", b"A" * 200000): 2, ("2", b"C" * 200000): 2}
+    assert read.count() == 6
+    assert warc.read_warc(spark, str(tmp_path), payloads=False).where("record_type = 'warcinfo'").count() == 2
+    (tmp_path / "none").mkdir()
+    with pytest.raises(Exception, match="no .warc"):
+        warc.read_warc(spark, str(tmp_path / "none")).count()
+
+
 def test_filters_reach_the_source(spark):
     frame, _ = odd(spark)
     folder = warc.archive_folder(spark)
     warc.write_warc(warc.records(frame), folder)
-    read = warc.read_warc(spark, folder)
+    read = warc.read_warc(spark, folder, pushdown=True)
     assert read.where((F.col("record_type") == "response") & F.col("target_uri").isin("w", "y")).count() == 2
     reader = warc.WarcReader(folder, True)
     from pyspark.sql.datasource import EqualTo, GreaterThan
@@ -72,6 +109,16 @@ def test_filters_reach_the_source(spark):
     assert len(kept) == 2 and reader.tests == [("warc-type", {"revisit"})]
 
 
+def test_a_frame_serves_several_filters(spark):
+    frame, _ = odd(spark)
+    folder = warc.archive_folder(spark)
+    warc.write_warc(warc.records(frame), folder)
+    read = warc.read_warc(spark, folder)
+    first, second = read.where("record_type = 'response'"), read.where("record_type = 'revisit'")
+    counts = first.count(), second.count()
+    assert min(counts) > 0 and sum(counts) == read.count() == first.unionAll(second).count() == 9
+
+
 def test_unwanted_payloads_are_stepped_over():
     class File(io.BytesIO):
         taken = 0
