@@ -110,18 +110,19 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     no task sorts more than a chunk of it, and what meets in one task is one
     count per chunk. `df` is read twice, so it should be a written table.
     """
-    spread = df.withColumn("chunk_", chunk)
-    by = [*keys, "chunk_"]
-    counts = spread.groupBy(*by).agg(F.count(F.lit(1)).alias("rows_"))
-    before = Window.partitionBy(*keys).orderBy("chunk_").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*by, F.coalesce(F.sum("rows_").over(before), F.lit(0)).alias("start_"))
-    own = spread.withColumn("own_", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    chunk_, rows_, start_, own_ = unused([*df.columns, name], "chunk", "rows", "start", "own")
+    spread = df.withColumn(chunk_, chunk)
+    by = [*keys, chunk_]
+    counts = spread.groupBy(*by).agg(F.count(F.lit(1)).alias(rows_))
+    before = Window.partitionBy(*keys).orderBy(chunk_).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*by, F.coalesce(F.sum(rows_).over(before), F.lit(0)).alias(start_))
+    own = spread.withColumn(own_, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
     left, right = own.alias("l"), starts.alias("r")
     same = F.lit(True)
     for key in by:
         same = same & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
     return left.join(right, same).select(
-        *[f"l.{c}" for c in df.columns], (F.col("l.own_") + F.col("r.start_")).cast("long").alias(name)
+        *[f"l.{c}" for c in df.columns], (F.col(f"l.{own_}") + F.col(f"r.{start_}")).cast("long").alias(name)
     )
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import tokens
-from .common import chunks_for, numbered, tidy
+from .common import chunks_for, numbered, tidy, unused
 
 CAPACITY = 2048
 ISLANDS, MIGRATIONS, GENERATIONS, POPULATION = 6, 2, 6, 6
@@ -209,23 +209,24 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order=("doc_id", "piece"))
     table = places(solve(spark, counts, capacity)) if counts else {}
     total = sum(counts.values())
     chunk = F.pmod(F.xxhash64(*order), F.lit(chunks_for(total)))
-    ranked = numbered(pieces, ["length"], [F.col(c) for c in order], chunk, "rank_")
+    (rank_,) = unused(pieces.columns, "rank")
+    ranked = numbered(pieces, ["length"], [F.col(c) for c in order], chunk, rank_)
 
     def run(batches):
         for batch in batches:
-            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank_"))
+            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", rank_))
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for own in np.unique(length).tolist():
                 at = np.nonzero(length == own)[0]
                 starts, bases, offsets = table[own]
                 run_ = np.searchsorted(starts, rank[at], side="right") - 1
                 sequence[at], offset[at] = bases[run_] + rank[at] - starts[run_], offsets[run_]
-            out = batch.drop_columns(["rank_"])
+            out = batch.drop_columns([rank_])
             yield out.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     names = [f.name for f in pieces.schema]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema), "sequence_id long, offset long"])
-    return ranked.select(*names, "rank_").mapInArrow(tidy(run), schema)
+    return ranked.select(*names, rank_).mapInArrow(tidy(run), schema)
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, ids: bool = False) -> DataFrame:

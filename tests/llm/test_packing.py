@@ -9,6 +9,7 @@ import pytest
 
 from flightseal.llm import packing, tokens
 from flightseal.llm.queries import op5_packing
+from flightseal.session import materialize
 from tests.conftest import SF
 
 
@@ -107,3 +108,11 @@ def test_odd_rows(spark):
     assert packing.pack_documents(docs.limit(0)).count() == 0
     with_ids = packing.pack_documents(docs, ids=True).collect()
     assert all(zlib.crc32(r.ids) == r.ids_crc32 for r in with_ids)
+
+
+def test_columns_named_like_helpers(spark):
+    pieces = materialize(spark.createDataFrame([(i, 0, 1 + i % 7, i, i) for i in range(60)], "doc_id long, piece int, length long, rank_ long, own_ long"), "test-pieces")
+    got = packing.pack(pieces, 16)
+    rows = got.collect()
+    assert got.columns == [*pieces.columns, "sequence_id", "offset"] and all(r.rank_ == r.own_ == r.doc_id for r in rows)
+    check(rows, 16)
