@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from ..session import materialize
-from .common import tidy
+from .common import tidy, unused
 
 #: A larger mean is the sum of draws with means of at most this, so exp(-mean) stays a normal number.
 PART = 256.0
+#: A document whose source has a larger mean rate is copied by several tasks, each at most this many times.
+RANGE = 1024
 
 
 def invert(uniform: np.ndarray, mean: np.ndarray) -> np.ndarray:
@@ -94,16 +96,30 @@ def replicate(docs: DataFrame, weights: Mapping[str | None, float] | None = None
 
     The hash takes the seed, doc_id and text, so repeated rows draw alike and
     the result does not depend on partitions or retries. mix_order is the key
-    of the shuffle: rows are dealt and sorted by it. A null source is a source.
-    Columns that share the added names are replaced.
+    of the shuffle: rows are dealt and sorted by it. A null source is a source;
+    a null text has no bytes and draws by its source's rate like any other row,
+    and so does a null doc_id; an empty table stays empty. Columns that share
+    the added names are replaced. Sources with a rate above RANGE are read
+    apart, and ranges of a document's copies are dealt before they are made.
     """
     docs = docs.drop("copy", "mean_rate", "mix_order", "mix_source")
     mean = materialize(rates(docs, weights), "mixing-rates")  # its size known, the texts need not be dealt by source
-    drawn = docs.join(mean, docs["source"].eqNullSafe(mean["mix_source"])).drop("mix_source")
+    copies, part = unused(docs.columns, "copies", "part")
     own = F.xxhash64(F.lit(seed), "doc_id", "text")
-    drawn = drawn.withColumn("copies_", _copies(own, F.col("mean_rate"))).where("copies_ > 0")
-    copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies_") - 1).cast("int")))).drop("copies_")
-    return shuffled(copies, F.xxhash64(F.lit(seed + 1), "doc_id", "text", "copy"))
+    drawn = docs.join(mean, docs["source"].eqNullSafe(mean["mix_source"])).drop("mix_source")
+    numbers = lambda first, end: F.explode(F.sequence(first.cast("int"), (end - 1).cast("int")))
+
+    def of(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(copies, _copies(own, F.col("mean_rate"))).where(F.col(copies) > 0)
+
+    made = of(drawn.where(F.col("mean_rate") <= RANGE)).withColumn("copy", numbers(F.lit(0), F.col(copies))).drop(copies)
+    if mean.where(F.col("mean_rate") > RANGE).head(1):
+        tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = of(drawn.where(F.col("mean_rate") > RANGE)).withColumn(part, numbers(F.lit(0), F.ceil(F.col(copies) / RANGE)))
+        parts = parts.repartition(tasks, F.xxhash64(F.lit(seed + 2), "doc_id", "text", part))
+        ends = F.least(F.col(copies), (F.col(part) + 1).cast("long") * RANGE)
+        made = made.unionByName(parts.withColumn("copy", numbers(F.col(part) * RANGE, ends)).drop(copies, part))
+    return shuffled(made, F.xxhash64(F.lit(seed + 1), "doc_id", "text", "copy"))
 
 
 def shuffled(df: DataFrame, key: Column) -> DataFrame:

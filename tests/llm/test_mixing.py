@@ -5,7 +5,11 @@ from collections import Counter
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from flightseal.llm import mixing
+from flightseal.llm.queries import op8_mixing
+from tests.conftest import SF
 
 
 def plain_invert(u, mean):
@@ -57,3 +61,32 @@ def test_odd_rows(spark):
     got = mixing.replicate(docs).collect()
     assert {r.source for r in got} <= {"b"} and len(got) % 2 == 0
     assert mixing.replicate(docs.limit(0)).count() == 0
+
+
+def test_query(spark):
+    """Every document's copies, against counts inverted one at a time from the same hashes and rates worked out plainly."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source", F.xxhash64(F.lit(29), "doc_id", "text").alias("h")).collect()
+    size = Counter()
+    for r in rows:
+        size[r.source] += len((r.text or "").encode())
+    share = sum(size.values()) / sum(1 for n in size.values() if n)
+    wanted = {}
+    for r in rows:
+        mean = share / size[r.source] if size[r.source] else 0.0
+        assert mean <= mixing.PART
+        u = float(mixing.uniforms(np.array([r.h], np.int64).view(np.uint64), 0)[0])
+        if n := plain_invert(u, mean):
+            wanted[r.doc_id] = list(range(n))
+    got = {}
+    for r in op8_mixing(spark, SF).collect():
+        got.setdefault(r.doc_id, []).append(r.copy)
+    assert {i: sorted(c) for i, c in got.items()} == wanted
+
+
+def test_small_source_is_copied_by_many_tasks(spark):
+    docs = spark.createDataFrame([(0, "x", "tiny", 7, 8)] + [(i, "y" * 500, "big", 7, 8) for i in range(1, 61)], "doc_id long, text string, source string, copies_ int, part_ int")
+    mixed = mixing.replicate(docs)
+    tiny = [r for r in mixed.where("source = 'tiny'").collect()]
+    assert len(tiny) > 10 * mixing.RANGE and sorted(r.copy for r in tiny) == list(range(len(tiny)))
+    assert abs(len(tiny) / 15000 - 1) < 0.05 and {(r.copies_, r.part_) for r in tiny} == {(7, 8)}
+    assert 10 < mixed.where("source = 'big'").count() < 60
