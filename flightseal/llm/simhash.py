@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import columns, components, map_batches, texts
+from .common import columns, components, map_batches, texts, unused
 
 SEGMENTS = 8
 #: A join key shared by more distinct fingerprints than this is linked by `_balls` instead of by pairs.
@@ -147,9 +147,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame
 
 
 def keep_first(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
-    """One row of each group: that with the smallest doc_id (null before all), then text hash. All columns stay."""
+    """One row of each group: that with the smallest doc_id (null before all), then text hash. All columns stay.
+
+    Of rows that share both, the one whose other columns come first (in the
+    order of the columns, maps left out) stays. Null and empty texts are a
+    group; an empty table stays empty.
+    """
+    id_, hash_ = unused(docs.columns, "id", "hash")
     own = F.struct("doc_id", "text_hash")
-    drop = _grouped(docs, words, bits).where(own != F.col("first")).select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"))
+    drop = _grouped(docs, words, bits).where(own != F.col("first")).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_))
     drop = materialize(drop.distinct(), "simhash-drop")
-    keyed = docs.withColumn("id_", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("hash_", _text_hash("text"))
-    return keyed.join(drop, ["id_", "hash_"], "left_anti").dropDuplicates(["id_", "hash_"]).drop("id_", "hash_")
+    keyed = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn(hash_, _text_hash("text"))
+    left = keyed.join(drop, [id_, hash_], "left_anti")
+    ordered = [f.name for f in docs.schema if f.name != "text" and "map<" not in f.dataType.simpleString()]
+    row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(*[F.col(f"`{c}`") for c in ordered]))
+    first = left.groupBy(id_, hash_).agg(row.alias(hash_ + "row"))
+    return first.select(*[F.col(hash_ + "row")[c].alias(c) for c in docs.columns])

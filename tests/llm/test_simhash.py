@@ -87,3 +87,12 @@ def test_unlike_rows_with_null_and_repeated_ids(spark):
     got = Counter((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect())
     null = -(1 << 63)
     assert got == {(null, null): 4, (7, 7): 2, (8, null): 1, (9, 7): 1, (5, 5): 1}
+
+
+def test_ties_and_columns_named_like_helpers(spark):
+    rows = [(1, "a b c d", "z", 3), (1, "a b c d", "k", 2), (1, "a b c d", None, 9), (2, "a b c d", "a", 1), (None, "q", "y", 5), (None, "q", "x", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id_ string, hash_ int")
+    for parts in (1, 5):
+        got = simhash.keep_first(docs.repartition(parts))
+        assert got.columns == docs.columns
+        assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "a b c d", None, 9), (None, "q", "x", 6)], key=str)
