@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import texts, tidy
+from .common import texts, tidy, unused
 from .repeats import BUFFER, GRAM, LENGTH, Seen, merged, repeat_spans, runs
 
 #: Occurrences that a task holds before it settles them among themselves and sends them on.
@@ -207,29 +207,31 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     return found.where("key is null").unionByName(rest.where("key is null")).select("doc_id", "start", "stop")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
+def _numbered(docs: DataFrame, id_: str) -> DataFrame:
     """Adds id_: a long per document, which is a doc_id with a text.
 
     The doc_id itself (null the smallest), or, where unlike texts share one, a
     number that rises with doc_id, then text hash.
     """
-    own = docs.withColumn("id_", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    keyed = own.withColumn("hash_", F.coalesce(F.md5("text"), F.lit("")))
-    pairs = materialize(keyed.select("id_", "hash_"), "repeats-pairs")
-    if not pairs.groupBy("id_").agg(F.min("hash_").alias("a"), F.max("hash_").alias("b")).where("a <> b").head(1):
+    hash_, number_ = unused([*docs.columns, id_], "hash", "number")
+    own = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    keyed = own.withColumn(hash_, F.coalesce(F.md5("text"), F.lit("")))
+    pairs = materialize(keyed.select(id_, hash_), "repeats-pairs")
+    if not pairs.groupBy(id_).agg(F.min(hash_).alias("a"), F.max(hash_).alias("b")).where("a <> b").head(1):
         return own
-    ordered = pairs.distinct().sort("id_", "hash_")
-    numbers = materialize(ordered.withColumn("number_", F.monotonically_increasing_id()), "repeats-numbers")
-    return keyed.join(numbers, ["id_", "hash_"]).drop("id_", "hash_").withColumnRenamed("number_", "id_")
+    ordered = pairs.distinct().sort(id_, hash_)
+    numbers = materialize(ordered.withColumn(number_, F.monotonically_increasing_id()), "repeats-numbers")
+    return keyed.join(numbers, [id_, hash_]).drop(id_, hash_).withColumnRenamed(number_, id_)
 
 
-def _with_spans(docs: DataFrame, length: int) -> DataFrame:
+def _with_spans(docs: DataFrame, length: int, spans_: str) -> DataFrame:
     """Adds spans_: the packed spans of the row's document, null where nothing repeats."""
-    own = _numbered(docs)
+    (id_,) = unused([*docs.columns, spans_], "id")
+    own = _numbered(docs, id_)
     packed = F.shiftleft("start", 32).bitwiseOR(F.col("stop"))
-    spans = repeats(own.select(F.col("id_").alias("doc_id"), "text"), length)
-    spans = spans.groupBy("doc_id").agg(F.collect_list(packed).alias("spans_")).withColumnRenamed("doc_id", "id_")
-    return own.join(spans, "id_", "left").drop("id_")
+    spans = repeats(own.select(F.col(id_).alias("doc_id"), "text"), length)
+    spans = spans.groupBy("doc_id").agg(F.collect_list(packed).alias(spans_)).withColumnRenamed("doc_id", id_)
+    return own.join(spans, id_, "left").drop(id_)
 
 
 def _cut(data: bytes, packed: list[int] | None) -> tuple[bytes, int, int]:
@@ -256,7 +258,7 @@ def removal_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             if rows:
                 yield _rows(schema, rows)
 
-    slim = _with_spans(texts(docs), length)
+    slim = _with_spans(texts(docs), length, "spans_")
     return slim.select("doc_id", "text", "spans_").mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -264,25 +266,26 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The rows with repeated passages taken out of `text` (and n_chars, where there is one, counted anew).
 
     A character that a span cuts through goes as a whole. Rows of which nothing
-    is left go; texts that were null or empty stay.
+    is left go; texts that were null or empty stay. An empty table stays empty.
     """
-    with_spans = _with_spans(docs, length)
+    (spans_,) = unused(docs.columns, "spans")
+    with_spans = _with_spans(docs, length, spans_)
     schema = docs.schema
 
     def run(batches):
         for batch in batches:
             texts, keep = [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans_").to_pylist()):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column(spans_).to_pylist()):
                 if spans:
                     text = _cut(text.encode(), spans)[0].decode("utf-8", "ignore")
                 texts.append(text)
                 keep.append(not spans or text != "")
-            out = batch.drop_columns(["spans_"])
+            out = batch.drop_columns([spans_])
             out = out.set_column(out.schema.get_field_index("text"), out.schema.field("text"), pa.array(texts, pa.string()))
             if "n_chars" in out.schema.names:
                 at = out.schema.get_field_index("n_chars")
-                counts = [n if not s else len(t) for n, s, t in zip(out.column(at).to_pylist(), batch.column("spans_").to_pylist(), texts)]
+                counts = [n if not s else len(t) for n, s, t in zip(out.column(at).to_pylist(), batch.column(spans_).to_pylist(), texts)]
                 out = out.set_column(at, out.schema.field(at), pa.array(counts, out.schema.field(at).type))
             yield out.filter(pa.array(keep, pa.bool_()))
 
-    return with_spans.select(*docs.columns, "spans_").mapInArrow(tidy(run), schema)
+    return with_spans.select(*docs.columns, spans_).mapInArrow(tidy(run), schema)

@@ -134,3 +134,11 @@ def test_unlike_rows_with_null_and_repeated_ids(spark):
     left = {r: "".join(c for at, c in enumerate(r[1]) if at not in gone[k]) for k, r in enumerate(order)}
     kept = sorted(((r.doc_id, r.text) for r in substring.remove_repeats(docs).collect()), key=str)
     assert kept == sorted([(r[0], left[r]) for r in rows if left[r]], key=str)
+
+
+def test_columns_named_like_helpers(spark):
+    same = "a passage of more than one hundred bytes that two documents share, so that the second one loses it as a whole; "
+    docs = spark.createDataFrame([(1, same + "x", 5, "p", 1), (2, "y" + same, 6, "q", 2), (2, "z", 7, "r", 3)], "doc_id long, text string, id_ int, spans_ string, hash_ int")
+    got = substring.remove_repeats(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == [(1, same + "x", 5, "p", 1), (2, "y", 6, "q", 2), (2, "z", 7, "r", 3)]
