@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from flightseal.llm import sharding
 from flightseal.llm.queries import op9_sharding
@@ -57,3 +58,29 @@ def test_many_blocks_and_odd_rows(spark):
     assert Counter(r.k for r in got) == Counter(k for k, _ in rows)
     check(sharding.assign(frame.limit(3), "k", 8).collect(), 3, 8)
     assert sharding.assign(frame.limit(0), "k", 8).count() == 0
+
+
+def test_levels_and_columns_named_like_helpers(spark, monkeypatch):
+    """Three levels of three branches have the exact margins, and a null key in a third of the rows shares no block."""
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(0, 20, 25)
+    counts = spark.createDataFrame([(b, int(n)) for b, n in enumerate(sizes) if n], "node long, rows long")
+    places = sharding.shard_sizes(int(sizes.sum()), 4)
+    got = {r.node: np.diff(r.ends, prepend=0) for r in sharding.matrix(counts, 25, places, 7, fan=3).collect()}
+    assert {b: n for b, n in enumerate(sizes) if n} == {b: row.sum() for b, row in got.items()}
+    assert (sum(got.values()) == places).all() and all((row >= 0).all() for row in got.values())
+
+    names = ("k", "local_", "block_", "ends_", "chunk_", "own_", "rows_", "start_")
+    rows = [(None if i % 3 == 0 else i, *[i] * 7) for i in range(900)]
+    frame = spark.createDataFrame(rows, ", ".join(f"{n} long" for n in names))
+    largest = []
+
+    def seen(counts, *rest):
+        largest.append(counts.agg(F.max("rows")).first()[0])
+        return real(counts, *rest)
+
+    real = sharding.matrix
+    monkeypatch.setattr(sharding, "matrix", seen)
+    got = sharding.assign(frame, "k", 4, block_rows=32, fan=4).collect()
+    check(got, 900, 4)
+    assert sorted(r.local_ for r in got) == list(range(900)) and largest[0] < 80
