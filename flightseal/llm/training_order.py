@@ -66,12 +66,8 @@ def _opened(x: bytes):
     return pickle.loads(zstandard.ZstdDecompressor().decompress(x))
 
 
-_END = tokens.END.to_bytes(4, "little")
-
-
-def _narrow(data: bytes) -> np.ndarray:
+def _narrow(ids: np.ndarray) -> np.ndarray:
     """Ids of 32 bits as those of 16 bits that the shards hold; a larger id is an error."""
-    ids = np.frombuffer(data, "<u4")
     if len(ids) and ids.max() > 0xFFFF:
         raise ValueError(f"id {ids.max()} does not fit a shard of 16-bit ids")
     return ids.astype("<u2")
@@ -100,12 +96,11 @@ def sequences(docs: DataFrame, length: int, path: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, _BLOCK.types)], schema=_BLOCK)
 
         for batch in batches:
-            names, bodies = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for low in range(0, len(names), tokens.TEXTS_AT_ONCE):
-                data = [x + _END for x in encoder.encode(bodies[low : low + tokens.TEXTS_AT_ONCE])]
-                starts = held + np.cumsum([0, *map(len, data)]) // 4
-                documents += zip((NULL_ID if n is None else n for n in names[low : low + tokens.TEXTS_AT_ONCE]), starts.tolist())
-                ids.append(_narrow(b"".join(data)))
+            names = batch.column("doc_id").fill_null(NULL_ID).to_pylist()
+            for low, high, found, ends in encoder.runs(batch.column("text")):
+                starts = held + np.append(0, ends + np.arange(1, high - low + 1))
+                documents += zip(names[low:high], starts.tolist())
+                ids.append(np.insert(_narrow(found), ends, tokens.END))
                 held = int(starts[-1])
                 while held >= BLOCK * length:
                     yield cut(BLOCK)

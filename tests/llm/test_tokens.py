@@ -1,0 +1,43 @@
+"""Words are looked up once for a run of texts, and runs of any size give the tokenizer's ids."""
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from flightseal.llm import tokens
+
+TEXTS = [None, "", " \t\n", " a  b\v\fc ", "one two\nthree", "a\x1cb \x85c d", "été 中文字 don't", "w" * 300, "1234 5,6", " "]
+
+
+def test_words_are_looked_up_once(monkeypatch):
+    asked = []
+
+    class Counted(tokens.Recent):
+        def get(self, key, *other):
+            asked.append(key)
+            return super().get(key, *other)
+
+    monkeypatch.setattr(tokens, "Recent", Counted)
+    encoder = tokens.Encoder(tokens.vocabulary())
+    texts = [f"some words that come again and again, {i % 7}" for i in range(64)]
+    encoder.encode(texts)
+    asked.clear()
+    encoder.encode(texts)
+    assert sorted(asked) == sorted({w for t in texts for w in t.encode().split()})
+
+
+@pytest.mark.parametrize("run_bytes, learned, placed, kind", [(1 << 22, 1 << 14, 1 << 16, pa.string()), (1, 1, 1, pa.string()), (20, 2, 3, pa.large_string())])
+def test_runs(monkeypatch, run_bytes, learned, placed, kind):
+    monkeypatch.setattr(tokens, "RUN_BYTES", run_bytes)
+    monkeypatch.setattr(tokens, "LEARNED", learned)
+    monkeypatch.setattr(tokens, "PLACED", placed)
+    encoder, at = tokens.Encoder(tokens.vocabulary()), 0
+    for low, high, ids, ends in encoder.runs(pa.array(["cut off", *TEXTS, "too"], kind)[1:-1]):
+        assert low == at < high and (high == low + 1 or sum(len((t or "").encode()) for t in TEXTS[low:high]) <= run_bytes)
+        for text, a, b in zip(TEXTS[low:high], [0, *ends], ends):
+            assert ids[a:b].tolist() == encoder.whole.encode(text or "", add_special_tokens=False).ids
+        assert ends[-1] == len(ids)
+        at = high
+    assert at == len(TEXTS)
+    assert not list(encoder.runs(pa.array([], kind)))
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(TEXTS)] == [encoder.whole.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
