@@ -101,7 +101,8 @@ class ChunkTable:
     def segmented(self, cache: Recent, sp) -> None:
         """Ids of all rows, one after the other, and where each row's ids start; only chunks that `cache` lacks are segmented."""
         cache.turn()
-        new = cache.unknown(self.rows.keys() - cache.keys())
+        asked = [c for c in self.rows if c not in cache]
+        new = [c for c, ids in zip(asked, cache.recalled(asked)) if ids is None]
         cache.update((c, np.array(ids, "<i4").tobytes()) for c, ids in zip(new, segment(new, sp)))
         found = list(map(cache.__getitem__, self.rows))
         cache.forget_long(new)

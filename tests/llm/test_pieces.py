@@ -57,6 +57,26 @@ def test_chunks_are_segmented_once(sp, monkeypatch):
     assert sorted(asked) == ["▁a", "▁b", "▁c", "▁d"]
 
 
+def test_cache_of_two_generations(sp, monkeypatch):
+    """A full cache still serves the generation before; what aged out and long chunks are segmented again, and the ids stay right."""
+    asked, segment = [], pieces.segment
+
+    def counted(chunks, sp):
+        asked.append(sorted(chunks))
+        return segment(chunks, sp)
+
+    monkeypatch.setattr(pieces, "segment", counted)
+    cache, long = tokens.Recent(2), "w" * (tokens.LONGEST + 1)
+    for text in (f"a b c {long}", "a d", f"b {long}", "e", "c a"):
+        table = pieces.ChunkTable()
+        places = table.positions(pieces.cut(text, True))
+        table.segmented(cache, sp)
+        assert table.joined(places).tolist() == sp.encode(text)
+    again = f"▁{long}"
+    assert asked == [["▁a", "▁b", "▁c", again], ["▁d"], [again], ["▁e"], ["▁c"]]
+    assert again not in cache and again not in cache.older
+
+
 def test_only_empty_texts(spark):
     docs = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert [(r.doc_id, list(r.ids)) for r in pieces.encode(docs).orderBy("doc_id").collect()] == [(1, [2]), (2, [2])]
