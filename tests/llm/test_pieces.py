@@ -2,7 +2,11 @@
 
 import hashlib
 import random
+import re
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from flightseal.llm import pieces, tokens
@@ -77,6 +81,63 @@ def test_cache_of_two_generations(sp, monkeypatch):
     assert again not in cache and again not in cache.older
 
 
+def test_texts_are_cut_together():
+    """Chunks of an array of texts are those of each text, also where markers meet at a text's end."""
+    texts = [t or "" for t in ODD] + ["a ", " b", "▁", "▁", "", "c"]
+    for apart in (True, False):
+        chunks, ends = pieces.cut_texts(pa.array(["dropped", *texts], pa.large_string())[1:], apart)
+        chunks, bounds = chunks.to_pylist(), [0, *ends.tolist()]
+        wanted = [re.findall("▁+[^▁]*", f"▁{t}".replace(" ", "▁")) if apart else [f"▁{t}"] for t in texts]
+        assert [chunks[a:b] for a, b in zip(bounds, bounds[1:])] == [w if t else [] for t, w in zip(texts, wanted)]
+        assert len(chunks) == bounds[-1]
+
+
+def test_blocks_keep_all_rows():
+    """Blocks hold at most so many bytes or one document, and all rows in their order."""
+    texts = [None, "é" * 30, "", "a" * 10, "b" * 25, "", "c" * 5, None, "d" * 100, "e" * 41, "", "f"]
+    rows = pa.table({"doc_id": pa.array([None, *range(1, len(texts))], pa.int64()), "text": pa.array(texts, pa.string())})
+    for size in (1, 2, 5, 100):
+        blocks = [(n.to_pylist(), b.to_pylist()) for n, b in pieces._blocks(rows.to_batches(max_chunksize=size), 40)]
+        assert [x for n, _ in blocks for x in n] == rows["doc_id"].to_pylist()
+        assert [x for _, b in blocks for x in b] == [t or "" for t in texts]
+        assert all(sum(len(t.encode()) for t in b) <= 40 or sum(t != "" for t in b) == 1 for _, b in blocks)
+
+
+def test_only_odd_lists_ask_the_library(sp, monkeypatch):
+    """Texts are joined from spellings; the library decodes the lists that hold more than that, each once."""
+    asked, rng = [], random.Random(3)
+    known = range(sp.vocab_size())
+    parts = [i for i in known if sp.is_byte(i) and int(sp.id_to_piece(i)[1:-1], 16) in (32, *range(128, 256))]
+    plain = [i for i in known if i not in parts and not sp.is_unknown(i)]
+    fronts = [i for i in plain if sp.id_to_piece(i).startswith("▁")] + [i for i in known if sp.is_control(i)]
+    lists = [None, [], [sp.piece_to_id("▁")], *(sp.encode(t or "", add_bos=True, add_eos=True) for t in ODD)]
+    lists += [rng.choices(fronts, k=rng.randrange(4)) + rng.choices(plain, k=rng.randrange(30)) for _ in range(500)]
+    odd = [[i, *rng.choices(plain, k=5)] for i in (sp.unk_id(), *parts)] + [rng.choices(known, k=9) + [sp.unk_id()] for _ in range(100)]
+    real, holds = sp.decode, lambda ids: bool({sp.unk_id(), *parts} & set(ids or []))
+    names = ("vocab_size", "id_to_piece", "is_byte", "is_unknown", "is_control")
+    counting = SimpleNamespace(**{n: getattr(sp, n) for n in names}, decode=lambda ids: asked.append(ids) or real(ids))
+    rows = [x for pair in zip(odd, lists) for x in pair] + lists + odd
+    monkeypatch.setattr(pieces, "SPELLED", 64)
+    got = pieces.Speller(counting, True).texts(pa.array([[1], *rows], pa.list_(pa.int32()))[1:])
+    assert got.to_pylist() == [real(x or []) for x in rows] and asked == [x for x in rows if holds(x)]
+    assert pieces.Speller(sp, False).texts(pa.array(rows[:50], pa.list_(pa.int32()))).to_pylist() == got.to_pylist()[:50]
+    assert pieces.Speller(sp, True).texts(pa.array([], pa.list_(pa.int32()))).to_pylist() == []
+    for ids in ([-1], [sp.vocab_size()]):
+        with pytest.raises(IndexError):
+            pieces.Speller(sp, True).texts(pa.array([ids], pa.list_(pa.int32())))
+
+
+def test_ids_are_placed_in_runs(sp, monkeypatch):
+    monkeypatch.setattr(pieces, "PLACED", 3)
+    texts = ["a b  c a b d", "", " b", "é\n a"]
+    table = pieces.ChunkTable()
+    chunks, ends = pieces.cut_texts(pa.array(texts, pa.large_string()), True)
+    places = table.positions(chunks)
+    table.segmented(tokens.Recent(10), sp)
+    ids = np.split(table.joined(places), table.ends(places)[ends][:-1])
+    assert [x.tolist() for x in ids] == [sp.encode(t) for t in texts]
+
+
 def test_only_empty_texts(spark):
     docs = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert [(r.doc_id, list(r.ids)) for r in pieces.encode(docs).orderBy("doc_id").collect()] == [(1, [2]), (2, [2])]
