@@ -6,6 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from flightseal.operators import resample, sampling
+from flightseal.workload.sampling_queries import ROW_HASH, SAMPLE_ROWS, stratified_sample, uniform_sample
+from flightseal.workload.view import telemetry
+from tests.conftest import SF
 from tests.test_features import row, table
 
 
@@ -145,3 +148,29 @@ def test_a_sample_shuffles_no_rows(spark, flights60):
     sample = sampling.uniform_sample(spark.read.parquet(path), 100)
     plan = sample._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "Window" not in plan
+
+
+def test_row_hash_of_large_flight_numbers(spark):
+    """The rank of the sample queries is the product's remainder also where the product leaves 64 bits."""
+    keys = [(c, r) for c in (0, 7, 34_744, 34_745, 89_999, 539_999, 2**31 - 1) for r in (0, 1, 5_000)] + [(-3, 2), (-90_000, 0)]
+    rows = spark.createDataFrame(keys, "case_id int, row_idx int")
+    got = {(r["case_id"], r["row_idx"]): r["rank"] for r in rows.selectExpr("*", f"{ROW_HASH} as rank").collect()}
+    for (case, row), rank in got.items():
+        product = (case * 100003 + row) * 2654435761
+        assert rank == (product % 2**32 if product >= 0 else -(-product % 2**32)) * 2**31
+    assert len(got) == len(keys)
+
+
+@pytest.mark.parametrize("draw", [stratified_sample])
+def test_sample_queries_of_large_flight_numbers(spark, tmp_path, draw):
+    """Events of users from 40,000 on, as larger tables have them."""
+    events = spark.read.parquet(f"{SF}/events.parquet").withColumn("user_id", F.col("user_id") + 40_000)
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    key = lambda r: ((r["case_id"] * 100003 + r["row_idx"]) * 2654435761 % 2**32, r["case_id"], r["row_idx"])
+    rows = telemetry(spark, str(tmp_path)).select("case_id", "row_idx", "label").collect()
+    got = [tuple(r) for r in draw(spark, str(tmp_path)).select("case_id", "row_idx", "label").collect()]
+    assert len(got) == SAMPLE_ROWS == len(set(got))
+    groups = [rows] if draw is uniform_sample else [[r for r in rows if r["label"] == label] for label in (0, 1)]
+    for group in groups:
+        drawn = sorted(key(r) for r in group if tuple(r) in set(got))
+        assert drawn == sorted(map(key, group))[: len(drawn)]
