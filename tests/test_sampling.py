@@ -161,7 +161,7 @@ def test_row_hash_of_large_flight_numbers(spark):
     assert len(got) == len(keys)
 
 
-@pytest.mark.parametrize("draw", [stratified_sample])
+@pytest.mark.parametrize("draw", [stratified_sample, uniform_sample])
 def test_sample_queries_of_large_flight_numbers(spark, tmp_path, draw):
     """Events of users from 40,000 on, as larger tables have them."""
     events = spark.read.parquet(f"{SF}/events.parquet").withColumn("user_id", F.col("user_id") + 40_000)
