@@ -201,3 +201,63 @@ def test_shuffled_scores_fall_below_the_floor(protocol):
     for table, above in ((rows, True), (shuffled, False)):
         for r in ranking_quality(evaluation.rank(table), ["dataset", "model"]).collect():
             assert (r["roc_auc"] >= FLOORS[r["model"]]) == above
+
+
+@pytest.fixture(scope="module")
+def train(rows):
+    features = experiment.feature_table(rows.where("profile = 'balanced'"))
+    return experiment.training_rows(features, experiment.split_flights(features), 0)
+
+
+def test_boosting_follows_the_rules_of_mllib(spark, train, monkeypatch):
+    """Trees as MLlib's own fit makes them, few jobs a fit, and the same trees from blocks as from one task."""
+    from pyspark.ml import PipelineModel
+
+    from flightseal.operators import boosting
+
+    fitted = models.gradient_boosting(iterations=8, depth=4).fit(train)
+    prepared, ours = PipelineModel(fitted.stages[:-1]).transform(train).persist(), fitted.stages[-1]
+    fit, held = prepared.where("not is_validation"), prepared.where("is_validation")
+    theirs = models.gradient_boosting(iterations=8, depth=4).getStages()[-1].trees.fit(fit)
+    assert ours.getNumTrees == theirs.getNumTrees == 8 and ours.treeWeights == theirs.treeWeights
+    for rows_ in (fit, held):
+        assert ours.evaluateEachIteration(rows_) == pytest.approx(theirs.evaluateEachIteration(rows_), rel=1e-3)
+    estimator = models.gradient_boosting(iterations=8, depth=4).getStages()[-1]
+    spark.sparkContext.setJobGroup("one fit", "")
+    estimator.fit(prepared)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("one fit")) < 20
+    for name, value in (("TASK_ROWS", 200), ("BLOCK_ROWS", 90), ("WRITE_EVERY", 3)):
+        monkeypatch.setattr(boosting, name, value)
+    far = estimator.fit(prepared.repartition(4, "case_id"))
+    assert far.evaluateEachIteration(held) == pytest.approx(ours.evaluateEachIteration(held), rel=1e-6)
+    prepared.unpersist()
+
+
+@pytest.mark.parametrize("kind, build", [(models.LINEAR_SVM, models.linear_svm), (models.RBF_SVM, models.rbf_svm)])
+def test_hinge_fits_are_no_worse_than_mllib(train, kind, build, monkeypatch):
+    """The objective is at most that of LinearSVC, in one task and in blocks, and scores are those of the whole pipeline."""
+    from pyspark.ml import PipelineModel
+
+    from flightseal.operators import hinge
+
+    pipeline = build(train.count(), iterations=20)
+    fitted = pipeline.fit(train)
+    prepared = PipelineModel(fitted.stages[:-1]).transform(train).persist()
+    line = pipeline.getStages()[-1]
+    table = prepared.select("label", "weight", line.svm.getFeaturesCol()).collect()
+    x, sign, weight = np.array([r[2].toArray() for r in table]), np.array([r[0] * 2 - 1 for r in table]), np.array([r[1] for r in table])
+
+    def objective(model):
+        own = model.coefficients.toArray()
+        loss = np.maximum(0, 1 - sign * (x @ own + model.intercept))
+        return weight @ loss / weight.sum() + line.svm.getRegParam() / 2 * own @ own
+
+    best = objective(fitted.stages[-1])
+    assert best <= objective(line.svm.fit(prepared)) * 1.01
+    scored = models.with_score(fitted, kind, prepared.select(*train.columns), "own").orderBy("case_id", "row_idx").select("own").collect()
+    plain = fitted.transform(train).orderBy("case_id", "row_idx").select("rawPrediction").collect()
+    assert [r[0] for r in scored] == pytest.approx([r[0][1] for r in plain], abs=1e-4)
+    monkeypatch.setattr(hinge, "TASK_CELLS", 100)
+    monkeypatch.setattr(hinge, "BLOCK_ROWS", 150)
+    assert objective(line.fit(prepared.repartition(3, "case_id"))) == pytest.approx(best, rel=1e-2)
+    prepared.unpersist()
